@@ -67,8 +67,16 @@ _EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def ntz_micros(c: Columnish) -> Column:
-    """Microseconds since the epoch of a zone-less time, whatever the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), col(c))
+    """Microseconds since the epoch of a zone-less time.
+
+    Built from its fields, which no session zone touches. A difference of
+    timestamps would go through the session zone and move at its clock changes.
+    """
+    at = col(c)
+    days = F.unix_date(at.cast("date")).cast("bigint")
+    seconds = (days * 24 + F.hour(at)) * 3600 + F.minute(at) * 60
+    micros = F.extract(F.lit("SECOND"), at) * F.lit(1_000_000).cast("decimal(7,0)")
+    return seconds * 1_000_000 + micros.cast("bigint")
 
 
 def ntz_millis(c: Columnish) -> Column:

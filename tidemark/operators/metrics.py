@@ -22,7 +22,8 @@ KEEP_HOURS = {"MIN": 48, "HOUR": 24 * 60, "DAY": 24 * 365}
 TICKS_PER_SECOND = 100
 
 FINER = {"HOUR": "MIN", "DAY": "HOUR"}
-HOUR_MS = 3_600_000
+#: Slice width for hot keys in time order.
+MINUTE_MS = 60_000
 SAMPLE_COLUMNS = [
     "sampled_at", "metric", "metric_name", "sample_value", "sample_value2", "resolution",
 ]
@@ -88,7 +89,7 @@ def event_rate(
     at_ms: str,
     value: str,
     order: Sequence[str] = (),
-    width: int = HOUR_MS,
+    width: int = MINUTE_MS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``events_per_sec`` against the row before; 0 without a usable one."""
@@ -130,7 +131,7 @@ def point_history(
 
 
 def throughput_samples(
-    observations: DataFrame, width: int = HOUR_MS, hot_rows: int = HOT_ROWS
+    observations: DataFrame, width: int = MINUTE_MS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """MIN samples from offset observations (sampled_at, topic, total_events, jdbc_lag, iceberg_lag).
 
@@ -195,7 +196,7 @@ def parse_proc(samples: DataFrame) -> DataFrame:
 
 
 def cpu_percent(
-    parsed: DataFrame, at_ms: str = "sampled_at_ms", width: int = HOUR_MS, hot_rows: int = HOT_ROWS
+    parsed: DataFrame, at_ms: str = "sampled_at_ms", width: int = MINUTE_MS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``cpu_pct_x10``: tenths of a percent since the row before of the same process."""
     df = previous(

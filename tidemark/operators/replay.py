@@ -54,13 +54,10 @@ def replay_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def publish(
-    events: DataFrame, keys: Sequence[str], path: str, fmt: str = "json", **options: str
-) -> None:
-    """Write replay messages in replay order, to files or to a message broker.
+def publish(events: DataFrame, keys: Sequence[str], path: str, fmt: str = "json") -> None:
+    """Write key and value messages to files in replay order.
 
     Part files are numbered in range order, so reading them by name gives the
     replay order back.
     """
-    out = messages(replay_order(events), keys).write.format(fmt).options(**options)
-    out.mode("append").save(path) if fmt != "kafka" else out.save()
+    messages(replay_order(events), keys).write.format(fmt).mode("append").save(path)

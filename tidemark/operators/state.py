@@ -1,8 +1,8 @@
 """Current state from change events, and merging new changes into a state.
 
-A state row is the row image plus ``_scn, _tx, _seq, _deleted``. Deleted keys
+A state row is the row image plus ``_scn, _tx, _seq, _tie, _deleted``. Deleted keys
 stay as tombstones, so a change that arrives late or twice can never bring an
-old image back: of two rows with one key the later in (scn, tx, seq) wins,
+old image back: of two rows with one key the later in (scn, tx, seq, tie) wins,
 whatever the arrival order.
 """
 
@@ -16,7 +16,7 @@ from tidemark.functions.scalars import scn_long
 from tidemark.model import DELETE
 from tidemark.operators.ordered import latest
 
-ORDER = ["_scn", "_tx", "_seq"]
+ORDER = ["_scn", "_tx", "_seq", "_tie"]
 HIDDEN = ORDER + ["_deleted"]
 
 
@@ -34,9 +34,9 @@ def change_rows(events: DataFrame, seq: str | None = None) -> DataFrame:
     image = F.coalesce("after", "before")
     columns = events.schema["after"].dataType.fieldNames()
     if seq:
-        tie = F.struct(F.col(seq).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("h"))
+        place, tie = F.col(seq).cast("bigint"), F.lit(0).cast("bigint")
     else:
-        tie = F.struct(F.col("ts_ms").alias("n"), F.xxhash64("op", "before", "after").alias("h"))
+        place, tie = F.col("ts_ms"), F.xxhash64("op", "before", "after")
     scn = F.col("scn_num") if "scn_num" in events.columns else scn_long("source.scn")
     return (
         events.where(F.col("after").isNotNull() | F.col("before").isNotNull())
@@ -44,7 +44,8 @@ def change_rows(events: DataFrame, seq: str | None = None) -> DataFrame:
             image.alias("_image"),
             scn.alias("_scn"),
             F.coalesce(F.col("source.txId"), F.lit("")).alias("_tx"),
-            tie.alias("_seq"),
+            place.alias("_seq"),
+            tie.alias("_tie"),
             (F.col("op") == DELETE).alias("_deleted"),
         )
         .select(*[F.col("_image")[c].alias(c) for c in columns], *HIDDEN)
@@ -65,13 +66,18 @@ def current_state(events: DataFrame, keys: Sequence[str], seq: str | None = None
     return live(fold(change_rows(events, seq), keys))
 
 
-def merge_batch(state: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge_batch(
+    state: DataFrame, batch: DataFrame, keys: Sequence[str], small_batch: bool = True
+) -> DataFrame:
     """State after a batch of change rows. Applying a batch twice changes nothing.
 
-    Only the state rows whose key occurs in the batch meet it in a fold. The
-    others pass through an anti join, which needs no shuffle of the state while
-    the batch keys are small enough to be broadcast.
+    With a batch that is small next to the state, only the state rows whose key
+    occurs in it meet it in a fold. The others pass through an anti join, which
+    needs no shuffle of the state while the batch keys can be broadcast. A batch
+    of the state's own size is folded together with it, one shuffle for both.
     """
+    if not small_batch:
+        return fold(state.unionByName(batch.select(*state.columns)), keys)
     new = fold(batch, keys)
     touched = state.join(new.select(*keys), list(keys), "left_semi").select(*state.columns)
     untouched = state.join(new.select(*keys), list(keys), "left_anti").select(*state.columns)

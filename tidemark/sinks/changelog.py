@@ -1,5 +1,8 @@
 """Changelogs: append-only Parquet, one folder per source table, one partition per UTC day.
 
+A changelog is the folder ``changelog_table=<schema>_<table>`` below a root, so one
+write can route a mixed stream to many changelogs.
+
 Events are stored as they are. Three columns stand beside the envelope:
 ``p_ts_ms`` (the day partition), ``scn_num`` (the change number as a number, so
 that Parquet statistics can skip row groups) and ``commit_id``.
@@ -14,10 +17,13 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.scalars import scn_long, truncate_ms
+from tidemark.functions.scalars import day_label, scn_long, truncate_ms
 from tidemark.model import CHANGELOG_SKELETON, DAY_MS
+from tidemark.operators.routing import route
 from tidemark.sinks import files
 
+_PREFIX = "changelog_table="
+
 BESIDE = [
     T.StructField("scn_num", T.LongType()),
     T.StructField("commit_id", T.StringType()),
@@ -26,7 +32,7 @@ BESIDE = [
 
 
 def table_path(root: str, schema: str, table: str) -> str:
-    return f"{root.rstrip('/')}/{schema}_{table}".lower()
+    return f"{root.rstrip('/')}/{_PREFIX}{f'{schema}_{table}'.lower()}"
 
 
 def _schema_dir(path: str) -> str:
@@ -57,8 +63,10 @@ def ensure_changelog(spark: SparkSession, root: str, schema: str, table: str) ->
 
 
 def list_changelogs(spark: SparkSession, root: str) -> list[str]:
-    names = files.children(spark, root)
-    return [n for n in names if files.exists(spark, _schema_dir(f"{root.rstrip('/')}/{n}"))]
+    """Names of the changelogs below a root, sorted; those of unregistered tables as well."""
+    root = root.rstrip("/")
+    names = [n for n in files.children(spark, root) if n.startswith(_PREFIX)]
+    return [n[len(_PREFIX) :] for n in names if files.exists(spark, _schema_dir(f"{root}/{n}"))]
 
 
 def evolve(current: T.StructType, incoming: T.StructType) -> T.StructType:
@@ -90,6 +98,13 @@ def with_storage_columns(events: DataFrame, commit_id: str) -> DataFrame:
     )
 
 
+def _declare(spark: SparkSession, path: str, incoming: T.StructType) -> None:
+    declared = read_schema(spark, path)
+    grown = evolve(declared or CHANGELOG_SKELETON, incoming)
+    if grown != declared:
+        _write_schema(spark, path, grown)
+
+
 def append_changelog(
     events: DataFrame, path: str, commit_id: str, cluster: bool = True
 ) -> None:
@@ -100,11 +115,7 @@ def append_changelog(
     and no task writes to every day. Small streaming batches pass ``False`` and
     leave file sizing to a rebalance.
     """
-    spark = events.sparkSession
-    declared = read_schema(spark, path) or CHANGELOG_SKELETON
-    grown = evolve(declared, events.schema)
-    if grown != declared or not files.numbered(spark, _schema_dir(path)):
-        _write_schema(spark, path, grown)
+    _declare(events.sparkSession, path, events.schema)
     rows = with_storage_columns(events, commit_id)
     if cluster:
         rows = rows.repartitionByRange("p_ts_ms", "scn_num").sortWithinPartitions(
@@ -115,6 +126,24 @@ def append_changelog(
     rows.write.partitionBy("p_ts_ms").mode("append").parquet(path)
 
 
+def append_routed(events: DataFrame, registry: DataFrame, root: str, commit_id: str) -> None:
+    """Append a mixed stream of events, each to the changelog of its table.
+
+    Events of unregistered tables are left out. One write serves all changelogs;
+    the rebalance splits a table or day that dominates and merges small ones.
+    """
+    spark = events.sparkSession
+    tables = registry.select("schema_name", "table_name").distinct()
+    for t in tables.toLocalIterator():
+        _declare(spark, table_path(root, t["schema_name"], t["table_name"]), events.schema)
+    rows = with_storage_columns(route(events, registry), commit_id).withColumn(
+        "changelog_table", F.substring_index("changelog_table", ".", -1)
+    )
+    rows.hint("rebalance", "changelog_table", "p_ts_ms").write.partitionBy(
+        "changelog_table", "p_ts_ms"
+    ).mode("append").parquet(root)
+
+
 def scan_changelog(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
     """The whole changelog, or the days from the one holding ``since_ms`` on."""
     schema = read_schema(spark, path)
@@ -152,49 +181,59 @@ def expire_changelog(spark: SparkSession, path: str, cutoff_ms: int) -> list[int
 # --- contents ----------------------------------------------------------------
 
 
+def scan_contents(spark: SparkSession, root: str) -> DataFrame:
+    """What the content reports need of all changelogs below a root, in one scan."""
+    columns = [f for f in BESIDE if f.name != "scn_num"]
+    schema = T.StructType(columns + [T.StructField("changelog_table", T.StringType())])
+    return spark.read.schema(schema).parquet(root)
+
+
 def data_files(changelog: DataFrame) -> DataFrame:
     """One row per data file with its record count."""
+    table = ["changelog_table"] if "changelog_table" in changelog.columns else []
     return (
         changelog.select(
+            *table,
             "p_ts_ms",
             "commit_id",
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_size").alias("file_bytes"),
             F.col("_metadata.file_modification_time").alias("modified_at"),
         )
-        .groupBy("p_ts_ms", "file_path", "file_bytes", "modified_at", "commit_id")
+        .groupBy(*table, "p_ts_ms", "file_path", "file_bytes", "modified_at", "commit_id")
         .agg(F.count(F.lit(1)).alias("records"))
     )
 
 
 def changelog_partitions(changelog: DataFrame) -> DataFrame:
     """Records, files and bytes per day, by day; rows without a day form one bucket."""
-    from tidemark.functions.scalars import day_label
-
+    table = ["changelog_table"] if "changelog_table" in changelog.columns else []
     return (
         data_files(changelog)
-        .groupBy(F.coalesce(day_label("p_ts_ms"), F.lit("(unpartitioned)")).alias("day"))
+        .groupBy(*table, F.coalesce(day_label("p_ts_ms"), F.lit("(unpartitioned)")).alias("day"))
         .agg(
             F.sum("records").alias("records"),
             F.count(F.lit(1)).alias("files"),
             F.sum("file_bytes").alias("bytes"),
         )
-        .orderBy("day")
+        .orderBy(*table, "day")
     )
 
 
 def changelog_summary(changelog: DataFrame) -> DataFrame:
-    """Totals of one changelog in one row."""
-    per_commit = data_files(changelog).groupBy("commit_id").agg(
+    """Totals of one changelog in one row, or of each changelog of a root by name."""
+    table = ["changelog_table"] if "changelog_table" in changelog.columns else []
+    per_commit = data_files(changelog).groupBy(*table, "commit_id").agg(
         F.sum("records").alias("r"),
         F.count(F.lit(1)).alias("f"),
         F.sum("file_bytes").alias("b"),
         F.max("modified_at").alias("m"),
     )
-    return per_commit.agg(
+    totals = per_commit.groupBy(*table).agg(
         F.coalesce(F.sum("r"), F.lit(0)).alias("records"),
         F.coalesce(F.sum("f"), F.lit(0)).alias("files"),
         F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"),
         F.count(F.lit(1)).alias("commits"),
         F.max("m").alias("last_commit_at"),
     )
+    return totals.orderBy(*table) if table else totals

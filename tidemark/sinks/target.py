@@ -22,6 +22,10 @@ from tidemark.operators.state import HIDDEN, fold, live, merge_batch
 from tidemark.sinks import files
 
 
+#: Deltas below one part in this many of the base count as a small batch.
+SMALL_SHARE = 10
+
+
 class SchemaMismatch(ValueError):
     """Changes that the target columns cannot take."""
 
@@ -113,10 +117,13 @@ class TargetTable:
         base = None if pointer["base"] is None else read.parquet(f"{folder}/base-{pointer['base']}")
         if not deltas:
             return base if base is not None else self.spark.createDataFrame([], schema)
-        new = read.parquet(*[f"{folder}/delta/{d}" for d in deltas])
+        paths = [f"{folder}/delta/{d}" for d in deltas]
+        new = read.parquet(*paths)
         if base is None:
             return new if len(deltas) == 1 else fold(new, self.keys)
-        return merge_batch(base, new, self.keys)
+        base_bytes = files.size(self.spark, [f"{folder}/base-{pointer['base']}"])
+        small = files.size(self.spark, paths) * SMALL_SHARE < base_bytes
+        return merge_batch(base, new, self.keys, small_batch=small)
 
     def read(self) -> DataFrame:
         return live(self.state())

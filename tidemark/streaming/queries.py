@@ -26,7 +26,7 @@ from tidemark.sinks.stores import batches, read_batches, write_batch
 from tidemark.sinks.target import TargetTable
 
 COMMIT_INTERVAL = "60 seconds"
-HOUR_MS = 3_600_000
+MINUTE_MS = 60_000
 
 
 def message_stream(
@@ -108,10 +108,12 @@ def ddl_events(spark: SparkSession, path: str) -> DataFrame:
 
 # --- connector health --------------------------------------------------------------
 
-STATE_ROW = T.StructType.fromDDL("observed_at timestamp_ntz, name string, state string, trace string")
-HEALTH_EVENT = T.StructType.fromDDL(
-    "observed_at timestamp_ntz, name string, state string, trace string, "
-    "prev_state string, event_type string"
+STATE_ROW = T.StructType(
+    [T.StructField("observed_at", T.TimestampNTZType())]
+    + [T.StructField(c, T.StringType()) for c in ("name", "state", "trace")]
+)
+HEALTH_EVENT = T.StructType(
+    STATE_ROW.fields + [T.StructField(c, T.StringType()) for c in ("prev_state", "event_type")]
 )
 
 
@@ -130,7 +132,7 @@ def _watch(path: str, batch: DataFrame, batch_id: int) -> None:
     rows = known.unionByName(seen)
     found = health.health_events(
         rows.withColumn("_at", ntz_millis("observed_at")),
-        "name", ["observed_at"], F.col("_at"), HOUR_MS,
+        "name", ["observed_at"], F.col("_at"), MINUTE_MS,
     )
     write_batch(
         found.where(~F.col("_seed")).select(*HEALTH_EVENT.fieldNames()), f"{path}/events", batch_id
@@ -150,9 +152,16 @@ def health_log(spark: SparkSession, path: str) -> DataFrame:
 
 # --- snapshot progress -------------------------------------------------------------
 
-NOTE_ROW = T.StructType.fromDDL(
-    "seq bigint, type string, ts bigint, current_table string, scanned_table string, "
-    "scanned_rows bigint, scan_status string"
+NOTE_ROW = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("ts", T.LongType()),
+        T.StructField("current_table", T.StringType()),
+        T.StructField("scanned_table", T.StringType()),
+        T.StructField("scanned_rows", T.LongType()),
+        T.StructField("scan_status", T.StringType()),
+    ]
 )
 
 

@@ -233,8 +233,9 @@ def table_names(spark, sf_dir):
 
 def _stored(spark, sf_dir) -> str:
     """The change events in a changelog, in two commits of one half each."""
-    path = log.table_path(shared_dir(spark, "changelog"), "CDC", "USERS")
-    log.ensure_changelog(spark, path.rsplit("/", 1)[0], "CDC", "USERS")
+    root = shared_dir(spark, "changelog")
+    path = log.table_path(root, "CDC", "USERS")
+    log.ensure_changelog(spark, root, "CDC", "USERS")
     events, half = changes(spark, sf_dir).drop("event_id"), _half(spark, sf_dir)
     log.append_changelog(events.where(scn_long() < half), path, "first")
     log.append_changelog(events.where(scn_long() >= half), path, "second")
@@ -260,6 +261,19 @@ def changelog_totals(spark, sf_dir):
     return totals.select("records", "commits")
 
 
+@query(
+    """SELECT 'cdc_' || event_type AS changelog_table, count(*) AS records, CAST(1 AS BIGINT) AS commits
+       FROM events WHERE event_type <> 'view' GROUP BY 1"""
+)
+def routed_changelogs(spark, sf_dir):
+    """A mixed stream appended to the changelog of each registered table."""
+    root = shared_dir(spark, "routed")
+    events = changes(spark, sf_dir).drop("event_id")
+    log.append_routed(events, _event_registry(spark, sf_dir), root, "only")
+    totals = log.changelog_summary(log.scan_contents(spark, root))
+    return totals.select("changelog_table", "records", "commits")
+
+
 @query(
     f"""WITH ops AS ({OPS})
     SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day,

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import ntz_millis
 from tidemark.functions.text import cause_line, first_line
 from tidemark.operators import ddl, health, snapshot
+from tidemark.operators.metrics import MINUTE_MS
 from tidemark.operators.routing import attribute, exclude_paused
 from tidemark.operators.timeline import target_schemas, timeline
 from tidemark.workload import query
 from tidemark.workload.inputs import (
-    DDL_TEXT, NOTES, POLLS, REGISTRY, SCN_WIDTH, changes, ddl_messages, notifications, polls,
+    DDL_TEXT, NOTES, POLLS, REGISTRY, changes, ddl_messages, notifications, polls,
     registry, table,
 )
 
@@ -45,7 +47,8 @@ TRANSITIONS = f"""
 
 def _health(spark, sf_dir):
     return health.health_events(
-        _states(spark, sf_dir), "name", ["observed_at", "event_id"], F.col("event_id"), SCN_WIDTH
+        _states(spark, sf_dir).withColumn("at", ntz_millis("observed_at")),
+        "name", ["at", "event_id"], F.col("at"), MINUTE_MS,
     )
 
 

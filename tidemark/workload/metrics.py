@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import ntz_millis, truncate_time
 from tidemark.functions.text import table_badge
 from tidemark.operators import metrics as M
+from tidemark.plans import monitoring
 from tidemark.session import shared_dir
 from tidemark.sinks import stores
 from tidemark.workload import query
@@ -388,3 +389,25 @@ def cpu_percent(spark, sf_dir):
     return cpu.where("rss_kb >= 0").select(
         "event_id", F.col("rss_kb").alias("sample_value"), F.col("cpu_pct_x10").alias("cpu")
     )
+
+
+_STORED = f"""
+  WITH {_THROUGHPUT}, s AS (SELECT *, CAST(NULL AS BIGINT) AS sample_value2, 'MIN' AS resolution FROM t),
+  h AS ({_rollup_sql("hour", "MIN", "s")})
+"""
+
+
+@query(
+    _STORED
+    + """ SELECT sampled_at AS ts, CAST(sum(CASE WHEN metric = 'PUBLISH' THEN sample_value ELSE 0 END) AS BIGINT) AS publish,
+      CAST(sum(CASE WHEN metric = 'APPLY_JDBC' THEN sample_value ELSE 0 END) AS BIGINT) AS apply
+      FROM h WHERE metric IN ('PUBLISH', 'APPLY_JDBC') GROUP BY 1"""
+)
+def monitoring_chain(spark, sf_dir):
+    """Observations to samples, stored, rolled up, purged, and read back as a chart."""
+    store = shared_dir(spark, "monitoring")
+    observations = _observations(spark, sf_dir)
+    now = observations.agg(F.max("sampled_at")).first()[0]
+    monitoring.ingest(spark, observations, store, now)
+    charts = monitoring.dashboard(spark, store, "HOUR", 24 * 60, now)
+    return charts["throughput"]
