@@ -94,10 +94,7 @@ def day_label(ms: Columnish) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
 
 
-_GRAIN_MICROS = {"HOUR": 3_600_000_000, "DAY": 86_400_000_000}
-
-
 def truncate_time(grain: str, c: Columnish) -> Column:
-    """Hour or day of a zone-less time. Plain arithmetic, so no zone rule can shift it."""
-    into = F.pmod(ntz_micros(c), F.lit(_GRAIN_MICROS[grain.upper()]))
-    return F.timestamp_add("MICROSECOND", -into, col(c))
+    """Hour or day of a zone-less time, from its fields, so no zone rule can shift it."""
+    day = col(c).cast("date").cast("timestamp_ntz")
+    return {"DAY": day, "HOUR": F.timestamp_add("HOUR", F.hour(col(c)), day)}[grain.upper()]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.text import first_line, is_ignorable, retarget_ddl
+from tidemark.sources.messages import strings, unwrap
 
 # The parts of a schema-change message that are used.
-_MESSAGE = """
-    ddl string, ts_ms string,
-    source struct<snapshot: string, scn: string>,
-    tableChanges array<struct<id: string>>
-"""
+_MESSAGE = T.StructType(
+    [
+        *strings("ddl", "ts_ms"),
+        T.StructField("source", T.StructType(strings("snapshot", "scn"))),
+        T.StructField("tableChanges", T.ArrayType(T.StructType(strings("id")))),
+    ]
+)
 
 
 def parse_ddl(messages: DataFrame, value: str = "value", offset: str = "kafka_offset") -> DataFrame:
@@ -20,32 +23,21 @@ def parse_ddl(messages: DataFrame, value: str = "value", offset: str = "kafka_of
     The snapshot flag is on for any text but "false". The table comes from the
     first table change, cut at its first dot, quotes removed.
     """
-    both = f"payload struct<{_struct(_MESSAGE)}>, {_MESSAGE}"
-    rows = messages.where(F.col(value).isNotNull()).withColumn("_m", F.from_json(value, both))
-    bare = F.struct(*[F.col("_m")[c].alias(c) for c in ("ddl", "ts_ms", "source", "tableChanges")])
-    rows = rows.withColumn("_p", F.coalesce(F.col("_m.payload"), bare))
-    ident = F.replace(F.get("_p.tableChanges", 0)["id"], F.lit('"'), F.lit(""))
+    rows = unwrap(messages, _MESSAGE, value)
+    ident = F.replace(F.get("_body.tableChanges", 0)["id"], F.lit('"'), F.lit(""))
     dot = F.instr(ident, ".")
-    snapshot = F.lower(F.coalesce("_p.source.snapshot", F.lit("false"))) != "false"
-    return rows.where(F.trim("_p.ddl") != "").select(
+    snapshot = F.lower(F.coalesce("_body.source.snapshot", F.lit("false"))) != "false"
+    return rows.where(F.trim("_body.ddl") != "").select(
         offset,
-        F.coalesce(F.col("_p.ts_ms").try_cast("bigint"), F.lit(0)).alias("event_ts_ms"),
-        F.col("_p.source.scn").alias("scn"),
+        F.coalesce(F.col("_body.ts_ms").try_cast("bigint"), F.lit(0)).alias("event_ts_ms"),
+        F.col("_body.source.scn").alias("scn"),
         F.when(dot > 1, ident.substr(F.lit(1), dot - 1)).alias("schema_name"),
         F.when(dot > 1, ident.substr(dot + 1, F.length(ident))).alias("table_name"),
-        F.col("_p.ddl").alias("ddl_text"),
+        F.col("_body.ddl").alias("ddl_text"),
         snapshot.alias("is_snapshot"),
     )
 
 
-def _struct(ddl: str) -> str:
-    """Column list to struct field list: a colon after each top-level name."""
-    from pyspark.sql import types as T
-
-    fields = T.StructType.fromDDL(ddl).fields
-    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in fields)
-
-
 def initial_state(is_snapshot: Column, ddl: Column) -> Column:
     return (
         F.when(is_snapshot, "SNAPSHOT").when(is_ignorable(ddl), "IGNORED").otherwise("DETECTED")

@@ -2,14 +2,16 @@
 
 A window over ``partitionBy(key)`` puts a whole key into one task. A connector,
 topic or table that produces a third of all rows would stall such a job. Here a
-hot key is cut along its order column into slices of a fixed width. Each slice
-is one window group, and what a slice needs from the rows before it (its
-*carry*) comes from one summary row per earlier slice.
-
-Only hot keys are cut. They are found by a count with map-side combine over the
-key columns alone; at most ``rows / hot_rows`` keys can pass that threshold,
-which bounds the broadcast. When none passes, adaptive execution sees the empty
-list and drops the carry branch, so the job is the plain window again.
+hot key is cut along its order column into slices of a fixed width, and each
+slice is one window group. What a slice needs from the rows before it is put in
+front of it as *seed* rows, which come from one summary per earlier slice and
+are taken out again after the window. The rows themselves are shuffled once.
+
+Only hot keys are cut. Which keys are hot changes the speed and never the
+result, so they are counted on the rows in one of 64 hash classes of the order
+columns. At most ``rows / hot_rows`` keys can pass, which bounds the broadcast.
+When none passes, adaptive execution sees the empty list and drops the seeds,
+and the job is the plain window again.
 """
 
 from __future__ import annotations
@@ -20,20 +22,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 5_000_000
-_SLICE = "_slice"
+_CLASSES = 64
+_SLICE, _SEED = "_slice", "_seed"
+_NO_POSITION = -(2**62)
 
 
 def _order(order: Sequence[str]) -> list[Column]:
-    return [F.col(c).asc_nulls_first() for c in order]
+    return [F.col(_SEED).desc(), *[F.col(c).asc_nulls_first() for c in order]]
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column | None:
-    pairs = [left[k].eqNullSafe(right[prefix + k]) for k in keys]
-    return reduce(lambda a, b: a & b, pairs) if pairs else None
+def _hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int) -> DataFrame:
+    if hot_rows >= 1000 * _CLASSES:
+        df = df.where(F.pmod(F.xxhash64(*order), F.lit(_CLASSES)) == 0)
+        hot_rows //= _CLASSES
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    names = [F.col(k).alias("_hot_" + k) for k in keys]
+    return counts.where(F.col("_n") > hot_rows).select(*names, F.lit(True).alias("_hot"))
 
 
 def sliced(
-    df: DataFrame, keys: Sequence[str], position: Column, width: int, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    position: Column,
+    width: int,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``_slice``: the row's slice for hot keys, null for the rest.
 
@@ -42,38 +55,28 @@ def sliced(
     one sequence, and every row is in a slice.
     """
     cell = F.floor(position / F.lit(width)).cast("bigint")
+    cell = F.coalesce(cell, F.lit(_NO_POSITION))
     if not keys:
-        return df.withColumn(_SLICE, F.coalesce(cell, F.lit(-(2**62))))
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*[F.col(k).alias("_hot_" + k) for k in keys], F.lit(True).alias("_hot"))
-    )
-    joined = df.join(F.broadcast(hot), _same(df, hot, keys, "_hot_"), "left")
-    return joined.withColumn(
-        _SLICE, F.when(F.col("_hot"), F.coalesce(cell, F.lit(-(2**62))))
-    ).drop("_hot", *["_hot_" + k for k in keys])
+        return df.withColumn(_SLICE, cell)
+    hot = _hot_keys(df, keys, order, hot_rows)
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot["_hot_" + k]) for k in keys])
+    joined = df.join(F.broadcast(hot), same, "left")
+    joined = joined.withColumn(_SLICE, F.when(F.col("_hot"), cell))
+    return joined.drop("_hot", *["_hot_" + k for k in keys])
 
 
-def _with_carry(
-    df: DataFrame, keys: Sequence[str], summary: Column, carry_of
-) -> DataFrame:
-    """Join ``_carry``, computed over one ``_summary`` row per earlier slice."""
-    per_slice = (
-        df.where(F.col(_SLICE).isNotNull()).groupBy(*keys, _SLICE).agg(summary.alias("_summary"))
-    )
-    w = Window.partitionBy(*keys).orderBy(_SLICE)
-    names = ["_c_" + k for k in keys]
-    carried = per_slice.select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names)],
-        F.col(_SLICE).alias("_c_slice"),
-        carry_of(F.col("_summary"), w).alias("_carry"),
-    )
-    on = df[_SLICE] == carried["_c_slice"]
-    same = _same(df, carried, keys, "_c_")
-    on = on if same is None else on & same
-    return df.join(carried, on, "left").drop("_c_slice", *names)
+def _summaries(df: DataFrame, keys: Sequence[str], summary: Column) -> DataFrame:
+    rows = df.where(F.col(_SLICE).isNotNull())
+    return rows.groupBy(*keys, _SLICE).agg(summary.alias("_summary"))
+
+
+def _seeded(df: DataFrame, seeds: DataFrame) -> DataFrame:
+    data = df.withColumn(_SEED, F.lit(False))
+    return data.unionByName(seeds.withColumn(_SEED, F.lit(True)), allowMissingColumns=True)
+
+
+def _unseeded(df: DataFrame, *helpers: str) -> DataFrame:
+    return df.where(~F.col(_SEED)).drop(_SEED, _SLICE, *helpers)
 
 
 def previous(
@@ -92,16 +95,21 @@ def previous(
     must be a total order within a key. ``present`` names a boolean column that
     is true when a preceding row exists, for values that may be null.
     """
-    df = sliced(df, keys, position, width, hot_rows)
-    row = F.struct(*[F.col(src).alias(dst) for dst, src in values.items()])
-    at = F.struct(*[F.col(c) for c in order])
-    df = _with_carry(df, keys, F.max_by(row, at), lambda s, w: F.lag(s).over(w))
+    df = sliced(df, keys, order, position, width, hot_rows)
+    looked_at = list(dict.fromkeys(values.values()))
+    last = F.max_by(F.struct(*looked_at), F.struct(*order))
+    before = F.lag("_summary").over(Window.partitionBy(*keys).orderBy(_SLICE))
+    seeds = (
+        _summaries(df, keys, last)
+        .withColumn("_summary", before)
+        .where(F.col("_summary").isNotNull())
+        .select(*keys, _SLICE, *[F.col("_summary")[c].alias(c) for c in looked_at])
+    )
     w = Window.partitionBy(*keys, _SLICE).orderBy(*_order(order))
-    df = df.withColumn("_before", F.coalesce(F.lag(row).over(w), F.col("_carry")))
-    out = {dst: F.col("_before")[dst] for dst in values}
+    out = {dst: F.lag(src).over(w) for dst, src in values.items()}
     if present:
-        out[present] = F.col("_before").isNotNull()
-    return df.withColumns(out).drop("_before", "_carry", _SLICE)
+        out[present] = F.row_number().over(w) > 1
+    return _unseeded(_seeded(df, seeds).withColumns(out))
 
 
 def running_sum(
@@ -115,19 +123,17 @@ def running_sum(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the key's rows up to this one."""
-    df = sliced(df.withColumn("_v", value), keys, position, width, hot_rows)
-
-    def before(total: Column, w) -> Column:
-        return F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, -1))
-
-    df = _with_carry(df, keys, F.sum("_v"), before)
-    w = (
-        Window.partitionBy(*keys, _SLICE)
-        .orderBy(*_order(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = sliced(df.withColumn("_v", value), keys, order, position, width, hot_rows)
+    slices = Window.partitionBy(*keys).orderBy(_SLICE)
+    before = F.sum("_summary").over(slices.rowsBetween(Window.unboundedPreceding, -1))
+    seeds = (
+        _summaries(df, keys, F.sum("_v"))
+        .select(*keys, _SLICE, before.alias("_v"))
+        .where(F.col("_v").isNotNull())
     )
-    total = F.sum("_v").over(w) + F.coalesce(F.col("_carry"), F.lit(0))
-    return df.withColumn(out, total).drop("_v", "_carry", _SLICE)
+    w = Window.partitionBy(*keys, _SLICE).orderBy(*_order(order))
+    total = F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _unseeded(_seeded(df, seeds).withColumn(out, total), "_v")
 
 
 def recent_values(
@@ -143,34 +149,34 @@ def recent_values(
 ) -> DataFrame:
     """Add ``out``: the key's last ``n`` values up to and including this row.
 
-    A slice hands on its last ``n - 1`` rows. Every slice has at least one row,
+    A slice hands on its last ``n - 1`` values. Every slice has at least one row,
     so the ``n - 1`` slices before this one always hold all that is needed.
     """
     look = n - 1
-    df = sliced(df, keys, position, width, hot_rows)
-    hot = df.where(F.col(_SLICE).isNotNull())
-    w = Window.partitionBy(*keys, _SLICE)
-    tail = (
-        hot.withColumn("_r", F.row_number().over(w.orderBy(*[F.col(c).desc() for c in order])))
+    df = sliced(df, keys, order, position, width, hot_rows)
+    group = Window.partitionBy(*keys, _SLICE)
+    newest = group.orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    # Rank in front, negated: sorting the list gives the values back in order.
+    tail = F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(value).alias("v"))))
+    tails = (
+        df.where(F.col(_SLICE).isNotNull())
+        .select(*keys, _SLICE, value, *[c for c in order if c != value])
+        .withColumn("_r", F.row_number().over(newest))
         .where(F.col("_r") <= look)
-        .groupBy(*keys, _SLICE)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("p"), F.col(value).alias("v")))).alias("_t"))
-        .withColumn("_t", F.transform("_t", lambda e: e["v"]))
     )
     before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(-look, -1)
-    names = ["_c_" + k for k in keys]
-    carried = tail.select(
-        *[F.col(k).alias(x) for k, x in zip(keys, names)],
-        F.col(_SLICE).alias("_c_slice"),
-        F.flatten(F.collect_list("_t").over(before)).alias("_carry"),
+    handed = F.flatten(F.collect_list("_summary").over(before))
+    kept = F.slice(F.col("_t"), F.greatest(F.lit(1), F.size("_t") - (look - 1)), max(look, 1))
+    seeds = (
+        _summaries(tails, keys, tail)
+        .select(*keys, _SLICE, handed.alias("_t"))
+        .select(*keys, _SLICE, F.posexplode(kept).alias("_at", "_e"))
+        .select(*keys, _SLICE, "_at", F.col("_e.v").alias(value))
     )
-    on = df[_SLICE] == carried["_c_slice"]
-    same = _same(df, carried, keys, "_c_")
-    df = df.join(carried, on if same is None else on & same, "left").drop("_c_slice", *names)
-    own = F.collect_list(value).over(w.orderBy(*_order(order)).rowsBetween(-look, 0))
-    merged = F.concat(F.coalesce("_carry", F.array().cast(f"array<{dict(df.dtypes)[value]}>")), own)
-    last = F.slice(merged, F.greatest(F.lit(1), F.size(merged) - look), n)
-    return df.withColumn(out, last).drop("_carry", _SLICE)
+    first, *rest = _order(order)
+    both = _seeded(df, seeds)
+    w = group.orderBy(first, F.col("_at").asc_nulls_first(), *rest).rowsBetween(-look, 0)
+    return _unseeded(both.withColumn(out, F.collect_list(value).over(w)), "_at")
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -107,42 +107,70 @@ def catalog_columns(spark, database: str) -> DataFrame:
 # --- rules -------------------------------------------------------------------
 
 
+_MAPPING_REASONS = (
+    "target column is blank",
+    "mapping expression does not parse",
+    "mapping names an unknown source column",
+)
+
+
 def _mapping_errors(named: DataFrame, columns: DataFrame, mappings: DataFrame) -> DataFrame:
     """Per spec with mappings: reason of its first bad mapping, else of uncovered key columns.
 
-    Everything is an equi join, so a table of any width stays spread over tasks.
+    Mapping rows and dictionary columns meet in one grouping by spec and column
+    name, which says per name whether it exists, is a key, and is loaded as it is.
     """
-    rows = named.select("spec_no", *TABLE).join(mappings, "spec_no")
-    rows = rows.withColumns(
-        {
-            "_name": source_column("source_expr"),
-            "_identity": is_identity("target_column", "source_expr"),
-        }
-    )
-    known = columns.select(
-        *TABLE, F.upper("column_name").alias("_name"), F.lit(True).alias("_found")
-    ).distinct()
-    off = ~F.col("enabled")
-    reason = (
-        F.when(F.trim(F.coalesce("target_column", F.lit(""))) == "", "target column is blank")
-        .when(off, F.lit(None).cast("string"))
-        .when(F.col("_name").isNull(), "mapping expression does not parse")
-        .when(F.col("_found").isNull(), "mapping names an unknown source column")
+    name, enabled = source_column("source_expr"), F.col("enabled")
+    blank = F.trim(F.coalesce("target_column", F.lit(""))) == ""
+    # Position and reason travel as one number, which keeps the grouping a hash aggregate.
+    at = F.col("position").cast("bigint") * len(_MAPPING_REASONS)
+    own = F.when(blank, at).when(enabled & name.isNull(), at + 1)
+    nothing = F.lit(None).cast("boolean")
+    mapped = mappings.select(
+        "spec_no",
+        name.alias("_name"),
+        own.alias("_own"),
+        F.when(~blank & enabled & name.isNotNull(), at + 2).alias("_looked_up"),
+        nothing.alias("_pk"),
+        (enabled & is_identity("target_column", "source_expr")).alias("_loaded"),
+        F.lit(True).alias("_mapped"),
     )
-    checked = rows.join(known, [*TABLE, "_name"], "left").withColumn("_reason", reason)
-    bad = F.when(F.col("_reason").isNotNull(), F.col("position"))
-    first = checked.groupBy("spec_no").agg(F.min_by("_reason", bad).alias("_first_bad"))
-    needed = named.select("spec_no", *TABLE).join(
-        columns.where("is_pk").select(*TABLE, F.upper("column_name").alias("_name")), TABLE
+    known = named.select("spec_no", *TABLE).join(columns, TABLE).select(
+        "spec_no",
+        F.upper("column_name").alias("_name"),
+        F.lit(None).cast("bigint").alias("_own"),
+        F.lit(None).cast("bigint").alias("_looked_up"),
+        F.col("is_pk").alias("_pk"),
+        nothing.alias("_loaded"),
+        nothing.alias("_mapped"),
     )
-    covered = rows.where(F.col("enabled") & F.col("_identity")).select("spec_no", "_name").distinct()
-    uncovered = (
-        needed.join(covered, ["spec_no", "_name"], "left_anti")
-        .groupBy("spec_no")
-        .agg(F.lit("primary key not fully mapped").alias("_uncovered"))
+    per_name = mapped.unionByName(known).groupBy("spec_no", "_name").agg(
+        F.min("_own").alias("_own"),
+        F.min("_looked_up").alias("_looked_up"),
+        F.max("_pk").alias("_pk"),
+        F.max("_loaded").alias("_loaded"),
+        F.max("_mapped").alias("_mapped"),
     )
-    return first.join(uncovered, "spec_no", "left").select(
-        "spec_no", F.coalesce("_first_bad", "_uncovered").alias("_mapping_reason")
+    bad = F.least(F.col("_own"), F.when(F.col("_pk").isNull(), F.col("_looked_up")))
+    uncovered = F.col("_pk") & ~F.coalesce("_loaded", F.lit(False))
+    return (
+        per_name.groupBy("spec_no")
+        .agg(
+            F.min(bad).alias("_bad"),
+            F.max(uncovered).alias("_uncovered"),
+            F.max("_mapped").alias("_mapped"),
+        )
+        .where("_mapped")
+        .select(
+            "spec_no",
+            F.coalesce(
+                F.get(
+                    F.array(*[F.lit(r) for r in _MAPPING_REASONS]),
+                    (F.col("_bad") % len(_MAPPING_REASONS)).cast("int"),
+                ),
+                F.when(F.col("_uncovered"), "primary key not fully mapped"),
+            ).alias("_mapping_reason"),
+        )
     )
 
 

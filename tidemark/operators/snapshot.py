@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.scalars import strict_long
 from tidemark.operators.ordered import running_sum
+from tidemark.sources.messages import strings, unwrap
 
 # The notification family followed here, and its known types.
 AGGREGATE = "initial snapshot"
 KNOWN_TYPES = ("STARTED", "IN_PROGRESS", "TABLE_SCAN_COMPLETED", "COMPLETED", "ABORTED")
 CLOSING_TYPES = ("COMPLETED", "ABORTED")
 
-_FIELDS = """
-    aggregate_type string, type string, timestamp string,
-    additional_data struct<current_collection_in_progress: string, scanned_collection: string,
-                           total_rows_scanned: string, status: string>
-"""
+_DATA = ("current_collection_in_progress", "scanned_collection", "total_rows_scanned", "status")
+_NOTIFICATION = T.StructType(
+    [
+        *strings("aggregate_type", "type", "timestamp"),
+        T.StructField("additional_data", T.StructType(strings(*_DATA))),
+    ]
+)
 
 
 def read_notifications(
@@ -26,18 +29,13 @@ def read_notifications(
 
     Numbers may arrive as text. A missing time becomes ``now_ms``.
     """
-    from tidemark.operators.ddl import _struct
-
-    both = f"payload struct<{_struct(_FIELDS)}>, {_FIELDS}"
-    rows = messages.where(F.col(value).isNotNull()).withColumn("_m", F.from_json(value, both))
-    names = ("aggregate_type", "type", "timestamp", "additional_data")
-    bare = F.struct(*[F.col("_m")[c].alias(c) for c in names])
-    rows = rows.withColumn("_p", F.coalesce(F.col("_m.payload"), bare))
-    data = "_p.additional_data"
-    return rows.where(F.lower("_p.aggregate_type") == AGGREGATE).select(
+    data = "_body.additional_data"
+    return unwrap(messages, _NOTIFICATION, value).where(
+        F.lower("_body.aggregate_type") == AGGREGATE
+    ).select(
         seq,
-        F.col("_p.type").alias("type"),
-        F.coalesce(strict_long("_p.timestamp"), now_ms).alias("ts"),
+        F.col("_body.type").alias("type"),
+        F.coalesce(strict_long("_body.timestamp"), now_ms).alias("ts"),
         F.col(f"{data}.current_collection_in_progress").alias("current_table"),
         F.coalesce(f"{data}.scanned_collection", F.lit("?")).alias("scanned_table"),
         F.coalesce(strict_long(f"{data}.total_rows_scanned"), F.lit(0)).alias("scanned_rows"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions.connect import from_wire, wire_type
 from tidemark.functions.scalars import scn_long
 from tidemark.model import SNAPSHOT_READ, SOURCE, envelope
+from tidemark.sources.messages import unwrap
 
 
 def read_envelopes(
@@ -23,19 +24,13 @@ def read_envelopes(
     Other columns of ``messages`` (offset, key, arrival time) are kept.
     """
     event = envelope(row, source)
-    wire = wire_type(event)
-    both = T.StructType([T.StructField("payload", wire)] + wire.fields)
     mode = {"fail": "FAILFAST", "drop": "PERMISSIVE"}[on_error]
-    parsed = messages.where(F.col(value_col).isNotNull()).withColumn(
-        "_m", F.from_json(value_col, both, {"mode": mode})
-    )
-    bare = F.struct(*[F.col("_m")[f.name].alias(f.name) for f in wire.fields])
-    parsed = parsed.withColumn("_e", F.coalesce(F.col("_m.payload"), bare))
-    typed = {
-        f.name: from_wire(F.col("_e")[f.name], f.dataType).alias(f.name) for f in event.fields
-    }
+    parsed = unwrap(messages, wire_type(event), value_col, mode)
+    typed = [
+        from_wire(F.col("_body")[f.name], f.dataType).alias(f.name) for f in event.fields
+    ]
     kept = [c for c in messages.columns if c != value_col]
-    return parsed.where(F.col("_e.op").isNotNull()).select(*kept, *typed.values())
+    return parsed.where(F.col("_body.op").isNotNull()).select(*kept, *typed)
 
 
 def snapshot_load(
