@@ -133,6 +133,15 @@ def test_roles(spark):
     assert [r["accepted"] for r in reg.check_roles(df).collect()] == [True, False, False]
 
 
+def test_session_catalog_as_dictionary(spark, path):
+    spark.createDataFrame([(1, "a")], "id int, name string").write.option("path", f"{path}/t").saveAsTable("default.stock")
+    try:
+        got = rows(reg.catalog_columns(spark, "default").where("table_name = 'STOCK'"))
+    finally:
+        spark.sql("DROP TABLE default.stock")
+    assert got == [("DEFAULT", "STOCK", "ID", "int", 1), ("DEFAULT", "STOCK", "NAME", "string", 2)]
+
+
 # --- mappings -------------------------------------------------------------------------
 
 
@@ -167,6 +176,15 @@ def test_apply_mapping_prunes_the_scan(spark, path):
 # --- lists ---------------------------------------------------------------------------
 
 
+def test_timeline_write_never_fails_the_caller(spark, path):
+    from tidemark.sinks.stores import record_events
+
+    df = spark.createDataFrame([(1, "CDC")], "event_id bigint, schema_name string")
+    assert record_events(df, f"{path}/events")
+    assert not record_events(df.withColumn("bad", F.raise_error(F.lit("no")).cast("string")), f"{path}/events")
+    assert spark.read.parquet(f"{path}/events").count() == 1
+
+
 def test_timeline(spark):
     df = spark.createDataFrame(
         [(i, "CDC", "AUTO_100" if i % 2 else "T1", "ERROR" if i % 3 == 0 else "INFO") for i in range(300)],

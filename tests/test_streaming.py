@@ -65,7 +65,8 @@ def test_delivered_twice_changes_nothing(spark, path):
     target = TargetTable(spark, f"{path}/target", ["ID"])
     put(as_events(spark, changes), topic)
     put(as_events(spark, changes[40:90]), topic)
-    run(S.start_apply, stream(spark, topic), target, f"{path}/cp1")
+    run(S.start_apply, stream(spark, topic, maxFilesPerTrigger="1"), target, f"{path}/cp1", compact_every=1)
+    assert rows(target.read()) == brute(changes)
     # A lost checkpoint reads everything again.
     run(S.start_apply, stream(spark, topic), target, f"{path}/cp-new", prefix="reread")
     assert rows(target.read()) == brute(changes)

@@ -71,6 +71,33 @@ def test_truncate_starts_a_new_history(spark, path):
     assert rows(target.read()) == [(1, "n", "n")]
 
 
+def test_vacuum_keeps_the_rows(spark, path):
+    import os
+
+    changes = history()
+    target = TargetTable(spark, path, ["ID"])
+    target.apply(state.change_rows(as_events(spark, changes[:50])), "old")
+    target.truncate()
+    for i in range(3):
+        target.apply(state.change_rows(as_events(spark, changes[i * 100 : (i + 1) * 100])), f"b{i}")
+        target.compact()
+    target.vacuum()
+    assert sorted(os.listdir(path)) == ["_pointer", "gen-1"]
+    assert sorted(n for n in os.listdir(f"{path}/gen-1")) == ["base-2", "delta"] and os.listdir(f"{path}/gen-1/delta") == []
+    assert rows(target.read()) == brute(changes)
+    # An old batch that is delivered again does no harm.
+    target.apply(state.change_rows(as_events(spark, changes[:100])), "b0")
+    assert rows(target.read()) == brute(changes)
+
+
+def test_deploy_creates_missing_changelogs(spark, path):
+    registry = spark.createDataFrame([("CDC", "T2"), ("CDC", "T1")], "schema_name string, table_name string")
+    log.ensure_changelog(spark, path, "CDC", "T1")
+    got = [(r["status"], r["detail"]) for r in jobs.deploy(spark, registry, path).collect()]
+    assert got == [("KEPT", "cdc_t1"), ("CREATED", "cdc_t2")]
+    assert log.list_changelogs(spark, path) == ["cdc_t1", "cdc_t2"]
+
+
 # --- recovery ------------------------------------------------------------------------
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 5_000_000
 _CLASSES = 64
-_SLICE, _SEED = "_slice", "_seed"
+_SLICE, _SEED = "_ordered_slice", "_ordered_seed"
 _NO_POSITION = -(2**62)
 
 
@@ -48,7 +48,7 @@ def sliced(
     width: int,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``_slice``: the row's slice for hot keys, null for the rest.
+    """Add ``_ordered_slice``: the row's slice for hot keys, null for the rest.
 
     ``position`` is a number that never falls as the order advances, such as a
     change number, an offset or epoch millis. Without keys the whole table is

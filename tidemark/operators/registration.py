@@ -96,6 +96,8 @@ def catalog_columns(spark, database: str) -> DataFrame:
     """The session catalog as a column relation."""
     rows = []
     for t in spark.catalog.listTables(database):
+        if t.isTemporary:
+            continue
         for i, c in enumerate(spark.catalog.listColumns(f"{database}.{t.name}")):
             rows.append((database.upper(), t.name.upper(), c.name.upper(), c.dataType, i + 1))
     return spark.createDataFrame(

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.reconcile import reconcile
 from tidemark.operators.replay import from_scn, replay_counts
-from tidemark.operators.state import HIDDEN, change_rows
-from tidemark.sinks.changelog import drop_changelog, scan_changelog, table_path
+from tidemark.operators.state import change_rows
+from tidemark.sinks.changelog import drop_changelog, ensure_changelog, scan_changelog, table_path
 from tidemark.sinks.target import TargetTable
 from tidemark.sources.envelopes import snapshot_load
 
@@ -30,6 +30,20 @@ class Steps:
         return spark.createDataFrame(self.rows, STEP)
 
 
+def deploy(spark: SparkSession, registry: DataFrame, changelog_root: str) -> DataFrame:
+    """Create the changelogs that registered tables need; those that exist are kept.
+
+    The registry is configuration, a row per registered table.
+    """
+    steps = Steps()
+    tables = registry.select("schema_name", "table_name").distinct()
+    for t in tables.orderBy("schema_name", "table_name").toLocalIterator():
+        made = ensure_changelog(spark, changelog_root, t["schema_name"], t["table_name"])
+        name = table_path("", t["schema_name"], t["table_name"]).rsplit("=", 1)[1]
+        steps.add("changelog", "CREATED" if made else "KEPT", name)
+    return steps.frame(spark)
+
+
 def recover(
     spark: SparkSession,
     changelog_path: str,
@@ -116,7 +130,3 @@ def unregister(
         drop_changelog(spark, table_path(changelog_root, schema, table), purge=True)
     gone = (F.col("schema_name") == schema) & (F.col("table_name") == table)
     return registry.where(~gone)
-
-
-def visible_columns(state: DataFrame) -> list[str]:
-    return [c for c in state.columns if c not in HIDDEN]

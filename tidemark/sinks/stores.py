@@ -19,7 +19,7 @@ log = logging.getLogger(__name__)
 
 def append_samples(samples: DataFrame, path: str) -> None:
     """Append samples; the partitions carry what series and purges filter on."""
-    day = F.date_format("sampled_at", "yyyy-MM-dd")
+    day = F.col("sampled_at").cast("date").cast("string")
     rows = samples.select(*SAMPLE_COLUMNS).withColumn("p_day", day)
     rows.hint("rebalance", "resolution", "p_day").write.partitionBy("resolution", "p_day").mode(
         "append"

@@ -92,6 +92,26 @@ class TargetTable:
         state.write.mode("overwrite").parquet(f"{self._folder(pointer)}/base-{n}")
         self._move(base=n, compacted=pointer["compacted"] + done)
 
+    def vacuum(self) -> None:
+        """Delete what the pointer no longer uses. Run it when no reader is at work.
+
+        A batch whose folder is gone may be applied again at any time: merging by
+        change order makes that harmless, so nothing about it has to be kept.
+        """
+        pointer = self._pointer()
+        current = f"gen-{pointer['generation']}"
+        for name in files.children(self.spark, self.path):
+            if name.startswith("gen-") and name != current:
+                files.remove(self.spark, f"{self.path}/{name}")
+        for name in files.children(self.spark, f"{self.path}/{current}"):
+            if name.startswith("base-") and name != f"base-{pointer['base']}":
+                files.remove(self.spark, f"{self.path}/{current}/{name}")
+        for name in pointer["compacted"]:
+            files.remove(self.spark, f"{self.path}/{current}/delta/{name}")
+        self._move(compacted=[])
+        for n in files.numbered(self.spark, f"{self.path}/_pointer")[:-1]:
+            files.remove(self.spark, f"{self.path}/_pointer/{n}.json")
+
     # --- reading ---
 
     def _deltas(self, pointer: dict) -> list[str]:

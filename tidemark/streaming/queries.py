@@ -15,7 +15,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.scalars import ntz_millis
+from tidemark.functions.scalars import millis_to_ntz, ntz_micros, ntz_millis
 from tidemark.model import DDL_EVENT
 from tidemark.operators import ddl, health, snapshot
 from tidemark.operators.ordered import latest
@@ -66,11 +66,13 @@ def start_changelog(
 
 def _apply(
     target: TargetTable, prefix: str, paused: DataFrame | None, seq: str | None,
-    batch: DataFrame, batch_id: int,
+    compact_every: int | None, batch: DataFrame, batch_id: int,
 ) -> None:
     if paused is not None:
         batch = exclude_paused(batch, paused)
     target.apply(change_rows(batch, seq), f"{prefix}-{batch_id}")
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        target.compact()
 
 
 def start_apply(
@@ -80,10 +82,12 @@ def start_apply(
     prefix: str = "live",
     paused: DataFrame | None = None,
     seq: str | None = None,
+    compact_every: int | None = 60,
     **kw,
 ) -> StreamingQuery:
     """Apply a stream to a target. Stopping it pauses the table; starting it again catches up."""
-    return start(events, partial(_apply, target, prefix, paused, seq), checkpoint, **kw)
+    handle = partial(_apply, target, prefix, paused, seq, compact_every)
+    return start(events, handle, checkpoint, **kw)
 
 
 # --- schema changes ----------------------------------------------------------------
@@ -127,15 +131,15 @@ def _last_states(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 def _watch(path: str, batch: DataFrame, batch_id: int) -> None:
     """Transitions of this batch against the last known states, then the new last states."""
     columns = STATE_ROW.fieldNames()
-    known = _last_states(batch.sparkSession, path, batch_id).withColumn("_seed", F.lit(True))
-    seen = batch.select(*columns).withColumn("_seed", F.lit(False))
+    known = _last_states(batch.sparkSession, path, batch_id).withColumn("_known", F.lit(True))
+    seen = batch.select(*columns).withColumn("_known", F.lit(False))
     rows = known.unionByName(seen)
     found = health.health_events(
         rows.withColumn("_at", ntz_millis("observed_at")),
         "name", ["observed_at"], F.col("_at"), MINUTE_MS,
     )
     write_batch(
-        found.where(~F.col("_seed")).select(*HEALTH_EVENT.fieldNames()), f"{path}/events", batch_id
+        found.where(~F.col("_known")).select(*HEALTH_EVENT.fieldNames()), f"{path}/events", batch_id
     )
     newest = latest(rows, ["name"], [F.col("observed_at").desc()])
     write_batch(newest.select(*columns), f"{path}/last", batch_id)
@@ -208,15 +212,16 @@ def rollup_stream(samples: DataFrame, lateness: str = "5 minutes") -> DataFrame:
     """Hourly sums of counters over tumbling windows, as an append stream.
 
     An hour is emitted once, when the watermark has passed it; samples that come
-    later are dropped, as they are by the batch roll-up.
+    later are dropped, as they are by the batch roll-up. A watermark needs zoned
+    times, so samples are read as UTC.
     """
     return (
-        samples.withColumn("at", F.col("sampled_at").cast("timestamp"))
+        samples.withColumn("at", F.timestamp_micros(ntz_micros("sampled_at")))
         .withWatermark("at", lateness)
         .groupBy(F.window("at", "1 hour"), "metric", "metric_name")
         .agg(F.sum("sample_value").alias("sample_value"))
         .select(
-            F.col("window.start").cast("timestamp_ntz").alias("sampled_at"),
+            millis_to_ntz(F.unix_millis("window.start")).alias("sampled_at"),
             "metric",
             "metric_name",
             "sample_value",
