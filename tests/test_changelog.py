@@ -52,6 +52,10 @@ def test_pruning_reaches_the_scan(spark, path):
     assert "PartitionFilters" in plan and f">= {DAY0}" in plan
     assert "GreaterThanOrEqual(scn_num,1010)" in plan
     assert cut.count() == 3
+    counts = replay.replay_counts(cut, ["ID"])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "before:struct<ID:bigint>,after:struct<ID:bigint>" in plan
+    assert tuple(counts.first()) == tuple(replay.replay_counts(cut).first()) == (3, 0)
 
 
 def test_schema_grows_by_addition(spark, path):

@@ -31,7 +31,7 @@ def test_decimal_golden(spark):
 
 
 @pytest.mark.parametrize("precision,scale", [(5, 0), (18, 4), (19, 2), (38, 0), (38, 10), (38, 37)])
-@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
 @given(data=st.data())
 def test_decimal_bytes_match_python_at_every_width(spark, precision, scale, data):
     top = 10**precision - 1
@@ -132,7 +132,7 @@ ROWS = st.tuples(
 )
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(images=st.lists(ROWS, min_size=1, max_size=25))
 def test_events_survive_the_wire(spark, images):
     """What is read back from the messages is what went in, for every type."""

@@ -36,6 +36,21 @@ def test_batches_in_any_order_and_twice(spark, path):
         assert rows(target.read()) == brute(changes)
 
 
+def test_compaction_waits_until_it_is_due(spark, path):
+    target = TargetTable(spark, path, ["ID"])
+    load = [event("r", 1, after=(i, f"v{i}", "x")) for i in range(20_000)]
+    target.apply(state.change_rows(events(spark, load)), "load")
+    target.compact(only_if_due=True)
+    assert target._pointer()["base"] == 0
+    target.apply(state.change_rows(events(spark, [event("u", 2, after=(5, "new", "x"))])), "b1")
+    target.compact(only_if_due=True)
+    assert target._pointer()["base"] == 0 and len(target._deltas(target._pointer())) == 1
+    read = target.read()
+    assert rows(read.where("ID in (5, 6)")) == [(5, "new", "x"), (6, "v6", "x")] and read.count() == 20_000
+    target.compact()
+    assert target._pointer()["base"] == 1 and target.read().count() == 20_000
+
+
 def test_delete_of_an_absent_key_is_a_no_op(spark, path):
     target = TargetTable(spark, path, ["ID"])
     target.apply(state.change_rows(events(spark, [event("d", 5, before=(9, "a", "b"))])), "b")

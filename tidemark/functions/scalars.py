@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tidemark.model import DAY_MS
+from tidemark.model import DAY_MS, RECOVERY_PREFIX
 
 Columnish = Column | str
 
@@ -28,7 +28,7 @@ def topic_name(prefix: str, schema: Columnish, table: Columnish) -> Column:
     return F.concat_ws(".", F.lit(prefix), col(schema), col(table))
 
 
-def recovery_topic(schema: Columnish, table: Columnish, prefix: str = "dz-recovery") -> Column:
+def recovery_topic(schema: Columnish, table: Columnish, prefix: str = RECOVERY_PREFIX) -> Column:
     return F.concat(F.lit(prefix + "."), table_suffix(schema, table))
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import types as T
 
 DAY_MS = 86_400_000
 
+# Name prefixes of recovery topics and of the sinks of single tables.
+RECOVERY_PREFIX = "dz-recovery"
+SINK_PREFIX = "dz-jdbc-sink-"
+
 # Operation codes of a change event.
 CREATE, UPDATE, DELETE, SNAPSHOT_READ = "c", "u", "d", "r"
 

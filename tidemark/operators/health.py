@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import effective_state, is_broken, status_trace
-from tidemark.model import CONNECTOR_STATUS
+from tidemark.model import CONNECTOR_STATUS, SINK_PREFIX
 from tidemark.operators.ordered import HOT_ROWS, previous
 from tidemark.operators.routing import attribute
 
@@ -68,7 +68,7 @@ def health_timeline(events: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def sink_group(states: DataFrame, prefix: str = "dz-jdbc-sink-") -> DataFrame:
+def sink_group(states: DataFrame, prefix: str = SINK_PREFIX) -> DataFrame:
     """One row: combined state of the table sinks and how many there are."""
     sinks = states.where(F.col("name").startswith(prefix))
     n = F.count(F.lit(1))

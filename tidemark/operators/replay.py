@@ -46,9 +46,16 @@ def messages(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def replay_counts(events: DataFrame) -> DataFrame:
-    """How many events a replay publishes and how many it skips."""
-    skipped = F.count_if(key_image(events.schema).isNull())
+def replay_counts(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """How many events a replay publishes and how many it skips.
+
+    With ``keys`` the images are judged by their first key column, which is never
+    null in an image; the scan then reads that one column of them.
+    """
+    image = key_image(events.schema)
+    if keys:
+        image = F.coalesce(f"after.{keys[0]}", f"before.{keys[0]}")
+    skipped = F.count_if(image.isNull())
     return events.agg(
         (F.count(F.lit(1)) - skipped).alias("published"), skipped.alias("skipped")
     )

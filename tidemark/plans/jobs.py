@@ -62,7 +62,7 @@ def recover(
     steps = Steps()
     try:
         events = from_scn(scan_changelog(spark, changelog_path), scn, since_ms)
-        counts = replay_counts(events).first()
+        counts = replay_counts(events, target.keys).first()
         steps.add("replay", "DONE", f"published={counts['published']} skipped={counts['skipped']}")
         target.apply(change_rows(events, seq), f"recovery-{scn}-{uuid.uuid4().hex[:8]}")
         steps.add("apply", "APPLIED")

@@ -81,11 +81,15 @@ class TargetTable:
     def truncate(self) -> None:
         self._move(generation=self._pointer()["generation"] + 1, base=None, compacted=[])
 
-    def compact(self) -> None:
-        """Write a new base from base and deltas, then point to it."""
+    def compact(self, only_if_due: bool = False) -> None:
+        """Write a new base from base and deltas, then point to it.
+
+        It is due once the deltas have grown to a tenth of the base, so a large
+        base is not rewritten for a few changes.
+        """
         pointer = self._pointer()
         done = self._deltas(pointer)
-        if not done:
+        if not done or (only_if_due and self._small(pointer, done)):
             return
         n = 0 if pointer["base"] is None else pointer["base"] + 1
         state = self.state().hint("rebalance")
@@ -126,6 +130,15 @@ class TargetTable:
             and files.exists(self.spark, f"{root}/{n}/_SUCCESS")
         ]
 
+    def _small(self, pointer: dict, deltas: list[str]) -> bool:
+        """Whether some deltas are small next to the base, by file sizes."""
+        if pointer["base"] is None:
+            return False
+        folder = self._folder(pointer)
+        delta_bytes = files.size(self.spark, [f"{folder}/delta/{d}" for d in deltas])
+        base_bytes = files.size(self.spark, [f"{folder}/base-{pointer['base']}"])
+        return delta_bytes * SMALL_SHARE < base_bytes
+
     def state(self) -> DataFrame:
         """Every key ever seen in this generation, deleted ones flagged."""
         pointer = self._pointer()
@@ -137,13 +150,10 @@ class TargetTable:
         base = None if pointer["base"] is None else read.parquet(f"{folder}/base-{pointer['base']}")
         if not deltas:
             return base if base is not None else self.spark.createDataFrame([], schema)
-        paths = [f"{folder}/delta/{d}" for d in deltas]
-        new = read.parquet(*paths)
+        new = read.parquet(*[f"{folder}/delta/{d}" for d in deltas])
         if base is None:
             return new if len(deltas) == 1 else fold(new, self.keys)
-        base_bytes = files.size(self.spark, [f"{folder}/base-{pointer['base']}"])
-        small = files.size(self.spark, paths) * SMALL_SHARE < base_bytes
-        return merge_batch(base, new, self.keys, small_batch=small)
+        return merge_batch(base, new, self.keys, small_batch=self._small(pointer, deltas))
 
     def read(self) -> DataFrame:
         return live(self.state())

@@ -72,7 +72,7 @@ def _apply(
         batch = exclude_paused(batch, paused)
     target.apply(change_rows(batch, seq), f"{prefix}-{batch_id}")
     if compact_every and (batch_id + 1) % compact_every == 0:
-        target.compact()
+        target.compact(only_if_due=True)
 
 
 def start_apply(
