@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.text import first_line, is_ignorable, retarget_ddl
+from tidemark.operators.lookup import lookup
 from tidemark.sources.messages import strings, unwrap
 
 # The parts of a schema-change message that are used.
@@ -64,10 +65,8 @@ def match_registered(events: DataFrame, registry: DataFrame) -> DataFrame:
         F.coalesce("target_schema", "schema_name").alias("target_schema"),
         F.coalesce("target_table", "table_name").alias("target_table"),
     )
-    on = (F.upper(events["schema_name"]) == tables["_s"]) & (
-        F.upper(events["table_name"]) == tables["_t"]
-    )
-    return events.join(tables, on).drop("_s", "_t")
+    on = {"_s": F.upper("schema_name"), "_t": F.upper("table_name")}
+    return lookup(events, tables, on, ["kafka_offset"]).drop("_s", "_t")
 
 
 def with_target_ddl(matched: DataFrame) -> DataFrame:

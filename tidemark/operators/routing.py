@@ -5,29 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.scalars import changelog_name, table_suffix
+from tidemark.operators.lookup import lookup
 
 
 def route(events: DataFrame, registry: DataFrame) -> DataFrame:
     """Registered events with the changelog they go to, chosen by table name.
 
     Table names are unique across schemas by registration, so the name alone
-    routes. The registry side is broadcast when its size allows; otherwise the
-    join shuffles and adaptive execution splits a table that dominates.
+    routes.
     """
     names = registry.select(
         F.col("table_name").alias("_table"),
         changelog_name("schema_name", "table_name").alias("changelog_table"),
     )
-    return events.join(names, events["source.table"] == names["_table"]).drop("_table")
+    found = lookup(events, names, {"_table": F.col("source.table")}, ["source", "ts_ms"])
+    return found.drop("_table")
+
+
+def of_tables(events: DataFrame, tables: DataFrame, how: str) -> DataFrame:
+    """Events whose table is (``left_semi``) or is not (``left_anti``) among some tables."""
+    names = tables.select(
+        F.col("schema_name").alias("_schema"), F.col("table_name").alias("_table")
+    ).distinct()
+    on = {"_schema": F.col("source.schema"), "_table": F.col("source.table")}
+    return lookup(events, names, on, ["source", "ts_ms"], how)
+
+
+def include_tables(events: DataFrame, registry: DataFrame) -> DataFrame:
+    """Events of registered tables only."""
+    return of_tables(events, registry, "left_semi")
 
 
 def exclude_paused(events: DataFrame, paused: DataFrame) -> DataFrame:
     """Events to apply: those of paused tables are held back, not lost."""
-    held = paused.select("schema_name", "table_name").distinct()
-    on = (events["source.schema"] == held["schema_name"]) & (
-        events["source.table"] == held["table_name"]
-    )
-    return events.join(held, on, "left_anti")
+    return of_tables(events, paused, "left_anti")
 
 
 def attribute(names: DataFrame, registry: DataFrame, name: str = "name") -> DataFrame:

@@ -61,15 +61,6 @@ def changes_after(events: DataFrame, start_scn: int) -> DataFrame:
     return events.where((F.col("op") != SNAPSHOT_READ) & (scn_long() > start_scn))
 
 
-def include_tables(events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Events of registered tables only."""
-    wanted = registry.select("schema_name", "table_name").distinct()
-    on = (events["source.schema"] == wanted["schema_name"]) & (
-        events["source.table"] == wanted["table_name"]
-    )
-    return events.join(wanted, on, "left_semi")
-
-
 def include_list(registry: DataFrame) -> DataFrame:
     """One row: the ``SCHEMA.TABLE,...`` list of all registered tables."""
     names = F.sort_array(F.collect_list(F.concat_ws(".", "schema_name", "table_name")))

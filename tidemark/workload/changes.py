@@ -8,13 +8,13 @@ from tidemark.functions.connect import connect_key, connect_payload, decimal_to_
 from tidemark.functions.scalars import changelog_name, day_label, recovery_topic, scn_long, topic_name
 from tidemark.operators import replay, state
 from tidemark.operators.reconcile import target_counts
-from tidemark.operators.routing import route
+from tidemark.operators.routing import include_tables, route
 from tidemark.plans import jobs
 from tidemark.session import shared_dir
 from tidemark.sinks import changelog as log
 from tidemark.sinks.target import TargetTable
 from tidemark.sources.envelopes import (
-    changes_after, include_list, include_tables, read_envelopes, snapshot_load,
+    changes_after, include_list, read_envelopes, snapshot_load,
 )
 from tidemark.workload import query
 from tidemark.workload.inputs import OPS, changes, full_changes, ops, table
