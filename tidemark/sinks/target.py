@@ -92,7 +92,7 @@ class TargetTable:
         if not done or (only_if_due and self._small(pointer, done)):
             return
         n = 0 if pointer["base"] is None else pointer["base"] + 1
-        state = self.state().hint("rebalance")
+        state = self.state().hint("rebalance", *self.keys)
         state.write.mode("overwrite").parquet(f"{self._folder(pointer)}/base-{n}")
         self._move(base=n, compacted=pointer["compacted"] + done)
 
