@@ -54,8 +54,7 @@ def sliced(
     change number, an offset or epoch millis. Without keys the whole table is
     one sequence, and every row is in a slice.
     """
-    cell = F.floor(position / F.lit(width)).cast("bigint")
-    cell = F.coalesce(cell, F.lit(_NO_POSITION))
+    cell = F.coalesce(position - F.pmod(position, F.lit(width)), F.lit(_NO_POSITION))
     if not keys:
         return df.withColumn(_SLICE, cell)
     hot = _hot_keys(df, keys, order, hot_rows)
