@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import shared_dir
 
@@ -128,3 +129,20 @@ def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(0xD6E8FEB86659FD93)
         out += hashes[j : j + m]
     return mix(out)
+
+
+def annotate(df: DataFrame, fn, added: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default all) and those that ``fn`` makes of each Arrow batch.
+
+    ``added`` is the DDL of the new columns; they replace input columns of the same names.
+    """
+    new = T.StructType.fromDDL(added)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    schema = T.StructType([df.schema[c] for c in kept] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fn(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], schema.names)
+
+    return df.mapInArrow(run, schema)

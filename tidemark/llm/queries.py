@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import language
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,3 +57,49 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped",
         F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+URL_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+]
+
+
+@query(
+    r"""
+    WITH rules(h, p, v) AS (
+      VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+             ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+    ), rests AS (
+      SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest,
+             row_number() OVER () AS n
+      FROM pages
+    ), sites AS (
+      SELECT page_id, n,
+             coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+      FROM rests
+    ), fits AS (
+      SELECT s.*, h || p AS rule, v,
+             row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC) AS place
+      FROM sites s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    )
+    SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE place = 1
+    """
+)
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the longest rule that fits its url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from three quarters of the labelled documents, predicted for all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    trees = language.train(docs.where(fold != 2))
+    found = language.identify(docs.select("doc_id", "text"), trees, keep=["doc_id"])
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
