@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import shutil
+import tempfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +31,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.lru_cache(maxsize=4)
+def _archive(context_id: str) -> str:
+    package = Path(__file__).resolve().parents[1]
+    return shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once for each application; they may not have it installed."""
+    context = spark.sparkContext
+    if not any(Path(x).name == "tidemark.zip" for x in context.listFiles):
+        context.addPyFile(_archive(context.applicationId))
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
@@ -145,4 +166,4 @@ def annotate(df: DataFrame, fn, added: str, keep: list[str] | None = None) -> Da
             made = fn(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language
+from tidemark.llm import bpe, language, token_files
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.url_filter import judge_urls
+from tidemark.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +105,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = language.train(docs.where(fold != 2))
     found = language.identify(docs.select("doc_id", "text"), trees, keep=["doc_id"])
     return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to byte-level BPE ids and back."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, ranks, pattern, packed=True, keep=["doc_id"])
+    ids = ids.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    back = bpe.decode(ids, ranks, pattern, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, each with an end id, written and read back."""
+    folder = shared_dir(spark, "token-files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.with_crc32(
+        token_files.read_tokens(spark, folder), keep=["doc_id", "start", "n_tokens"]
+    )
