@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -88,10 +89,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that are hashed in one step; a longer word is hashed by itself.
+_HASH_BYTES = 1 << 18
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     def run(base: int) -> np.ndarray:
-        steps = np.full(n + 1, base % 2**64, np.uint64)
+        steps = np.full(_HASH_BYTES + 1, base % 2**64, np.uint64)
         steps[0] = 1
         return np.multiply.accumulate(steps)
 
@@ -131,13 +136,31 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     if len(joined):
         marks = np.sort(np.concatenate([marks, np.unique(joined), np.unique(joined)]))
     begin, end = marks[0::2], marks[1::2]
-    size = 1 << max(16, int(len(data)).bit_length())
-    powers, inverse = _powers(size)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((LOWER_BYTES[data].astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-    hashes = (sums[end] - sums[begin]) * inverse[begin]
-    return begin, end, mix(hashes + (end - begin).astype(np.uint64))
+    return begin, end, _hashes(data, begin, end)
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of words, from prefix sums over stretches of whole words."""
+    powers, inverse = _powers()
+    out = np.empty(len(begin), np.uint64)
+    first = 0
+    while first < len(begin):
+        base = begin[first]
+        last = int(np.searchsorted(end, base + _HASH_BYTES, "right"))
+        if last == first:
+            word = LOWER_BYTES[data[base : end[first]]].tobytes()
+            out[first] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            first += 1
+            continue
+        part = LOWER_BYTES[data[base : end[last - 1]]].astype(np.uint64)
+        part += np.uint64(1)
+        part *= powers[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        a, b = begin[first:last] - base, end[first:last] - base
+        out[first:last] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+        first = last
+    return mix(out)
 
 
 def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, language, token_files
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.tiling import find_leaks
 from tidemark.llm.url_filter import judge_urls
 from tidemark.session import shared_dir
 
@@ -127,3 +128,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(
         token_files.read_tokens(spark, folder), keep=["doc_id", "start", "n_tokens"]
     )
+
+
+@query()
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold, in one piece or in several, and where."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, table(spark, sf_dir, "benchmark"))
