@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,3 +190,19 @@ def annotate(df: DataFrame, fn, added: str, keep: list[str] | None = None) -> Da
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], schema.names)
 
     return map_arrow(df, run, schema)
+
+
+def draw(rows: DataFrame, by: str, per_value: int) -> DataFrame:
+    """At most ``per_value`` rows for each value of ``by``: those of the smallest ``draw`` (a 64-bit hash column).
+
+    The share of the hash range that holds a few more rows than wanted follows
+    from the counts, so only that many rows are shuffled, however hot a value.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    share = F.least(F.lit(1.0), F.lit(per_value * 1.2 + 20) / F.col("__n"))
+    limits = counts.select(by, (share * 2.0**64 - 2.0**63).alias("__limit"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("draw"))
+    return (
+        rows.join(limits, by).where(F.col("draw") <= F.col("__limit"))
+        .withColumn("__rank", rank).where(F.col("__rank") <= per_value).drop("__rank", "__limit")
+    )

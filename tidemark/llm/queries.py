@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, language, token_files
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.tiling import find_leaks
+from tidemark.llm.toxicity import score_toxicity
 from tidemark.llm.url_filter import judge_urls
 from tidemark.session import shared_dir
 
@@ -135,3 +136,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold, in one piece or in several, and where."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by its nearest labelled examples from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scored = score_toxicity(docs, labels)
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
