@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, language, token_files
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.tiling import find_leaks
+from tidemark.llm.topk import quantized, top_k
 from tidemark.llm.toxicity import score_toxicity
 from tidemark.llm.url_filter import judge_urls
 from tidemark.session import shared_dir
@@ -149,3 +150,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query(
+    """
+    WITH vectors AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scores AS (
+      SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+      FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM scores
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """
+)
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best matches of every hundredth vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", quantized(F.col("embedding")).alias("vector")
+    )
+    return top_k(vectors.where("vec_id % 100 = 0"), vectors)
