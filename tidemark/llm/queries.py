@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, language, token_files
+from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.tiling import find_leaks
 from tidemark.llm.topk import quantized, top_k
@@ -176,3 +177,9 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", quantized(F.col("embedding")).alias("vector")
     )
     return top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+@query()
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document, at a Jaccard similarity of 0.75 of word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
