@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, language, token_files
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.suffix_dedup import cut_repeats
 from tidemark.llm.tiling import find_leaks
 from tidemark.llm.topk import quantized, top_k
 from tidemark.llm.toxicity import score_toxicity
@@ -183,3 +184,14 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document, at a Jaccard similarity of 0.75 of word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the 50-byte strings that an earlier document holds."""
+    cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
