@@ -72,7 +72,7 @@ class LineRuns:
         for k, (_, run) in enumerate(self.runs):
             found = found.join(run.withColumnRenamed("doc", f"seen_{k}"), ["h1", "h2"], "left")
             seen = F.coalesce(F.col(f"seen_{k}"), seen)
-        table = self._write(
+        table, path = self._write(
             found.select(
                 "h1", "h2",
                 F.coalesce(seen, "first").alias("doc"),
@@ -81,7 +81,9 @@ class LineRuns:
             )
         )
         self.runs.append((0, table.where("fresh").select("h1", "h2", "doc")))
-        shared = table.where("shared").select("h1", "h2", F.col("doc").alias("keeper"))
+        # Read without bucketing: then both sides are shuffled and a hot line's partition can be split.
+        plain = self.spark.read.schema(table.schema).parquet(path)
+        shared = plain.where("shared").select("h1", "h2", F.col("doc").alias("keeper"))
         dropped = (
             keys.join(shared, ["h1", "h2"])
             .where("doc <> keeper")
@@ -106,19 +108,20 @@ class LineRuns:
             if len(full) >= self.fanout:
                 merged = reduce(DataFrame.union, full).repartition(self.buckets, "h1", "h2")
                 self.runs = [x for x in self.runs if x[0] != level]
-                self.runs.append((level + 1, self._write(merged)))
+                self.runs.append((level + 1, self._write(merged)[0]))
             level += 1
 
-    def _write(self, run: DataFrame) -> DataFrame:
+    def _write(self, run: DataFrame) -> tuple[DataFrame, str]:
         """Store a run and read it again; the catalog entry only serves to keep the bucketing known."""
         name = f"line_run_{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}"
         (
             run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-            .option("path", f"{self.folder}/{name}").saveAsTable(name)
+            .option("path", path).saveAsTable(name)
         )
         table = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")
-        return table
+        return table, path
 
 
 def _kept() -> Column:
@@ -140,7 +143,7 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, id_col: str
     """A whole table, fed to the runs in batches of ascending id: the smallest id keeps a line."""
     runs = LineRuns(docs.sparkSession, fanout=fanout, min_chars=min_chars)
     shares = [k / batches for k in range(1, batches)]
-    edges = sorted(set(docs.approxQuantile(id_col, shares, 0.01)))
+    edges = sorted(set(docs.approxQuantile(id_col, shares, 0.01))) if shares else []
     place = F.col(id_col)
     parts = []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
