@@ -23,18 +23,22 @@ def from_scn(events: DataFrame, scn: int, since_ms: int | None = None) -> DataFr
     return events.where(number >= scn)
 
 
-def replay_order(events: DataFrame, tie: Sequence[str] = ("ts_ms",)) -> DataFrame:
+def replay_order(events: DataFrame, tie: Sequence[str] | None = None) -> DataFrame:
     """Global order: change number, then transaction as text, then the tie columns.
 
-    A range sort, so a key or transaction of any size is spread over tasks.
+    Those are by default the order of arrival where it is stored, else the event
+    time. A range sort, so a key or transaction of any size is spread over tasks.
     """
+    if tie is None:
+        stored = {"commit_seq", "ingest_seq"} <= set(events.columns)
+        tie = ("commit_seq", "ingest_seq") if stored else ("ts_ms",)
     number = F.col("scn_num") if "scn_num" in events.columns else scn_long("source.scn")
     return events.orderBy(
         number.asc_nulls_last(), F.coalesce(F.col("source.txId"), F.lit("")), *tie
     )
 
 
-_STORAGE = ("scn_num", "commit_id", "p_ts_ms")
+_STORAGE = ("scn_num", "commit_id", "p_ts_ms", "commit_seq", "ingest_seq")
 
 
 def messages(events: DataFrame, keys: Sequence[str]) -> DataFrame:

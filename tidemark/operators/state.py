@@ -9,6 +9,7 @@ whatever the arrival order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,13 +29,17 @@ def change_rows(events: DataFrame, seq: str | None = None) -> DataFrame:
     """One flat row per event: the image columns and the order columns.
 
     Rows take their image from ``after``, on deletes from ``before``. Events
-    with neither cannot name a key and are left out. ``seq`` breaks ties inside
-    one transaction; without it the event time does, then a hash of the event.
+    with neither cannot name a key and are left out. Inside one transaction the
+    order of arrival counts: the column ``seq`` if given, else commit and place
+    within it as a changelog or a stream stores them (see ``with_ingest_order``).
+    Events that carry neither are ordered by event time, then by a hash.
     """
     image = F.coalesce("after", "before")
     columns = events.schema["after"].dataType.fieldNames()
     if seq:
-        place, tie = F.col(seq).cast("bigint"), F.lit(0).cast("bigint")
+        place, tie = F.lit(0).cast("bigint"), F.col(seq).cast("bigint")
+    elif {"commit_seq", "ingest_seq"} <= set(events.columns):
+        place, tie = F.col("commit_seq"), F.col("ingest_seq")
     else:
         place, tie = F.col("ts_ms"), F.xxhash64("op", "before", "after")
     scn = F.col("scn_num") if "scn_num" in events.columns else scn_long("source.scn")
@@ -52,6 +57,19 @@ def change_rows(events: DataFrame, seq: str | None = None) -> DataFrame:
     )
 
 
+def with_ingest_order(events: DataFrame, commit_seq: int, seq: str | None = None) -> DataFrame:
+    """Events with ``commit_seq`` and ``ingest_seq``, their place in the order of arrival.
+
+    The place is the column ``seq``, such as a message offset, then the commits
+    need no order among them; else the position in the batch.
+    """
+    if seq:
+        commit_seq, place = 0, F.col(seq).cast("bigint")
+    else:
+        place = F.monotonically_increasing_id()
+    return events.withColumns({"commit_seq": F.lit(commit_seq).cast("bigint"), "ingest_seq": place})
+
+
 def fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Last row per key, tombstones included."""
     return latest(rows, keys, newest_first())
@@ -75,12 +93,15 @@ def merge_batch(
     occurs in it meet it in a fold. The others pass through an anti join, which
     needs no shuffle of the state while the batch keys can be broadcast. A batch
     of the state's own size is folded together with it, one shuffle for both.
+    Both give the same rows; a null key is a key like any other.
     """
     if not small_batch:
         return fold(state.unionByName(batch.select(*state.columns)), keys)
     new = fold(batch, keys)
-    touched = state.join(new.select(*keys), list(keys), "left_semi").select(*state.columns)
-    untouched = state.join(new.select(*keys), list(keys), "left_anti").select(*state.columns)
+    named = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys))
+    touched = state.join(named, same, "left_semi")
+    untouched = state.join(named, same, "left_anti")
     merged = fold(touched.unionByName(new.select(*state.columns)), keys)
     return untouched.unionByName(merged)
 

@@ -3,9 +3,10 @@
 A changelog is the folder ``changelog_table=<schema>_<table>`` below a root, so one
 write can route a mixed stream to many changelogs.
 
-Events are stored as they are. Three columns stand beside the envelope:
+Events are stored as they are. Five columns stand beside the envelope:
 ``p_ts_ms`` (the day partition), ``scn_num`` (the change number as a number, so
-that Parquet statistics can skip row groups) and ``commit_id``.
+that Parquet statistics can skip row groups), ``commit_id``, and ``commit_seq``
+with ``ingest_seq``, the order in which events came in.
 
 The declared schema lives in ``_schema/<n>.json`` and grows by addition. A scan
 uses it directly instead of merging file footers.
@@ -14,12 +15,15 @@ uses it directly instead of merging file footers.
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.scalars import day_label, scn_long, truncate_ms
 from tidemark.model import CHANGELOG_SKELETON, DAY_MS
 from tidemark.operators.routing import route
+from tidemark.operators.state import with_ingest_order
 from tidemark.sinks import files
 
 _PREFIX = "changelog_table="
@@ -27,6 +31,8 @@ _PREFIX = "changelog_table="
 BESIDE = [
     T.StructField("scn_num", T.LongType()),
     T.StructField("commit_id", T.StringType()),
+    T.StructField("commit_seq", T.LongType()),
+    T.StructField("ingest_seq", T.LongType()),
     T.StructField("p_ts_ms", T.LongType()),
 ]
 
@@ -88,8 +94,13 @@ def evolve(current: T.StructType, incoming: T.StructType) -> T.StructType:
     return T.StructType(fields)
 
 
-def with_storage_columns(events: DataFrame, commit_id: str) -> DataFrame:
-    return events.withColumns(
+def with_storage_columns(
+    events: DataFrame, commit_id: str, commit_seq: int | None = None, seq: str | None = None
+) -> DataFrame:
+    """Events with the columns that stand beside them; commits are numbered by time if not told."""
+    if commit_seq is None:
+        commit_seq = time.time_ns() // 1_000
+    return with_ingest_order(events, commit_seq, seq).withColumns(
         {
             "scn_num": scn_long("source.scn"),
             "commit_id": F.lit(commit_id),
@@ -106,17 +117,23 @@ def _declare(spark: SparkSession, path: str, incoming: T.StructType) -> None:
 
 
 def append_changelog(
-    events: DataFrame, path: str, commit_id: str, cluster: bool = True
+    events: DataFrame,
+    path: str,
+    commit_id: str,
+    cluster: bool = True,
+    commit_seq: int | None = None,
+    seq: str | None = None,
 ) -> None:
     """Append events to one changelog, growing its schema first when needed.
 
     ``cluster`` range-partitions by day and change number. Files then cover
     narrow change-number ranges, a day of any size is spread over many tasks,
     and no task writes to every day. Small streaming batches pass ``False`` and
-    leave file sizing to a rebalance.
+    leave file sizing to a rebalance. The order inside a transaction is that of
+    the column ``seq``, which is not stored otherwise, else that of the rows.
     """
-    _declare(events.sparkSession, path, events.schema)
-    rows = with_storage_columns(events, commit_id)
+    _declare(events.sparkSession, path, events.drop(seq or "").schema)
+    rows = with_storage_columns(events, commit_id, commit_seq, seq).drop(seq or "")
     if cluster:
         rows = rows.repartitionByRange("p_ts_ms", "scn_num").sortWithinPartitions(
             "p_ts_ms", "scn_num"
@@ -126,17 +143,30 @@ def append_changelog(
     rows.write.partitionBy("p_ts_ms").mode("append").parquet(path)
 
 
-def append_routed(events: DataFrame, registry: DataFrame, root: str, commit_id: str) -> None:
+def append_routed(
+    events: DataFrame,
+    registry: DataFrame,
+    root: str,
+    commit_id: str,
+    row_types: Mapping[tuple[str, str], T.StructType] | None = None,
+    commit_seq: int | None = None,
+    seq: str | None = None,
+) -> None:
     """Append a mixed stream of events, each to the changelog of its table.
 
-    Events of unregistered tables are left out. One write serves all changelogs;
-    the rebalance splits a table or day that dominates and merges small ones.
+    Events of unregistered tables are left out. ``row_types`` gives the image
+    columns of single tables; images in a mixed stream have the columns of all.
+    One write serves all changelogs; the rebalance splits a table or day that
+    dominates and merges small ones.
     """
     spark = events.sparkSession
+    shape = events.drop(seq or "").schema
     tables = registry.select("schema_name", "table_name").distinct()
     for t in tables.toLocalIterator():
-        _declare(spark, table_path(root, t["schema_name"], t["table_name"]), events.schema)
-    rows = with_storage_columns(route(events, registry), commit_id).withColumn(
+        own = (row_types or {}).get((t["schema_name"], t["table_name"]))
+        _declare(spark, table_path(root, t["schema_name"], t["table_name"]), _with_images(shape, own))
+    rows = with_storage_columns(events, commit_id, commit_seq, seq).drop(seq or "")
+    rows = route(rows, registry).withColumn(
         "changelog_table", F.substring_index("changelog_table", ".", -1)
     )
     rows.hint("rebalance", "changelog_table", "p_ts_ms").write.partitionBy(
@@ -144,6 +174,14 @@ def append_routed(events: DataFrame, registry: DataFrame, root: str, commit_id:
     ).mode("append").parquet(root)
 
 
+def _with_images(shape: T.StructType, row: T.StructType | None) -> T.StructType:
+    """An event's fields with images of another row type."""
+    if row is None:
+        return shape
+    images = ("before", "after")
+    return T.StructType([T.StructField(f.name, row if f.name in images else f.dataType) for f in shape.fields])
+
+
 def scan_changelog(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
     """The whole changelog, or the days from the one holding ``since_ms`` on."""
     schema = read_schema(spark, path)
@@ -183,7 +221,7 @@ def expire_changelog(spark: SparkSession, path: str, cutoff_ms: int) -> list[int
 
 def scan_contents(spark: SparkSession, root: str) -> DataFrame:
     """What the content reports need of all changelogs below a root, in one scan."""
-    columns = [f for f in BESIDE if f.name != "scn_num"]
+    columns = [f for f in BESIDE if f.name in ("commit_id", "p_ts_ms")]
     schema = T.StructType(columns + [T.StructField("changelog_table", T.StringType())])
     return spark.read.schema(schema).parquet(root)
 

@@ -20,7 +20,7 @@ from tidemark.model import DDL_EVENT
 from tidemark.operators import ddl, health, snapshot
 from tidemark.operators.ordered import latest
 from tidemark.operators.routing import exclude_paused
-from tidemark.operators.state import change_rows
+from tidemark.operators.state import change_rows, with_ingest_order
 from tidemark.sinks.changelog import append_changelog
 from tidemark.sinks.stores import batches, read_batches, write_batch
 from tidemark.sinks.target import TargetTable
@@ -54,14 +54,16 @@ def start(
 # --- change events: changelog and target -------------------------------------------
 
 
-def _append(path: str, commit: str, batch: DataFrame, batch_id: int) -> None:
-    append_changelog(batch, path, f"{commit}-{batch_id}", cluster=False)
+def _append(path: str, commit: str, seq: str | None, batch: DataFrame, batch_id: int) -> None:
+    name = f"{commit}-{batch_id}"
+    append_changelog(batch, path, name, cluster=False, commit_seq=batch_id, seq=seq)
 
 
 def start_changelog(
-    events: DataFrame, path: str, checkpoint: str, commit: str = "stream", **kw
+    events: DataFrame, path: str, checkpoint: str, commit: str = "stream", seq: str | None = None, **kw
 ) -> StreamingQuery:
-    return start(events, partial(_append, path, commit), checkpoint, **kw)
+    """Append a stream to a changelog; ``seq`` names its offset column, if it has one."""
+    return start(events, partial(_append, path, commit, seq), checkpoint, **kw)
 
 
 def _apply(
@@ -70,7 +72,8 @@ def _apply(
 ) -> None:
     if paused is not None:
         batch = exclude_paused(batch, paused)
-    target.apply(change_rows(batch, seq), f"{prefix}-{batch_id}")
+    ordered = with_ingest_order(batch, batch_id, seq)
+    target.apply(change_rows(ordered), f"{prefix}-{batch_id}")
     if compact_every and (batch_id + 1) % compact_every == 0:
         target.compact(only_if_due=True)
 
@@ -129,10 +132,20 @@ def _last_states(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 
 
 def _watch(path: str, batch: DataFrame, batch_id: int) -> None:
-    """Transitions of this batch against the last known states, then the new last states."""
+    """Transitions of this batch against the last known states, then the new last states.
+
+    A poll that is no later than the known one of its connector has been
+    overtaken and tells nothing; of polls at one time one counts.
+    """
     columns = STATE_ROW.fieldNames()
     known = _last_states(batch.sparkSession, path, batch_id).withColumn("_known", F.lit(True))
-    seen = batch.select(*columns).withColumn("_known", F.lit(False))
+    last = known.select("name", F.col("observed_at").alias("_last"))
+    seen = latest(
+        batch.select(*columns).join(last, "name", "left")
+        .where(F.col("_last").isNull() | (F.col("observed_at") > F.col("_last"))),
+        ["name", "observed_at"],
+        [F.col("state").desc_nulls_last(), F.col("trace").desc_nulls_last()],
+    ).select(*columns, F.lit(False).alias("_known"))
     rows = known.unionByName(seen)
     found = health.health_events(
         rows.withColumn("_at", ntz_millis("observed_at")),
