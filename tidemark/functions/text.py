@@ -42,6 +42,11 @@ def is_identity(target: Columnish, expr: Columnish) -> Column:
 # --- schema changes ----------------------------------------------------------
 
 
+def is_blank(text: Columnish) -> Column:
+    """Null, empty or white space only."""
+    return F.coalesce(_strip(col(text)) == "", F.lit(True))
+
+
 def is_ignorable(ddl: Columnish) -> Column:
     text = F.upper(_strip(col(ddl)))
     first_word = F.split(text, r"\s+", 2)[0]
@@ -89,6 +94,7 @@ def retarget_ddl(
     qualified = F.concat(
         F.lit(r'(?i)(?<![\w"])"?'), _quoted(s), F.lit(r'"?\."?'), _quoted(t), F.lit(r'"?(?!\w)')
     )
+    # Fixed value: how a bare table name is told from part of another name.
     bare = F.concat(F.lit(r'(?i)(?<![\w."])"?'), _quoted(t), F.lit(r'"?(?![\w"])'))
     rewritten = F.regexp_replace(F.regexp_replace(text, qualified, target), bare, target)
     same = F.upper(F.concat_ws(".", s, t)) == F.upper(F.concat_ws(".", ts, tt))
@@ -102,7 +108,7 @@ def cause_line(trace: Columnish) -> Column:
     """Text after the last ``Caused by: `` line, else the first line."""
     lines = F.split(col(trace), "\n")
     causes = F.filter(lines, lambda line: line.startswith("Caused by: "))
-    last = F.substring(F.try_element_at(causes, F.lit(-1)), len("Caused by: ") + 1, 1_000_000)
+    last = F.substr(F.try_element_at(causes, F.lit(-1)), F.lit(len("Caused by: ") + 1))
     return F.when(F.length(col(trace)) > 0, F.trim(F.coalesce(last, lines[0])))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.text import first_line, is_ignorable, retarget_ddl
+from tidemark.functions.text import first_line, is_blank, is_ignorable, retarget_ddl
 from tidemark.operators.lookup import lookup
 from tidemark.sources.messages import strings, unwrap
 
@@ -28,7 +28,7 @@ def parse_ddl(messages: DataFrame, value: str = "value", offset: str = "kafka_of
     ident = F.replace(F.get("_body.tableChanges", 0)["id"], F.lit('"'), F.lit(""))
     dot = F.instr(ident, ".")
     snapshot = F.lower(F.coalesce("_body.source.snapshot", F.lit("false"))) != "false"
-    return rows.where(F.trim("_body.ddl") != "").select(
+    return rows.where(~is_blank("_body.ddl")).select(
         offset,
         F.coalesce(F.col("_body.ts_ms").try_cast("bigint"), F.lit(0)).alias("event_ts_ms"),
         F.col("_body.source.scn").alias("scn"),
@@ -56,15 +56,21 @@ def new_ddl_events(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def match_registered(events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Events of registered tables, with the registry columns, names compared without case."""
-    tables = registry.select(
-        F.upper("schema_name").alias("_s"),
-        F.upper("table_name").alias("_t"),
+    """Events of registered tables, with the registry columns, names compared without case.
+
+    Of entries whose names differ in case only the first by schema and table counts.
+    """
+    entry = F.struct(
         F.col("schema_name").alias("reg_schema"),
         F.col("table_name").alias("reg_table"),
         F.coalesce("target_schema", "schema_name").alias("target_schema"),
         F.coalesce("target_table", "table_name").alias("target_table"),
     )
+    tables = (
+        registry.groupBy(F.upper("schema_name").alias("_s"), F.upper("table_name").alias("_t"))
+        .agg(F.min(entry).alias("_entry"))
+        .select("_s", "_t", "_entry.*")
+    )
     on = {"_s": F.upper("schema_name"), "_t": F.upper("table_name")}
     return lookup(events, tables, on, ["kafka_offset"]).drop("_s", "_t")
 

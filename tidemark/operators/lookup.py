@@ -1,9 +1,9 @@
 """Joins of many rows against a small relation such as the registry.
 
-Few distinct keys on the large side are the worst case of a shuffle join: with
-three registered tables, three tasks would do all the work. So the small side is
-counted first. Up to ``LOOKUP_ROWS`` rows it is broadcast; beyond that the join
-is salted, so that the rows of one key still spread over many tasks.
+A plain equi join: the optimizer broadcasts the small side as far as its size
+allows, by statistics or at run time, and splits skewed partitions otherwise.
+Few distinct keys on the large side are the worst case of a shuffle join, so a
+caller whose small side is too large to broadcast can ask for salts.
 """
 
 from __future__ import annotations
@@ -13,10 +13,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Registry-like rows are a few short names, so this many stay below some 20 MB.
-LOOKUP_ROWS = 100_000
-SALTS = 64
-
 
 def lookup(
     rows: DataFrame,
@@ -24,17 +20,19 @@ def lookup(
     on: Mapping[str, Column],
     spread: Sequence[str],
     how: str = "inner",
-    limit: int = LOOKUP_ROWS,
+    salts: int = 1,
 ) -> DataFrame:
     """Join ``rows`` with ``small`` where each column of ``on`` equals its expression.
 
     The columns of ``small`` must have names that ``rows`` does not have.
-    ``spread`` names columns of ``rows`` that differ within one key.
+    ``spread`` names columns of ``rows`` that differ within one key. With
+    ``salts`` over 1 the rows of a key are dealt to that many tasks, and
+    ``small`` is repeated as often.
     """
     pairs = [expr == F.col(name) for name, expr in on.items()]
-    if small.limit(limit + 1).count() <= limit:
-        return rows.join(F.broadcast(small), reduce(lambda a, b: a & b, pairs), how)
-    salted = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    if salts == 1:
+        return rows.join(small, reduce(lambda a, b: a & b, pairs), how)
+    salted = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     pairs.append(F.col("_salt") == F.col("_copy"))
     return rows.join(salted, reduce(lambda a, b: a & b, pairs), how).drop("_salt", "_copy")

@@ -9,17 +9,14 @@ from tidemark.operators.lookup import lookup
 
 
 def route(events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registered events with the changelog they go to, chosen by table name.
-
-    Table names are unique across schemas by registration, so the name alone
-    routes.
-    """
+    """Events of registered tables with the changelog they go to, by schema and table."""
     names = registry.select(
+        F.col("schema_name").alias("_schema"),
         F.col("table_name").alias("_table"),
         changelog_name("schema_name", "table_name").alias("changelog_table"),
-    )
-    found = lookup(events, names, {"_table": F.col("source.table")}, ["source", "ts_ms"])
-    return found.drop("_table")
+    ).distinct()
+    on = {"_schema": F.col("source.schema"), "_table": F.col("source.table")}
+    return lookup(events, names, on, ["source", "ts_ms"]).drop("_schema", "_table")
 
 
 def of_tables(events: DataFrame, tables: DataFrame, how: str) -> DataFrame:
@@ -46,8 +43,9 @@ def attribute(names: DataFrame, registry: DataFrame, name: str = "name") -> Data
 
     A table matches when the name ends in its suffix; of several the first by
     schema and table. Without a match the only registered table is taken, if
-    there is just one. Every ending of a name is looked up by equality, so the
-    join stays an equi join for any number of names and tables.
+    there is just one. Every ending of a name that is as long as the shortest
+    suffix is looked up by equality, so the join stays an equi join for any
+    number of names and tables, and no short ending gathers many names.
     """
     tables = registry.select(
         "schema_name", "table_name", table_suffix("schema_name", "table_name").alias("_end")
@@ -56,8 +54,10 @@ def attribute(names: DataFrame, registry: DataFrame, name: str = "name") -> Data
         F.min(F.struct("schema_name", "table_name")).alias("_table")
     )
     distinct = names.select(name).distinct()
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-    endings = distinct.select(
+    shortest = F.coalesce(firsts.agg(F.min(F.length("_end"))).scalar(), F.lit(1))
+    last = F.length(name) - F.greatest("_shortest", F.lit(1)) + 1
+    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    endings = distinct.withColumn("_shortest", shortest).select(
         name,
         F.explode(F.transform(starts, lambda i: F.col(name).substr(i, F.length(name)))).alias("_end"),
     )
