@@ -63,3 +63,11 @@ def numbered(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of ``<n>.json`` files in a folder, ascending."""
     names = children(spark, folder)
     return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    jvm, p, fs = _open(spark, old)
+    target = jvm.org.apache.hadoop.fs.Path(new)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"cannot rename {old} to {new}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.model import METRIC_SAMPLE
 from tidemark.operators.metrics import KEEP_HOURS, SAMPLE_COLUMNS, rollup
@@ -26,11 +26,16 @@ def append_samples(samples: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
+def read_samples(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
+    """Stored samples; with ``since``, a time without a zone, older days are not opened."""
     schema = T.StructType(METRIC_SAMPLE.fields + [T.StructField("p_day", T.StringType())])
     if not files.exists(spark, path):
         return spark.createDataFrame([], METRIC_SAMPLE)
-    return spark.read.schema(schema).parquet(path).select(*SAMPLE_COLUMNS, "p_day").drop("p_day")
+    samples = spark.read.schema(schema).parquet(path)
+    if since is not None:
+        samples = samples.where(F.col("p_day") >= since.cast("date").cast("string"))
+        samples = samples.where(F.col("sampled_at") >= since)
+    return samples.select(*SAMPLE_COLUMNS)
 
 
 def roll_store(spark: SparkSession, path: str, now: datetime) -> None:
@@ -49,9 +54,12 @@ def _ntz(at: datetime):
 def purge_store(spark: SparkSession, path: str, now: datetime) -> list[str]:
     """Drop what is older than its resolution is kept.
 
-    Whole days go as folders. Only the day the limit falls into is rewritten.
+    Whole days go as folders. Only the day the limit falls into is rewritten: next
+    to the store, then the folders are swapped. A swap that was broken off is
+    ended by the next purge, so at any time one full copy exists.
     """
     dropped = []
+    _end_swaps(spark, path)
     for resolution, hours in KEEP_HOURS.items():
         limit = now - timedelta(hours=hours)
         edge = limit.strftime("%Y-%m-%d")
@@ -69,12 +77,27 @@ def purge_store(spark: SparkSession, path: str, now: datetime) -> list[str]:
             keep = spark.read.schema(schema).parquet(part).where(F.col("sampled_at") >= _ntz(limit))
             staged = f"{path}/_staged/resolution={resolution}/p_day={edge}"
             keep.write.mode("overwrite").parquet(staged)
-            kept = spark.read.schema(schema).parquet(staged)
-            kept.write.mode("overwrite").parquet(part)
-            files.remove(spark, f"{path}/_staged")
+            _swap(spark, staged, part)
+    files.remove(spark, f"{path}/_staged")
     return dropped
 
 
+def _swap(spark: SparkSession, staged: str, part: str) -> None:
+    """Put a finished folder in place of another one."""
+    files.remove(spark, part)
+    files.rename(spark, staged, part)
+
+
+def _end_swaps(spark: SparkSession, path: str) -> None:
+    """Finished staged days whose place is empty move there; other staged data is dropped."""
+    for resolution in files.children(spark, f"{path}/_staged"):
+        for day in files.children(spark, f"{path}/_staged/{resolution}"):
+            staged, part = f"{path}/_staged/{resolution}/{day}", f"{path}/{resolution}/{day}"
+            if files.exists(spark, f"{staged}/_SUCCESS") and not files.exists(spark, part):
+                files.rename(spark, staged, part)
+    files.remove(spark, f"{path}/_staged")
+
+
 # --- batch-keyed appends -------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -69,14 +70,43 @@ class TargetTable:
         if wrong:
             raise SchemaMismatch(f"target {self.path} cannot take columns {wrong}")
 
+    def _filled(self, rows: DataFrame, pointer: dict, batch_id: str) -> DataFrame:
+        """The batch, folded, with target columns it does not carry as the target has them.
+
+        A key that the batch deletes and creates again starts with nulls there,
+        as does one that the target does not have.
+        """
+        declared = T.StructType.fromJson(pointer["schema"])
+        absent = [f for f in declared.fields if f.name not in rows.columns]
+        if not absent:
+            return fold(rows, self.keys)
+        if {f.name for f in absent} & set(self.keys):
+            raise SchemaMismatch(f"target {self.path} needs the key columns {self.keys}")
+        keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)]
+
+        def same(prefix: str):
+            pairs = (F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(self.keys))
+            return reduce(lambda a, b: a & b, pairs)
+
+        gone = rows.where("_deleted").select(
+            *[F.col(k).alias(f"_g{i}") for i, k in enumerate(self.keys)], F.lit(True).alias("_gone")
+        ).distinct()
+        known = live(self.state(without=batch_id)).select(*keys, *[f.name for f in absent])
+        found = fold(rows, self.keys).join(gone, same("_g"), "left").join(known, same("_k"), "left")
+        values = {f.name: F.when(F.col("_gone").isNull(), F.col(f.name)) for f in absent}
+        return found.withColumns(values).select(*declared.fieldNames())
+
     def apply(self, rows: DataFrame, batch_id: str) -> None:
-        """Apply a batch of change rows. The same id again has no further effect."""
+        """Apply a batch of change rows. The same id again has no further effect.
+
+        Target columns that the rows lack keep their values.
+        """
         pointer = self._pointer()
         self.check_columns(rows, pointer)
         if pointer["schema"] is None:
             pointer = self._move(schema=json.loads(rows.schema.json()))
         folder = f"{self._folder(pointer)}/delta/batch={batch_id}"
-        fold(rows, self.keys).write.mode("overwrite").parquet(folder)
+        self._filled(rows, pointer, batch_id).write.mode("overwrite").parquet(folder)
 
     def truncate(self) -> None:
         self._move(generation=self._pointer()["generation"] + 1, base=None, compacted=[])
@@ -139,13 +169,14 @@ class TargetTable:
         base_bytes = files.size(self.spark, [f"{folder}/base-{pointer['base']}"])
         return delta_bytes * SMALL_SHARE < base_bytes
 
-    def state(self) -> DataFrame:
-        """Every key ever seen in this generation, deleted ones flagged."""
+    def state(self, without: str | None = None) -> DataFrame:
+        """Every key ever seen in this generation, deleted ones flagged, ``without`` one batch."""
         pointer = self._pointer()
         if pointer["schema"] is None:
             raise FileNotFoundError(f"no target at {self.path}")
         schema = T.StructType.fromJson(pointer["schema"])
-        folder, deltas = self._folder(pointer), self._deltas(pointer)
+        folder = self._folder(pointer)
+        deltas = [d for d in self._deltas(pointer) if d != f"batch={without}"]
         read = self.spark.read.schema(schema)
         base = None if pointer["base"] is None else read.parquet(f"{folder}/base-{pointer['base']}")
         if not deltas:

@@ -9,6 +9,8 @@ from tidemark.functions.scalars import scn_long
 from tidemark.model import SNAPSHOT_READ, SOURCE, envelope
 from tidemark.sources.messages import unwrap
 
+CORRUPT = "_corrupt"
+
 
 def read_envelopes(
     messages: DataFrame,
@@ -20,17 +22,43 @@ def read_envelopes(
     """Change events from JSON messages, wrapped in ``{schema, payload}`` or bare.
 
     Messages without a value are tombstones for compaction and are skipped. A
-    message that is not JSON stops the job, or is skipped with ``on_error="drop"``.
-    Other columns of ``messages`` (offset, key, arrival time) are kept.
+    message that is not JSON, has a field of the wrong kind or no operation stops
+    the job, or is skipped with ``on_error="drop"`` (see ``rejected``). Other
+    columns of ``messages`` (offset, key, arrival time) are kept.
     """
+    if on_error not in ("fail", "drop"):
+        raise ValueError(f"on_error must be fail or drop: {on_error}")
     event = envelope(row, source)
-    mode = {"fail": "FAILFAST", "drop": "PERMISSIVE"}[on_error]
-    parsed = unwrap(messages, wire_type(event), value_col, mode)
+    parsed, fault = _parsed(messages, event, value_col)
+    if on_error == "fail":
+        stop = F.raise_error(F.concat(F.lit("bad message: "), fault)).cast("boolean")
+        parsed = parsed.where(F.when(fault.isNotNull(), stop).otherwise(F.lit(True)))
+    else:
+        parsed = parsed.where(fault.isNull())
     typed = [
         from_wire(F.col("_body")[f.name], f.dataType).alias(f.name) for f in event.fields
     ]
     kept = [c for c in messages.columns if c != value_col]
-    return parsed.where(F.col("_body.op").isNotNull()).select(*kept, *typed)
+    return parsed.select(*kept, *typed)
+
+
+def _parsed(messages: DataFrame, event: T.StructType, value_col: str) -> tuple[DataFrame, Column]:
+    """Messages with ``_body``, and what is wrong with each, null if nothing is."""
+    raw = messages.withColumn("_raw", F.col(value_col))
+    body = unwrap(raw, wire_type(event), value_col, corrupt=CORRUPT)
+    fault = (
+        F.when(F.col(CORRUPT).isNotNull(), "malformed").when(F.col("_body.op").isNull(), "no operation")
+    )
+    return body, fault
+
+
+def rejected(
+    messages: DataFrame, row: T.StructType, value_col: str = "value", source: T.StructType = SOURCE
+) -> DataFrame:
+    """The messages that ``read_envelopes`` does not take, unchanged, with ``reason``."""
+    parsed, fault = _parsed(messages, envelope(row, source), value_col)
+    kept = [F.col("_raw").alias(c) if c == value_col else F.col(c) for c in messages.columns]
+    return parsed.where(fault.isNotNull()).select(*kept, fault.alias("reason"))
 
 
 def snapshot_load(
