@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.connect import connect_key, connect_payload, decimal_to_base64
 from tidemark.functions.scalars import changelog_name, day_label, recovery_topic, scn_long, topic_name
@@ -14,10 +16,11 @@ from tidemark.session import shared_dir
 from tidemark.sinks import changelog as log
 from tidemark.sinks.target import TargetTable
 from tidemark.sources.envelopes import (
-    changes_after, include_list, read_envelopes, snapshot_load,
+    changes_after, include_list, read_envelopes, rejected, snapshot_load,
 )
+from tidemark.streaming import queries as streams
 from tidemark.workload import query
-from tidemark.workload.inputs import OPS, changes, full_changes, ops, table
+from tidemark.workload.inputs import OPS, as_changes, changes, full_changes, ops, table
 
 KEYS = ["ID"]
 
@@ -274,6 +277,38 @@ def routed_changelogs(spark, sf_dir):
     return totals.select("changelog_table", "records", "commits")
 
 
+@query(
+    """SELECT 'cdc_' || event_type AS changelog_table, count(*) AS records,
+              count_if(event_type = 'purchase' AND event_id % 3 = 1) AS extras
+       FROM events WHERE event_type <> 'view' AND event_id % 3 > 0 GROUP BY 1"""
+)
+def routed_row_types(spark, sf_dir):
+    """A mixed stream with tables of the same name in an unregistered schema, and a column of one table."""
+    root = shared_dir(spark, "routed")
+    number = F.col("event_id")
+    events = changes(spark, sf_dir)
+    plain = events.schema["after"].dataType
+    extra = F.when((F.col("source.table") == "PURCHASE") & (number % 3 == 1), number)
+    grown = F.when(F.col("after").isNotNull(), F.col("after").withField("EXTRA", extra))
+    none = F.when(F.col("before").isNotNull(), F.col("before").withField("EXTRA", F.lit(None).cast("bigint")))
+    schema = F.when(number % 3 == 0, "OTHER").otherwise(F.col("source.schema"))
+    events = events.withColumns({
+        "after": grown, "before": none, "source": F.col("source").withField("schema", schema),
+    }).drop("event_id")
+    registry = _event_registry(spark, sf_dir)
+    names = [r[0] for r in registry.select("table_name").collect()]
+    types = {("CDC", n): plain for n in names if n != "PURCHASE"}
+    log.append_routed(events, registry, root, "only", types)
+    parts = []
+    for name in names:
+        stored = log.scan_changelog(spark, log.table_path(root, "CDC", name))
+        known = "EXTRA" in stored.schema["after"].dataType.fieldNames()
+        value = F.count("after.EXTRA") if known else F.lit(0).cast("bigint")
+        parts.append(stored.agg(F.count(F.lit(1)).alias("records"), value.alias("extras")).select(
+            F.lit(f"cdc_{name.lower()}").alias("changelog_table"), "records", "extras"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     f"""WITH ops AS ({OPS})
     SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day,
@@ -329,12 +364,19 @@ def replay_from_scn(spark, sf_dir):
     WHERE event_id >= (SELECT max(event_id) // 2 FROM ops)"""
 )
 def replay_sequence(spark, sf_dir):
-    """The global replay order; a row's place is its rank in the sorted output."""
-    half = _half(spark, sf_dir)
-    events = replay.from_scn(changes(spark, sf_dir), half)
-    # Change numbers are dense here, so a row's place follows from its number.
-    return replay.replay_order(events).select(
-        (scn_long() - half + 1).alias("place"), F.col("source.scn").alias("scn"), "op"
+    """Messages in published order: by number of the part file, then by row in it."""
+    folder = shared_dir(spark, "published")
+    events = replay.from_scn(changes(spark, sf_dir).drop("event_id"), _half(spark, sf_dir))
+    replay.publish(events.hint("rebalance"), KEYS, folder, "parquet")
+    rows = spark.read.parquet(folder).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "value"
+    )
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(sizes.select("file", F.coalesce(before, F.lit(0)).alias("first")), "file").select(
+        (F.col("first") + F.col("row") + 1).alias("place"),
+        F.get_json_object("value", "$.payload.source.scn").alias("scn"),
+        F.get_json_object("value", "$.payload.op").alias("op"),
     )
 
 
@@ -358,6 +400,104 @@ def merge_batch(spark, sf_dir):
     return _flat(state.live(state.merge_batch(old, rest, KEYS)))
 
 
+@query(STATE)
+def merge_large_batch(spark, sf_dir):
+    """The same with the plan for a batch of the state's own size."""
+    events, half = changes(spark, sf_dir), _half(spark, sf_dir)
+    rows = state.change_rows(events, seq="event_id")
+    old = state.fold(rows.where(F.col("_scn") < half), KEYS)
+    rest = rows.where(F.col("_scn") >= F.expr("0.8") * half)
+    return _flat(state.live(state.merge_batch(old, rest, KEYS, small_batch=False)))
+
+
+# Seven keys, forty changes to a transaction, one time for all of them.
+TIED = f"""
+  SELECT * EXCLUDE (id), id % 7 AS id FROM ({OPS})
+"""
+
+
+@query(
+    f"""WITH last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS rn
+                      FROM ({TIED}))
+    SELECT p.path, id, CAST(amt AS DOUBLE) AS amt, st FROM last
+    CROSS JOIN (VALUES ('changelog'), ('stream')) AS p(path) WHERE rn = 1 AND op <> 'd'"""
+)
+def transaction_ties(spark, sf_dir):
+    """Rows changed many times in one transaction, by way of changelog and recovery, and of a stream."""
+    rows = ops(spark, sf_dir).withColumns({
+        "id": F.col("id") % 7,
+        "scn": F.expr("event_id div 40").cast("string"),
+        "tx_id": F.lit("t"),
+        "ts_ms": F.expr("event_id div 40"),
+    })
+    events = as_changes(rows).repartition("op")
+    root = shared_dir(spark, "ties")
+    path, half = log.table_path(root, "CDC", "USERS"), _half(spark, sf_dir)
+    log.append_changelog(events.where(F.col("event_id") >= half), path, "late half", seq="event_id")
+    log.append_changelog(events.where(F.col("event_id") < half), path, "early half", seq="event_id")
+    recovered = TargetTable(spark, f"{root}/recovered", KEYS)
+    jobs.recover(spark, path, recovered, 0)
+    events.write.parquet(f"{root}/arrived")
+    arriving = streams.message_stream(spark, f"{root}/arrived", events.schema, "parquet", maxFilesPerTrigger="1")
+    followed = TargetTable(spark, f"{root}/followed", KEYS)
+    streams.start_apply(
+        arriving, followed, f"{root}/checkpoint", seq="event_id", interval=None
+    ).awaitTermination()
+    sides = (("changelog", recovered), ("stream", followed))
+    found = [_flat(t.read()).withColumn("path", F.lit(name)) for name, t in sides]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    f"""WITH ops AS ({OPS}), half AS (SELECT max(event_id) // 2 AS h FROM ops),
+      old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS rn
+              FROM ops, half WHERE event_id < h) WHERE rn = 1),
+      new AS (SELECT *, max(CAST(op = 'd' AS INT)) OVER (PARTITION BY id) AS gone,
+                     row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS rn
+              FROM ops, half WHERE event_id >= h)
+    SELECT coalesce(n.id, o.id) AS id,
+           CAST(CASE WHEN n.id IS NULL OR (n.gone = 0 AND o.op <> 'd') THEN o.amt END AS DOUBLE) AS amt,
+           CASE WHEN n.id IS NULL THEN o.st ELSE n.st END AS st
+    FROM old o FULL JOIN (SELECT * FROM new WHERE rn = 1) n ON o.id = n.id
+    WHERE coalesce(n.op, o.op) <> 'd'"""
+)
+def narrow_batch(spark, sf_dir):
+    """The second half comes without the amount: the target keeps the one it has."""
+    target = TargetTable(spark, shared_dir(spark, "target"), KEYS)
+    rows, half = state.change_rows(changes(spark, sf_dir), "event_id"), _half(spark, sf_dir)
+    target.apply(rows.where(F.col("_scn") < half), "full")
+    target.apply(rows.where(F.col("_scn") >= half).drop("AMT"), "narrow")
+    target.apply(rows.where(F.col("_scn") >= half).drop("AMT"), "narrow")
+    return _flat(target.read())
+
+
+@query(
+    """SELECT CASE WHEN event_id % 11 = 0 THEN 'malformed' WHEN event_id % 13 = 0 THEN 'malformed'
+                   WHEN event_id % 17 = 0 THEN 'no operation' ELSE 'taken' END AS reason, count(*) AS n
+       FROM events GROUP BY 1"""
+)
+def rejected_messages(spark, sf_dir):
+    """Messages that are cut off, carry text for a number, or name no operation are told apart."""
+    from tidemark.functions.connect import connect_value
+
+    events = changes(spark, sf_dir)
+    number = F.col("event_id")
+    messages = events.select(connect_value(events.drop("event_id").schema).alias("value"), number)
+    broken = (
+        F.when(number % 11 == 0, F.substring("value", 1, 60))
+        .when(number % 13 == 0, F.regexp_replace("value", r'"ID":\d+', '"ID":"x"'))
+        .when(number % 17 == 0, F.regexp_replace("value", r'"op":"."', '"op":null'))
+        .otherwise(F.col("value"))
+    )
+    messages = messages.withColumn("value", broken)
+    row, source = events.schema["after"].dataType, events.schema["source"].dataType
+    taken = read_envelopes(messages, row, source=source, on_error="drop")
+    reasons = taken.select(F.lit("taken").alias("reason")).unionByName(
+        rejected(messages, row, source=source).select("reason")
+    )
+    return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(STATE)
 def target_upsert(spark, sf_dir):
     """The target after two batches, the newer one first and the older one twice."""

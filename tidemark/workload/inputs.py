@@ -71,7 +71,10 @@ def _events(rows: DataFrame, before) -> DataFrame:
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change events whose deletes carry the deleted row; updates carry no old image."""
-    rows = ops(spark, sf_dir)
+    return as_changes(ops(spark, sf_dir))
+
+
+def as_changes(rows: DataFrame) -> DataFrame:
     own = F.struct(F.col("id").alias("ID"), F.col("amt").alias("AMT"), F.col("st").alias("ST"))
     return _events(rows, F.when(F.col("op") == "d", own))
 
