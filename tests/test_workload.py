@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tidemark import workload
 from tools.check_queries import TABLES, normal
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,10 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+workload.load_all()
+
+
+@pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_query(spark, db, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
