@@ -52,10 +52,13 @@ def found(frame):
 
 def test_similar_sets_share_a_signature():
     chance = np.random.default_rng(3)
-    signatures = Signatures(75, 100)
+    pool = chance.integers(0, 2**63, 60).astype(np.uint64)
+    signatures = Signatures(75, 100, pool)
     for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 18, 19, 33, 60, 150, 700]:
         for _ in range(60):
             a = np.unique(chance.integers(0, 2**63, n).astype(np.uint64))
+            if chance.random() < 0.5:
+                a = np.unique(np.concatenate([a, chance.permutation(pool)[: n // 2 + 1]]))
             for common in range(len(a) * 3 // 4, len(a) + 1):
                 most = common * 100 // 75 - len(a)  # others that b may have: 75 * (|a| + others) <= 100 * common
                 if most < 0 or n > 60 and chance.random() > 0.1:
@@ -116,6 +119,7 @@ def test_table(spark, monkeypatch):
     assert found(near_duplicates(docs)) == want
     monkeypatch.setattr(jaccard, "GROUP_ROWS", 3)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 20)
+    monkeypatch.setattr(jaccard, "PAIR_ROWS", 4)
     assert found(near_duplicates(docs)) == want
 
 
@@ -123,3 +127,14 @@ def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(2, None), (3, "alone here")], "doc_id long, text string")
     assert found(near_duplicates(docs)) == [(2, 0, 2), (3, 1, 3)]
+
+
+def test_sketches_bound_differences():
+    chance = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(chance.integers(0, 400))
+        a = np.unique(chance.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], chance.integers(0, 2**63, n // 3).astype(np.uint64)]))
+        x, y = jaccard._folded([jaccard.sketch(a), jaccard.sketch(b)])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    assert jaccard.sketch(a[:0]) == bytes(8)
