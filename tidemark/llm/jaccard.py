@@ -17,9 +17,17 @@ from tidemark.llm.frames import NOT_SPACE, annotate, map_arrow, mix, pieces, run
 #: Members of one row of the table of groups, and members that one copy of a centre is compared with.
 GROUP_ROWS = 4096
 
+#: Members of one block of a group whose pairs are compared.
+PAIR_ROWS = 1024
+
 #: Sets of one block of signatures.
 BLOCK_SETS = 10_000
 
+#: An element of this many sets of a block may count as frequent, up to so many elements in all. Which ones do
+#: changes only how many comparisons are made, never what is found.
+FREQUENT = 4
+FREQUENT_ELEMENTS = 500_000
+
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of ``width`` consecutive words, or of all its words if fewer."""
@@ -56,11 +64,19 @@ class Signatures:
     agreeing one that comes first by the shorter of the two lists is on both.
     A set with fewer non-empty partitions signs all of them, and one name that
     all such sets of the band share.
+
+    Any division of the domain serves, so ``frequent`` elements, such as those
+    of a passage that many texts share, get partitions of their own that come
+    last: most sets sign only partitions of rare elements, on which texts do not
+    agree by a passage alone.
     """
 
-    def __init__(self, num: int, den: int) -> None:
+    def __init__(self, num: int, den: int, frequent: np.ndarray | None = None) -> None:
         self.num, self.den = num, den
         self.lows: list[int] = [1]
+        self.frequent = np.empty(0, np.uint64) if frequent is None else np.sort(frequent)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.frequent >> np.uint64(42)).astype(np.int64)] = True
 
     def _band(self, size: int) -> int:
         while self._high(len(self.lows) - 1) < size:
@@ -74,16 +90,29 @@ class Signatures:
         """The 64-bit signatures of a set of sorted hashes."""
         n = len(hashes)
         own, largest = self._band(n), n * self.den // self.num
-        out = [self._signed(hashes, own, min(self._high(own), largest))]
+        hashes, rare = self._rare_first(hashes)
+        out = [self._signed(hashes, rare, own, min(self._high(own), largest))]
         if self._band(largest) > own:
-            out.append(self._signed(hashes, own + 1, largest))
+            out.append(self._signed(hashes, rare, own + 1, largest))
         return np.concatenate(out)
 
-    def _signed(self, hashes: np.ndarray, band: int, partner: int) -> np.ndarray:
+    def _rare_first(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+        """The elements, rare ones first, each kind in order; how many are rare."""
+        common = self.maybe[(hashes >> np.uint64(42)).astype(np.int64)]
+        if common.any():
+            at = np.flatnonzero(common)
+            found = np.searchsorted(self.frequent, hashes[at])
+            found[found == len(self.frequent)] = 0
+            common[at] = self.frequent[found] == hashes[at]
+            return np.concatenate([hashes[~common], hashes[common]]), int((~common).sum())
+        return hashes, len(hashes)
+
+    def _signed(self, hashes: np.ndarray, rare: int, band: int, partner: int) -> np.ndarray:
         low = self.lows[band]
         parts = int(0.45 * low + 1.5 * low**0.5) + 2
         need = (len(hashes) + partner) * (self.den - self.num) // (self.den + self.num) + 1
         place = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        place[rare:] += np.uint64(parts)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         name = np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)
         if len(first) > need:
@@ -92,11 +121,36 @@ class Signatures:
         return signed if len(first) == need else np.append(signed, mix(np.array([name])))
 
 
-def _sign(docs: DataFrame, text_col: str, width: int, num: int, den: int, buckets: int) -> DataFrame:
+def _frequent(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """Elements that many different sets hold: at least FREQUENT in some block of sets, the most common first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, len(batch), BLOCK_SETS):
+                own = {}
+                for hashes in shingle_sets(batch.column(text_col).slice(begin, BLOCK_SETS), width):
+                    if len(hashes):
+                        own.setdefault(set_id(hashes), hashes)
+                every = np.sort(np.concatenate([np.empty(0, np.uint64), *own.values()]))
+                first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
+                counts = np.diff(first, append=len(every))
+                many = counts >= FREQUENT
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(every[first[many]].view(np.int64)), pa.array(counts[many].astype(np.int64))],
+                    ["element", "n"],
+                )
+
+    counts = map_arrow(docs.select(text_col), run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    chosen = counts.orderBy(F.desc("n"), "element").limit(FREQUENT_ELEMENTS).select("element").toArrow()
+    return chosen["element"].to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _sign(docs: DataFrame, text_col: str, width: int, signatures: Signatures, buckets: int) -> DataFrame:
     """Blocks of signatures: bucket, 32-bit signatures, the place of each one's set among ``sets``."""
+    shared = docs.sparkSession.sparkContext.broadcast(signatures)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures = Signatures(num, den)
+        signatures = shared.value
         for batch in batches:
             for begin in range(0, len(batch), BLOCK_SETS):
                 names: dict[int, int] = {}
@@ -220,6 +274,87 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     )
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each residue of the hashes whether an odd number of elements has it, as bits.
+
+    Two sets differ in at least as many elements as their sketches in bits. The
+    number of bits is a power of two, and the halves of a sketch, xored, are the
+    sketch of half the size.
+    """
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    width = min(map(len, sketches))
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    for k, raw in enumerate(sketches):
+        words = np.frombuffer(raw, np.uint64)
+        while len(words) * 8 > width:
+            half = len(words) // 2
+            words = words[:half] ^ words[half:]
+        out[k] = words
+    return out
+
+
+def _candidates(listed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): members of one group in different components that sizes and sketches allow to be similar.
+
+    A group of more than PAIR_ROWS members is compared block by block, in as many tasks as it has pairs of blocks.
+    """
+    sizes = listed.groupBy("name").agg(F.ceil(F.count("*") / PAIR_ROWS).alias("blocks"))
+    own = F.pmod(F.xxhash64("set"), F.col("blocks"))
+    rows = (
+        listed.join(sizes, "name")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(
+            "name", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+            "set", "component", "size", "sketch",
+        )
+        .repartition("name", "i", "j").sortWithinPartitions("name", "i", "j")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if row[:3] != key:
+                    found += _close(members, num, den)
+                    key, members = row[:3], []
+                members.append(row)
+            yield _edges(sorted(set(found)))
+        yield _edges(_close(members, num, den))
+
+    return map_arrow(rows, run, "a long, b long").distinct()
+
+
+def _close(members: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+    if len(members) < 2:
+        return []
+    _, i, j, own, sets, components, sizes, sketches = zip(*members, strict=True)
+    own, sets, components, sizes = (np.array(x, np.int64) for x in (own, sets, components, sizes))
+    bits = _folded(list(sketches))
+    out: list[tuple[int, int]] = []
+    step = max(1, (1 << 20) // bits.size)
+    for first in range(0, len(sets), step):
+        part = slice(first, first + step)
+        most = (sizes[part, None] + sizes[None]) * (den - num) // (den + num)
+        fits = (components[part, None] != components[None]) & (sets[part, None] < sets[None])
+        fits &= sizes[part, None] * num <= sizes[None] * den
+        fits &= sizes[None] * num <= sizes[part, None] * den
+        if i[0] != j[0]:
+            fits &= own[part, None] != own[None]
+        a, b = np.nonzero(fits)
+        if len(a):
+            differ = np.bitwise_count(bits[part][a] ^ bits[b]).sum(1, dtype=np.int64)
+            near = differ <= most[a, b]
+            out += zip(sets[part][a[near]].tolist(), sets[b[near]].tolist(), strict=True)
+    return out
+
+
 def _links_of_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     small = stored(sets.select("set", "hashes").join(needed, "set"), "sets")
@@ -251,9 +386,9 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     Equal sets are one from the start. Sets that share a signature form groups.
     First each set is compared with one centre, the smallest of the group that
     most of its signatures lead to; where a group then still has members of
-    different components, all its pairs from different components are compared.
-    So no link is lost, and groups of copies cost no more than one comparison
-    for each member.
+    different components, its pairs from different components are compared, by
+    size and sketch first. So no link is lost, and groups of copies that are
+    similar to one another cost one comparison for each member.
     """
     spark = docs.sparkSession
     rows = docs.select(id_col, text_col)
@@ -268,7 +403,8 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
         F.min(id_col).alias("doc"))
 
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = stored(_groups(_sign(named, text_col, width, num, den, buckets)), "groups")
+    signatures = Signatures(num, den, _frequent(named, text_col, width))
+    groups = stored(_groups(_sign(named, text_col, width, signatures, buckets)), "groups")
     pairs = stored(
         groups.select("centre", F.explode("members").alias("set")).where("set <> centre")
         .groupBy("set", "centre").agg(F.count("*").alias("n")),
@@ -286,10 +422,11 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     def build(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = list(shingle_sets(batch.column(text_col), width))
         names = pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())
-        return [names, pa.array([x.tobytes() for x in sets], pa.binary())]
+        raw, sketches = (pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, sketch))
+        return [names, raw, sketches]
 
     sets = stored(
-        annotate(texts, build, "set long, hashes binary", ["expected", "centre", "own_salts", "salts"])
+        annotate(texts, build, "set long, hashes binary, sketch binary", ["expected", "centre", "own_salts", "salts"])
         .where("set = expected").drop("expected").dropDuplicates(["set"]),
         "sets",
     )
@@ -307,17 +444,10 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
             .distinct().withColumn("component", F.col("set")),
             "component",
         )
-        listed = stored(listed.join(sets.select("set", F.octet_length("hashes").alias("size")), "set"), "listed")
-        left, right = (
-            listed.select("name", *(F.col(x).alias(f"{x}_{side}") for x in ("set", "component", "size"))) for side in "ab"
-        )
-        crossing = (
-            left.join(right, "name")
-            .where("component_a < component_b")
-            .where(F.greatest("size_a", "size_b") * num <= F.least("size_a", "size_b") * den)
-            .select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
-        )
-        more = _links_of_pairs(stored(crossing, "crossing"), sets, num, den)
+        listed = listed.join(sets.select("set", (F.octet_length("hashes") / 8).cast("long").alias("size"), "sketch"), "set")
+        crossing = _candidates(listed, num, den)
+        crossing = stored(crossing, "crossing")
+        more = _links_of_pairs(crossing, sets, num, den)
         far = Components(near.label(near.label(more, "a"), "b"))
     found = near.label(classes.withColumn("component", F.col("set")), "component")
     found = stored(far.label(found, "component") if far else found, "labels")
