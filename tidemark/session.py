@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
