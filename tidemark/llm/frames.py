@@ -74,6 +74,32 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+class WordCache(dict):
+    """What ``make`` gives for a word, kept for words that are likely to come again.
+
+    Long words are not kept, and a full cache keeps only its short words: they
+    make up most of a text. Bounds memory, never results.
+    """
+
+    def __init__(self, make: Callable, entries: int, longest: int = 16, lasting: int = 6) -> None:
+        super().__init__()
+        self.make, self.entries, self.longest, self.lasting = make, entries, longest, lasting
+
+    def __missing__(self, word):
+        found = self.make(word)
+        if len(word) <= self.longest and len(self) < 2 * self.entries:
+            self[word] = found
+        return found
+
+    def trim(self) -> None:
+        """To be called between texts."""
+        if len(self) >= self.entries:
+            short = {k: v for k, v in self.items() if len(k) <= self.lasting}
+            self.clear()
+            if len(short) < self.entries // 2:
+                self.update(short)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit (splitmix64's finisher)."""
     x = x.astype(np.uint64, copy=True)
@@ -200,7 +226,8 @@ def draw(rows: DataFrame, by: str, per_value: int) -> DataFrame:
     """
     counts = rows.groupBy(by).agg(F.count("*").alias("__n"))
     share = F.least(F.lit(1.0), F.lit(per_value * 1.2 + 20) / F.col("__n"))
-    limits = counts.select(by, (share * 2.0**64 - 2.0**63).alias("__limit"))
+    # Stored, so that its size is known when the join is planned.
+    limits = stored(counts.select(by, (share * 2.0**64 - 2.0**63).alias("__limit")), "limits")
     rank = F.row_number().over(Window.partitionBy(by).orderBy("draw"))
     return (
         rows.join(limits, by).where(F.col("draw") <= F.col("__limit"))

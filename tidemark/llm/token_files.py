@@ -3,29 +3,47 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.frames import annotate, map_arrow
+from tidemark.llm.frames import WordCache, annotate, map_arrow
 
-#: Entries of the cache of a Python worker; a full cache is emptied. Bounds memory, never results.
-CACHE_ENTRIES = 400_000
+#: Entries of each cache of a Python worker.
+CACHE_ENTRIES = 300_000
 
-#: Bytes of text whose unknown words are encoded in one call.
+#: Bytes of text that make one batch of rows.
 BLOCK_BYTES = 4 << 20
 
+#: Printable characters before this one are Latin letters, digits and marks: composed already, and
+#: lower-cased one by one.
+_AFTER_LATIN = "\u0250"
+
+#: The pattern of the tokenizer's file.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow after 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in own)
+    return {b: 256 + k for k, b in enumerate(others)}
+
 
 class WordEncoder:
     """A tokenizer of the tokenizers library, word by word.
 
     The library's pattern never crosses ASCII white space and drops it, so the
-    ids of a text are those of its words one after the other.
+    ids of a text are those of its words one after the other. Words of plain
+    Latin characters are lower-cased and split here, and only their new parts go
+    through the library's merges; all other words go through the whole library.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,20 +52,43 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes], tail: bytes) -> list[bytes]:
-        """Ids as little-endian 32-bit integers, each text's followed by ``tail``."""
-        split = [x.split() for x in texts]
-        new = set().union(*split)
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-        new -= self.known.keys()
-        if new:
-            words = list(new)
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
-            self.known.update(zip(words, (np.array(x.ids, "<i4").tobytes() for x in found), strict=True))
-        return [b"".join(map(self.known.__getitem__, x)) + tail for x in split]
+        self.merged = self.tokenizer.model.tokenize
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        ids = np.arange(size, dtype="<i4").tobytes()
+        self.raw = [ids[k : k + 4] for k in range(0, 4 * size, 4)]
+        self.letters = _byte_letters()
+        with open(path, "rb") as file:
+            parts = json.load(file)
+        steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and {"Regex": _PATTERN} in splits
+        self.split = regex.compile(_PATTERN).findall
+        self.words = WordCache(self._word, CACHE_ENTRIES)
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        own = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        raw = self.raw
+        found = b"".join([raw[x.id] for x in self.merged(own)])
+        if len(part) <= 16 and len(self.parts) < 2 * CACHE_ENTRIES:
+            self.parts[part] = found
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        text, known = word.decode(), self.parts.get
+        if self.plain and text.isprintable() and (text.isascii() or max(text) < _AFTER_LATIN):
+            text = text.lower()
+            if text.isalpha():
+                return known(text) or self._part(text)
+            return b"".join([known(x) or self._part(x) for x in self.split(text)])
+        return b"".join([self.raw[x] for x in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def encode(self, text: bytes, tail: bytes = b"") -> bytes:
+        """Ids as little-endian 32-bit integers, followed by ``tail``."""
+        self.words.trim()
+        if len(self.parts) >= CACHE_ENTRIES:
+            self.parts = {k: v for k, v in self.parts.items() if len(k) <= 5}
+        return b"".join(map(self.words.__getitem__, text.split())) + tail
 
 
 @functools.lru_cache(maxsize=2)
@@ -88,12 +129,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             first = 0
             while first < len(batch):
                 last, size = first, 0
-                block: list[bytes] = []
-                while last < len(batch) and (size < BLOCK_BYTES or not block):
-                    block.append(texts[last].as_py() or b"")
-                    size += len(block[-1])
+                ids: list[bytes] = []
+                while last < len(batch) and (size < BLOCK_BYTES or not ids):
+                    text = texts[last].as_py() or b""
+                    ids.append(encoder.encode(text, tail))
+                    size += len(text)
                     last += 1
-                ids = encoder.encode(block, tail)
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
