@@ -10,10 +10,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.frames import annotate
+from tidemark.llm.frames import WordCache, annotate
 
-#: Entries of each cache of a Python worker; a full cache is emptied. Bounds memory, never results.
-CACHE_ENTRIES = 400_000
+#: Entries of each cache of a Python worker. Bounds memory, never results.
+CACHE_ENTRIES = 120_000
+
+#: Prefixes of at most so many bytes are kept with their last token for all texts.
+SHORT_BYTES = 9
 
 #: A white space character before a space: then matches may span more than one space-led piece.
 _SPACE_RUN = regex.compile(r"\s ")
@@ -34,18 +37,21 @@ class Vocabulary:
         self.pieces: dict[int, bytes] = {v: k for k, v in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.lone: dict[int, bool] = {}
+        self.short: dict[bytes, int] = {}
 
     def merge(self, text: bytes) -> list[int]:
         """Plain BPE of a few bytes: the pair of lowest rank is merged first."""
+        none, rank = 2 * len(self.ranks), self.ranks.get
         parts = [text[k : k + 1] for k in range(len(text))]
-        while len(parts) > 1:
-            best = min(
-                ((self.ranks.get(parts[k] + parts[k + 1], len(self.ranks) * 2), k) for k in range(len(parts) - 1))
-            )
-            if best[0] == len(self.ranks) * 2:
-                break
-            k = best[1]
+        pairs = [rank(text[k : k + 2], none) for k in range(len(text) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            k = pairs.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = rank(parts[k - 1] + parts[k], none)
+            if k < len(pairs):
+                pairs[k] = rank(parts[k] + parts[k + 1], none)
         return [self.ranks[x] for x in parts]
 
     def alone(self, token: int) -> bool:
@@ -79,8 +85,17 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         self.text += more
-        for end in range(len(self.last) + 1, len(self.text) + 1):
-            self.last.append(self._last(end))
+        text, last, short = self.text, self.last, self.vocabulary.short
+        for end in range(len(last) + 1, len(text) + 1):
+            if end <= SHORT_BYTES:
+                token = short.get(text[:end])
+                if token is None:
+                    if len(short) >= CACHE_ENTRIES:
+                        short.clear()
+                    token = short[text[:end]] = self._last(end)
+            else:
+                token = self._last(end)
+            last.append(token)
 
     def replace(self, begin: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of bytes begin to end; returns for how many prefixes work was done."""
@@ -99,13 +114,16 @@ class PrefixTable:
 
     def _last(self, end: int) -> int:
         vocabulary, text, last = self.vocabulary, self.text, self.last
-        ranks = vocabulary.ranks
+        known, pairs = vocabulary.ranks.get, vocabulary.pairs.get
         for begin in range(max(0, end - vocabulary.longest), end):
-            token = ranks.get(text[begin:end])
-            if token is not None and (
-                vocabulary.side_by_side(last[begin - 1], token) if begin else vocabulary.alone(token)
-            ):
-                return token
+            token = known(text[begin:end])
+            if token is not None:
+                if not begin:
+                    fits = vocabulary.alone(token)
+                elif (fits := pairs((last[begin - 1], token))) is None:
+                    fits = vocabulary.side_by_side(last[begin - 1], token)
+                if fits:
+                    return token
         raise ValueError("the vocabulary lacks a single byte of the text")
 
     def tokens(self, end: int | None = None) -> list[int]:
@@ -123,22 +141,21 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.vocabulary = Vocabulary(ranks)
         self.find = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.parts = _Parts(self)
+        self.words = WordCache(self._word, CACHE_ENTRIES)
+        self.parts = WordCache(self._part, CACHE_ENTRIES)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            raw = word.encode()
-            token = self.vocabulary.ranks.get(raw)
-            if token is not None and self.vocabulary.alone(token):
-                found = [token]
-            else:
-                found = PrefixTable(self.vocabulary, raw).tokens()
-            ids = self.words[word] = np.array(found, "<u4").tobytes()
-        return ids
+        raw = word.encode()
+        token = self.vocabulary.ranks.get(raw)
+        if token is not None and self.vocabulary.alone(token):
+            found = [token]
+        else:
+            found = PrefixTable(self.vocabulary, raw).tokens()
+        return np.array(found, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a space and what follows it up to the next one."""
+        return b"".join(map(self.words.__getitem__, self.find(" " + part)))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers.
@@ -148,31 +165,18 @@ class Encoder:
         """
         if not text:
             return b""
+        self.words.trim()
+        self.parts.trim()
         if _SPACE_RUN.search(text):
-            return b"".join(map(self._word, self.find(text)))
-        if len(self.parts) >= CACHE_ENTRIES:
-            self.parts.clear()
+            return b"".join(map(self.words.__getitem__, self.find(text)))
         head, *tail = text.split(" ")
-        first = b"".join(map(self._word, self.find(head)))
+        first = b"".join(map(self.words.__getitem__, self.find(head)))
         return first + b"".join(map(self.parts.__getitem__, tail))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids.tolist()))
 
 
-class _Parts(dict):
-    """The ids of a space and what follows it up to the next one."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        ids = b"".join(map(self.encoder._word, self.encoder.find(" " + part)))
-        if len(part) <= 64:
-            self[part] = ids
-        return ids
-
-
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """The encoder of a rank file (base64 token and rank on each line), once in each Python worker."""
