@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import LOWER_BYTES, annotate, pieces, utf8
+from tidemark.llm.frames import LOWER_BYTES, annotate, draw, pieces, utf8
 
 #: What stands between texts, so that a text begins in a context of its own.
 PAD = 10
@@ -117,17 +117,14 @@ def train(labelled: DataFrame, order: int = 3, per_language: int = 400, max_byte
     """Trees from at most ``per_language`` texts of each language, each of at most ``max_bytes`` bytes.
 
     The sample is bounded by these two documented parameters, chosen by the
-    hash of the text; rows without text or language do not count. Windows keep
-    only that many rows of a language in each map task, so a hot language is
-    no hot task.
+    hash of the text; rows without text or language do not count.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).where(
-        "lang IS NOT NULL AND length(text) BETWEEN 1 AND " + str(int(max_bytes))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
+        (F.col(lang_col).isNotNull()) & F.octet_length(text_col).between(1, max_bytes)
     )
-    rows = rows.withColumn("draw", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    rows = rows.withColumn("draw", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
     sample: dict[str, list[bytes]] = {}
-    for row in rows.withColumn("rank", rank).where(F.col("rank") <= per_language).collect():
+    for row in draw(rows, "lang", per_language).collect():
         sample.setdefault(row.lang, []).append(bytes(row.text))
     return ContextTrees({k: sorted(v) for k, v in sample.items()}, order)
 
