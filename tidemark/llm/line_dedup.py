@@ -54,11 +54,8 @@ class LineRuns:
         lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
         keys = (
             docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-            .select(
-                F.col(id_col).alias("doc"),
-                F.xxhash64(text_col).alias("version"),
-                F.posexplode(lines).alias("place", "line"),
-            )
+            .select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), lines.alias("lines"))
+            .select("doc", "version", F.posexplode("lines").alias("place", "line"))
             .withColumn("key", line_key(F.col("line")))
             .where(F.char_length("key") >= self.min_chars)
             .select(
