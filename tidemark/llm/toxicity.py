@@ -206,6 +206,23 @@ def text_terms(docs: DataFrame, chosen: list[str], text_col: str, keep: list[str
     return annotate(docs, run, "places array<int>", keep)
 
 
+def _document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
+    """How many rows have each place, summed up in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for batch in batches:
+            counts += np.bincount(batch.column("places").flatten().to_numpy(), minlength=size)
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["place", "n"])
+
+    rows = map_arrow(vectors.select("places"), run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    out = np.zeros(size)
+    for x in rows.collect():
+        out[x.place] = x.n
+    return out
+
+
 def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2000, n_terms: int = 128, k: int = 15,
                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id_col, score (0 to 1), and evidence: the nearest examples with cosine and label.
@@ -230,9 +247,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2000,
         F.col("id"), "label", F.col(text_col).alias("text"))
     chosen = _select_terms(texts, n_terms)
     vectors = stored(text_terms(rows, chosen, text_col, [id_col]), "text-terms")
-    frequency = np.zeros(len(chosen))
-    for x in vectors.select(F.explode("places").alias("place")).groupBy("place").count().collect():
-        frequency[x["place"]] = x["count"]
+    frequency = _document_frequencies(vectors, len(chosen))
     idf = np.log((1 + vectors.count()) / (1 + frequency)) + 1
     examples = vectors.join(F.broadcast(sample), F.col(id_col) == F.col("id")).select(
         "id", "label", "places").collect()
