@@ -15,7 +15,7 @@ CANDIDATE_ROWS = 16_384
 QUERY_ROWS = 1_024
 
 #: Shares of the lists that are read before bounds are compared.
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1.0)
+DEPTHS = (1 / 4, 1 / 2, 5 / 8, 3 / 4, 1.0)
 
 #: Sums of products up to this are exact in double precision.
 _EXACT = 2.0**53
@@ -53,8 +53,9 @@ class SortedLists:
         used = np.flatnonzero(query)
         weights = query[used].astype(np.float64)
         up = weights > 0
-        partial, seen = np.zeros(n), np.zeros((n, len(used)), np.float32)
         worst = weights * np.where(up, self.values[used, 0], self.values[used, -1])
+        partial, lower = np.zeros(n), np.full(n, worst.sum())
+        seen = np.zeros((n, len(used)), order="F")
         done = 0
         for share in DEPTHS:
             if len(alive) <= max(64, 4 * k) or not len(used):
@@ -63,17 +64,16 @@ class SortedLists:
             frontier = np.empty(len(used))
             for j, d in enumerate(used):
                 part = slice(n - depth, n - done) if up[j] else slice(done, depth)
-                at = self.order[d, part]
-                partial[at] += weights[j] * self.values[d, part]
+                at, adds = self.order[d, part], weights[j] * self.values[d, part]
+                partial[at] += adds
+                lower[at] += adds - worst[j]
                 seen[at, j] = 1
                 frontier[j] = weights[j] * self.values[d, n - depth if up[j] else depth - 1]
             done = depth
-            known = seen[alive].astype(np.float64)
-            lower = partial[alive] + worst.sum() - known @ worst
-            upper = partial[alive] + frontier.sum() - known @ frontier
             if len(alive) > k:
-                bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-                alive = alive[upper >= bar - 0.5]
+                upper = partial + (frontier.sum() - seen @ frontier)
+                bar = np.partition(lower[alive], len(alive) - k)[len(alive) - k]
+                alive = alive[upper[alive] >= bar - 0.5]
             if depth == n:
                 break
         scores = self.vectors[alive] @ query
