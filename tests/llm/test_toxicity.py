@@ -51,6 +51,21 @@ def test_table(spark):
     assert evidence and evidence[0].label == 1 and evidence[0].cosine > evidence[-1].cosine - 1e-12
 
 
+def test_rare_words_count(spark):
+    """Toxic texts of words that no other text has: their copies have all their words and find them."""
+    rows = [(k, f"plain text number n{k} of clean words") for k in range(60)]
+    rows += [(100 + k, f"rot{k}a bad{k}b vile{k}c vile{k}c") for k in range(3)]
+    labels = [(x[0], int(x[0] >= 100)) for x in rows]
+    rows += [(200 + k, x[1]) for k, x in enumerate(rows[-3:])] + [(300, "rot0a bad0b bad0b bad0b vile0c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for k in range(3):
+        assert got[200 + k].score == 1 and got[200 + k].evidence[0].id == 100 + k
+        assert abs(got[200 + k].evidence[0].cosine - 1) < 1e-9
+    assert got[7].evidence[0].id == 7 and got[7].score < 0.5
+    assert got[300].evidence[0].id == 100 and got[300].evidence[0].cosine < 0.95
+
+
 def test_nothing_learned_and_empty(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -1,11 +1,9 @@
-"""Toxicity by votes of the nearest labelled examples under exact TF-IDF cosine."""
+"""Toxicity by votes of the nearest labelled examples under exact cosine of weighted TF-IDF vectors."""
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +16,13 @@ from tidemark.llm.frames import annotate, draw, map_arrow, stored
 #: Entries of a Python worker's cache of words; a full cache is emptied. Bounds memory, never results.
 CACHE_ENTRIES = 300_000
 
-#: Lengths of word beginnings that are terms besides whole words; ``^`` and ``$`` mark the ends of a word.
+#: Lengths of word beginnings that may go with a label; ``^`` and ``$`` mark the ends of a word.
 BEGINNINGS = (3, 4, 5, 6)
 
+#: How much more than its TF-IDF a term weighs that goes with a label. Plain TF-IDF lets the many rare words
+#: of a text outweigh the few that make it toxic.
+LABEL_WEIGHT = 10.0
+
 #: Chance alone gives a term this chi-squared once in about a million terms.
 LEAST_CHI = 24.0
 
@@ -39,63 +41,105 @@ def terms(chunk: str) -> list[str]:
     return out
 
 
-#: A term counts as further terms where a text has it this often: term frequency as levels, since the
-#: length of a vector of one term would hide it.
-LEVELS = (2, 4)
-
-
-def features(counts: Counter[str]) -> list[str]:
-    """All terms of a text with their levels."""
-    out = list(counts)
-    for level in LEVELS:
-        out += [f"{x} {level}" for x, n in counts.items() if n >= level]
-    return out
-
-
 class Index:
     """Block-max inverted index of labelled examples.
 
     Examples are numbered so that like ones are neighbours and cut into blocks.
-    A term's posting list is kept by block, and ``highest`` has the largest
-    weight of each term in each block: the dot product with a query bounds the
-    cosines of a block, so most blocks are never opened.
+    A term's posting list is in order of the examples, so each block has a run
+    of it, kept with its largest weight: the sum of these for a query's terms
+    bounds the cosines of a block. The blocks of the highest bounds are scored
+    first, then those whose bounds reach the k-th cosine found. Terms that many
+    examples have are rows of a matrix instead: their share of the cosines is
+    computed for all examples and many queries at once, and the bounds have it exactly.
     """
 
+    #: Blocks that are scored before any is left out.
+    FIRST = 4
+
+    #: A term is a row of the matrix if this part of the examples has it, the most frequent terms first.
+    DENSE, MOST_DENSE = 1 / 32, 512
+
     def __init__(self, examples: list[tuple[int, int, float, dict[int, float]]], size: int) -> None:
         """examples: id, label, weight of the vote, unit vector."""
         examples = sorted(examples, key=lambda x: (sorted(x[3]), x[0]))
         self.ids = [x[0] for x in examples]
         self.labels = [x[1] for x in examples]
         self.votes = [x[2] for x in examples]
-        self.highest = np.zeros((size, -(-len(examples) // BLOCK)))
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for k, (_, _, _, vector) in enumerate(examples):
-            for term, weight in vector.items():
-                block = k // BLOCK
-                self.postings.setdefault((term, block), []).append((k, weight))
-                self.highest[term, block] = max(self.highest[term, block], weight)
+        self.blocks = -(-len(examples) // BLOCK)
+        places = np.repeat(np.arange(len(examples)), [len(x[3]) for x in examples])
+        terms = np.array([t for x in examples for t in x[3]], np.int64)
+        weights = np.array([w for x in examples for w in x[3].values()], np.float64)
+        often = np.bincount(terms, minlength=size)
+        rows = np.argsort(-often, kind="stable")[: self.MOST_DENSE]
+        rows = rows[often[rows] > max(BLOCK, self.DENSE * len(examples))]
+        #: The row of a term in the matrix; the number of rows for all other terms.
+        self.row = np.full(size, len(rows), np.int32)
+        self.row[rows] = np.arange(len(rows))
+        self.matrix = np.zeros((len(rows), len(examples)))
+        dense = self.row[terms] < len(rows)
+        self.matrix[self.row[terms[dense]], places[dense]] = weights[dense]
+        places, terms, weights = places[~dense], terms[~dense], weights[~dense]
+        order = np.lexsort((places, terms))
+        self.places, self.weights = places[order].astype(np.int32), weights[order]
+        run = terms[order] * max(1, self.blocks) + self.places // BLOCK
+        begin = np.flatnonzero(np.diff(run, prepend=-1))
+        #: Runs: where each begins and ends, its block and largest weight; where the runs of a term begin.
+        self.begin, self.end = begin, np.append(begin[1:], len(run))[: len(begin)]
+        self.block = self.places[begin] // BLOCK
+        self.highest = np.maximum.reduceat(self.weights, begin) if len(begin) else np.empty(0)
+        self.runs = np.searchsorted(terms[order][begin], np.arange(size + 1))
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k examples of the highest positive cosine, ties to the smaller id: (cosine, place)."""
-        if not query or not self.ids:
-            return []
-        terms, weights = list(query), np.array(list(query.values()))
-        bounds = weights @ self.highest[terms]
-        best: list[tuple[float, int, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[0][0] - 1e-9:
-                break
-            scores: dict[int, float] = {}
-            for term, weight in query.items():
-                for place, other in self.postings.get((term, block), ()):
-                    scores[place] = scores.get(place, 0.0) + weight * other
-            for place, score in scores.items():
-                entry = (round(score, 12), -self.ids[place], place)
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(score, place) for score, _, place in sorted(best, reverse=True)]
+        return next(self.nearest_each([query], k))
+
+    def nearest_each(self, queries: list[dict[int, float]], k: int) -> Iterator[list[tuple[float, int]]]:
+        """``nearest`` of each query."""
+        for first in range(0, len(queries), BLOCK):
+            some = [
+                (np.fromiter(x, np.int64, len(x)), np.fromiter(x.values(), np.float64, len(x)))
+                for x in queries[first : first + BLOCK]
+            ]
+            heads = np.zeros((len(some), len(self.matrix) + 1))
+            for head, (terms, weights) in zip(heads, some, strict=True):
+                head[self.row[terms]] = weights
+            for (terms, weights), base in zip(some, heads[:, :-1] @ self.matrix, strict=True):
+                yield self._nearest(terms, weights, base, k) if len(terms) and self.ids else []
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``nearest`` from the cosines' share of the matrix."""
+        first, sizes = self.runs[terms], self.runs[terms + 1] - self.runs[terms]
+        runs, weights = _ranges(first, sizes), np.repeat(weights, sizes)
+        block = self.block[runs]
+        bounds = np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        bounds = bounds + np.bincount(block, weights * self.highest[runs], self.blocks)
+        start = np.argsort(-bounds, kind="stable")[: self.FIRST]
+        chosen = np.zeros(self.blocks, bool)
+        chosen[start] = True
+        scores = base + self._scores(runs, weights, chosen[block])
+        if self.blocks > len(start):
+            # The shares of blocks that are not scored yet are no more than their cosines.
+            least = np.partition(scores, -k)[-k] - 1e-9 if len(scores) >= k else 0.0
+            more = (bounds >= least) & (bounds > 0) & ~chosen
+            if more.any():
+                scores += self._scores(runs, weights, more[block])
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
+        best = sorted(((-round(x, 12), self.ids[p], p) for x, p in zip(scores[found].tolist(), found.tolist(), strict=True)))
+        return [(-score, place) for score, _, place in best[:k]]
+
+    def _scores(self, runs: np.ndarray, weights: np.ndarray, take: np.ndarray) -> np.ndarray:
+        """The cosines of all examples as far as the taken runs make them."""
+        runs, sizes = runs[take], (self.end - self.begin)[runs[take]]
+        at = _ranges(self.begin[runs], sizes)
+        return np.bincount(self.places[at], np.repeat(weights[take], sizes) * self.weights[at], len(self.ids))
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes`` consecutive numbers from each of ``first``."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
 
 
 class Scorer:
@@ -104,9 +148,13 @@ class Scorer:
     def __init__(self, index: Index, idf: np.ndarray, without: float, k: int) -> None:
         self.index, self.idf, self.without, self.k = index, idf, without, k
 
-    def score(self, places: list[int]) -> tuple[float, list[tuple[int, float, int]]]:
+    def scores(self, texts: Iterable[tuple[list[int], list[int]]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+        """Score and evidence of each text, given by the places of its terms and their counts."""
+        for near in self.index.nearest_each([unit(x, self.idf, n) for x, n in texts], self.k):
+            yield self._judge(near)
+
+    def _judge(self, near: list[tuple[float, int]]) -> tuple[float, list[tuple[int, float, int]]]:
         index = self.index
-        near = index.nearest(unit(places, self.idf), self.k)
         if not near:
             return self.without, []
         votes = [similarity**2 * index.votes[x] for similarity, x in near]
@@ -115,11 +163,10 @@ class Scorer:
         return positive / sum(votes), evidence
 
 
-def unit(places: list[int], idf: np.ndarray) -> dict[int, float]:
-    """The TF-IDF vector of length 1; levels of a term are dimensions of their own."""
-    raw = {x: idf[x] for x in places}
-    norm = math.sqrt(sum(x * x for x in raw.values()))
-    return {x: float(v / norm) for x, v in raw.items()}
+def unit(places: list[int], idf: np.ndarray, counts: list[int] | None = None) -> dict[int, float]:
+    """The vector of length 1 of terms with their counts (1 if not given), each times its weight."""
+    raw = idf[np.array(places, np.int64)] * (1 if counts is None else np.array(counts, np.float64))
+    return dict(zip(places, (raw / np.sqrt(raw @ raw)).tolist(), strict=True)) if places else {}
 
 
 def _sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> DataFrame:
@@ -131,8 +178,8 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> D
     return draw(known.withColumn("draw", F.xxhash64("id")), "label", per_class).select("id", "label")
 
 
-def _select_terms(texts: DataFrame, size: int) -> list[str]:
-    """The terms that go most with either label by the chi-squared statistic over the sample.
+def _label_terms(texts: DataFrame) -> list[str]:
+    """The words and beginnings of words that go with either label by the chi-squared statistic over the sample.
 
     Of terms that are beginnings of one another only the best is taken.
     """
@@ -142,7 +189,7 @@ def _select_terms(texts: DataFrame, size: int) -> list[str]:
         positive: Counter[str] = Counter()
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                found = features(Counter(x for y in (text or "").lower().split() for x in terms(y)))
+                found = {x for y in (text or "").lower().split() for x in terms(y)}
                 every.update(found)
                 if label:
                     positive.update(found)
@@ -167,43 +214,62 @@ def _select_terms(texts: DataFrame, size: int) -> list[str]:
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
         .where((F.col("n") >= 5) & (F.col("n") < total))
         .select("term", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI)
-        .orderBy(F.desc("chi"), F.length("term"), "term").limit(40 * size).collect()
+        .orderBy(F.desc("chi"), F.length("term"), "term").collect()
     )
     chosen: list[str] = []
+    taken: set[str] = set()
+    parts: set[str] = set()
     for x in rows:
-        own, _, level = x.term.partition(" ")
-        others = (y.partition(" ") for y in chosen)
-        if len(chosen) < size and not any(
-            z == level and (own.startswith(y) or y.startswith(own)) for y, _, z in others
-        ):
+        own = [x.term[:n] for n in range(1, len(x.term) + 1)]
+        if x.term not in parts and taken.isdisjoint(own):
             chosen.append(x.term)
+            taken.add(x.term)
+            parts.update(own)
     return chosen
 
 
-def text_terms(docs: DataFrame, chosen: list[str], text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` with places: the numbers of the chosen terms that each whole text has."""
-    numbers = {x: k for k, x in enumerate(chosen)}
-    bare = {x.partition(" ")[0] for x in chosen}
-    known: dict[str, tuple[str, ...]] = {}
+def _words(texts: DataFrame) -> list[str]:
+    """All words of the sample, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found.update(_WORD.findall((text or "").lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+
+    return sorted(x.word for x in map_arrow(texts.select("text"), run, "word string").distinct().collect())
+
+
+def text_terms(docs: DataFrame, names: list[str], text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` with places, the numbers of the named terms that each whole text has, and their counts."""
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+    numbers: dict[str, int] = {}
+    known: dict[str, tuple[int, ...]] = {}
+
+    def places_of(word: str) -> tuple[int, ...]:
+        found = tuple(numbers[x] for x in terms(word) if x in numbers)
+        if len(word) <= 64:
+            known[word] = found
+        return found
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        places = []
+        if not numbers:
+            numbers.update((x, k) for k, x in enumerate(shared.value))
+        places, counts = [], []
         for text in batch.column(text_col):
             if len(known) >= CACHE_ENTRIES:
                 known.clear()
-            found: Counter[str] = Counter()
-            for chunk in (text.as_py() or "").lower().split():
-                own = known.get(chunk)
-                if own is None:
-                    own = tuple(x for x in terms(chunk) if x in bare)
-                    if len(chunk) <= 64:
-                        known[chunk] = own
-                if own:
-                    found.update(own)
-            places.append(sorted(numbers[x] for x in features(found) if x in numbers))
-        return [pa.array(places, pa.list_(pa.int32()))]
+            found: dict[int, int] = {}
+            for word, n in Counter(_WORD.findall((text.as_py() or "").lower())).items():
+                own = known.get(word)
+                for x in places_of(word) if own is None else own:
+                    found[x] = found.get(x, 0) + n
+            places.append(list(found))
+            counts.append(list(found.values()))
+        return [pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
 
-    return annotate(docs, run, "places array<int>", keep)
+    return annotate(docs, run, "places array<int>, counts array<int>", keep)
 
 
 def _document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
@@ -223,19 +289,21 @@ def _document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2000, n_terms: int = 128, k: int = 15,
+def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2000, k: int = 15,
                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id_col, score (0 to 1), and evidence: the nearest examples with cosine and label.
 
     ``labelled`` has id_col and label_col (0 or 1); other labels and null ids
     do not count, and of an id with both labels 1 holds. Examples are at most
     ``per_class`` rows of each label, chosen by the hash of the id: the bounded
-    sample that the model is fitted on, with its ``n_terms`` terms. Document
-    frequencies are counted over all of ``docs``. The score is the share of
-    label 1 among the ``k`` examples of the highest TF-IDF cosine, each voting
-    with the squared cosine times the rows its class has for each example.
-    Texts without any chosen term, null or empty ones too, get the share of
-    label 1 among rows without one; without labelled rows all scores are 0.
+    sample that the model is fitted on. Terms are all words of these examples,
+    with their counts in a text times their inverse document frequency over all
+    of ``docs``. Words that go with a label weigh LABEL_WEIGHT times as much; so
+    do beginnings of words that do, which are terms of their own. The score is
+    the share of label 1 among the ``k`` examples of the highest cosine, each
+    voting with the squared cosine times the rows its class has for each example.
+    Texts without any word of the examples, null or empty ones too, get the share
+    of label 1 among examples without words; without labelled rows all scores are 0.
     """
     spark = docs.sparkSession
     rows = docs.select(id_col, text_col)
@@ -245,12 +313,16 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2000,
     # At most two times per_class rows.
     texts = rows.join(F.broadcast(sample), F.col(id_col) == F.col("id")).select(
         F.col("id"), "label", F.col(text_col).alias("text"))
-    chosen = _select_terms(texts, n_terms)
-    vectors = stored(text_terms(rows, chosen, text_col, [id_col]), "text-terms")
-    frequency = _document_frequencies(vectors, len(chosen))
+    texts = stored(texts, "example-texts")
+    strong = _label_terms(texts)
+    # Terms that go with a label have the first numbers, so the index has examples that share them side by side.
+    names = list(dict.fromkeys([*strong, *(f"^{x}$" for x in _words(texts))]))
+    vectors = stored(text_terms(rows, names, text_col, [id_col]), "text-terms")
+    frequency = _document_frequencies(vectors, len(names))
     idf = np.log((1 + vectors.count()) / (1 + frequency)) + 1
+    idf[: len(strong)] *= LABEL_WEIGHT
     examples = vectors.join(F.broadcast(sample), F.col(id_col) == F.col("id")).select(
-        "id", "label", "places").collect()
+        "id", "label", "places", "counts").collect()
     taken = Counter(x.label for x in examples)
     votes = {x: sizes.get(x, 0) / max(1, taken[x]) for x in (0, 1)}
     empty = [0.0, 0.0]
@@ -258,20 +330,17 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2000,
         if not x.places:
             empty[x.label] += votes[x.label]
     index = Index(
-        [(x.id, x.label, votes[x.label], unit(x.places, idf)) for x in examples if x.places], len(chosen)
+        [(x.id, x.label, votes[x.label], unit(x.places, idf, x.counts)) for x in examples if x.places], len(names)
     )
     without = empty[1] / sum(empty) if sum(empty) else 0.0
     shared = spark.sparkContext.broadcast(Scorer(index, idf, without, k))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        scorer, known, scores, evidence = shared.value, {}, [], []
-        for places in batch.column("places").to_pylist():
-            name = tuple(places)
-            if name not in known:
-                score, near = scorer.score(places)
-                known[name] = score, [{"id": a, "cosine": b, "label": c} for a, b, c in near]
-            scores.append(known[name][0])
-            evidence.append(known[name][1])
+        scorer, scores, evidence = shared.value, [], []
+        texts = zip(batch.column("places").to_pylist(), batch.column("counts").to_pylist(), strict=True)
+        for score, near in scorer.scores(texts):
+            scores.append(score)
+            evidence.append([{"id": a, "cosine": b, "label": c} for a, b, c in near])
         kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         return [pa.array(scores, pa.float64()), pa.array(evidence, kind)]
 
