@@ -48,6 +48,17 @@ def test_tiles():
     assert sorted(x[2] for x in tiles(words, moved, 4)) == [15, 20, 25]
 
 
+def test_rest_of_an_occluded_match_is_marked():
+    item = list(range(16))
+    text = [*item[4:11], 90, 91, *item[:6], 92]
+    assert sorted(tiles(item, text, 4)) == [(0, 10 - 1, 4), (4, 0, 7)]
+    chance = random.Random(8)
+    for _ in range(300):
+        pattern = chance.choices(range(5), k=chance.randint(3, 18))
+        text = chance.choices(range(5), k=chance.randint(0, 30))
+        assert sum(x[2] for x in tiles(pattern, text, 3)) == plain_tiles(pattern, text, 3)
+
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
     text and looked up from unmarked stretches of the pattern. Matches are
     extended as far as both sides are unmarked; one of more than twice the
     search length starts the search again with its length. The longest are
-    marked first, then the search length shrinks down to ``least``.
+    marked first; what a mark leaves of a match waits its turn by its length, or
+    for the pass of its length. Then the search length shrinks down to ``least``.
     """
     marked_p, marked_t = [False] * len(pattern), [False] * len(text)
     found, length = [], max(least, min(20, len(pattern)))
@@ -54,15 +57,34 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
         if longest > 2 * length:
             length = longest
             continue
-        for n, p, t in sorted(matches, key=lambda x: (-x[0], x[1], x[2])):
-            if not any(marked_p[p : p + n]) and not any(marked_t[t : t + n]):
-                marked_p[p : p + n] = marked_t[t : t + n] = [True] * n
-                found.append((p, t, n))
+        queue = [(-n, p, t) for n, p, t in matches]
+        heapq.heapify(queue)
+        while queue:
+            n, p, t = heapq.heappop(queue)
+            rest = _free(marked_p[p : p - n], marked_t[t : t - n])
+            if rest == [(0, -n)]:
+                marked_p[p : p - n] = marked_t[t : t - n] = [True] * -n
+                found.append((p, t, -n))
+                continue
+            for first, size in rest:
+                if size >= length:
+                    heapq.heappush(queue, (-size, p + first, t + first))
         if length == least:
             return found
         length = max(least, length // 2 if length > 2 * least else least)
 
 
+def _free(marked_p: list[bool], marked_t: list[bool]) -> list[tuple[int, int]]:
+    """Where neither side of a match is marked: (begin, length) of each stretch."""
+    out, first = [], 0
+    for k, marked in enumerate([*map(or_, marked_p, marked_t), True]):
+        if marked:
+            if k > first:
+                out.append((first, k - first))
+            first = k + 1
+    return out
+
+
 def _windows(tokens: list[int], marked: list[bool], length: int) -> Iterator[tuple[int, int]]:
     """Where each unmarked window of ``length`` tokens begins, with its rolling hash."""
     lead, value, run = pow(_BASE, length - 1, _MODULUS), 0, 0
