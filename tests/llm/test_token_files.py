@@ -37,6 +37,23 @@ def test_round_trip(spark, path):
     assert order == sorted(order)
 
 
+def test_query_gives_the_library_default(spark, path):
+    from tidemark.llm.queries import QUERIES
+
+    texts = [*TEXTS, "a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "é<|endoftext|>日本"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(PATH)
+    want, start = [], 0
+    for k, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        want.append((k, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}i", *ids))))
+        start += len(ids)
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    got = QUERIES["op9_token_files"](spark, path).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_format(spark, path):
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('some words of text ', 40) AS text")
     token_files.write_tokens(docs, path, PATH, row_group_bytes=1 << 16, page_bytes=1 << 12)

@@ -128,7 +128,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, each with an end id, written and read back."""
     folder = shared_dir(spark, "token-files")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(docs, folder, path, end_id=1, special_tokens=True)
     return token_files.with_crc32(
         token_files.read_tokens(spark, folder), keep=["doc_id", "start", "n_tokens"]
     )

@@ -43,15 +43,17 @@ class WordEncoder:
     The library's pattern never crosses ASCII white space and drops it, so the
     ids of a text are those of its words one after the other. Words of plain
     Latin characters are lower-cased and split here, and only their new parts go
-    through the library's merges; all other words go through the whole library.
+    through the library's merges; all other words go through the whole library,
+    with ``special_tokens`` also those that hold the text of an added token:
+    then that text is the token, as by the library's default, else plain text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_tokens
         self.merged = self.tokenizer.model.tokenize
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         ids = np.arange(size, dtype="<i4").tobytes()
@@ -59,6 +61,8 @@ class WordEncoder:
         self.letters = _byte_letters()
         with open(path, "rb") as file:
             parts = json.load(file)
+        added = [x["content"] for x in parts["added_tokens"]] if special_tokens else []
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.I).search if added else None
         steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and {"Regex": _PATTERN} in splits
@@ -76,7 +80,8 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         text, known = word.decode(), self.parts.get
-        if self.plain and text.isprintable() and (text.isascii() or max(text) < _AFTER_LATIN):
+        plain = self.plain and text.isprintable() and (text.isascii() or max(text) < _AFTER_LATIN)
+        if plain and not (self.added and self.added(text)):
             text = text.lower()
             if text.isalpha():
                 return known(text) or self._part(text)
@@ -92,13 +97,13 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, special_tokens: bool) -> WordEncoder:
+    return WordEncoder(path, special_tokens)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None,
                  id_col: str = "doc_id", text_col: str = "text", row_group_bytes: int = 32 << 20,
-                 page_bytes: int = 256 << 10) -> None:
+                 page_bytes: int = 256 << 10, special_tokens: bool = False) -> None:
     """Write the ids of all texts to ``folder``, in ascending order of ``id_col`` over all files.
 
     ``folder/tokens`` has for each document: the id, part (number of its file's
@@ -107,7 +112,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     pages have the given sizes, with page indexes, so a reader fetches the
     metadata columns, or the pages of some ids, alone. ``folder/parts`` has the
     tokens of all parts before each part. Each text, null as empty, is followed
-    by ``end_id`` if given. Rows with a null id come first; rows that share an
+    by ``end_id`` if given. With ``special_tokens`` the text of an added token
+    becomes that token, as by the library's default; else it is text like any other. Rows with a null id come first; rows that share an
     id are in the order of their text's hash.
     """
     tail = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
@@ -123,7 +129,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     )
 
     def run(batches):
-        encoder, begin = _encoder(tokenizer), 0
+        encoder, begin = _encoder(tokenizer, special_tokens), 0
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             first = 0
