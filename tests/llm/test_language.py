@@ -69,6 +69,23 @@ def test_table(spark):
     assert language.identify(long, trees).first().lang_pred == "en"
 
 
+def test_sample_is_of_different_texts(spark, monkeypatch):
+    """Copies of one text take one place, whatever its hash; long texts are cut where there are no others."""
+    copied = [f"das haus und der garten nummer {k}" for k in range(2)]
+    own = [f"sie sind die einen und anderen {k}" for k in range(60)]
+    copies = spark.range(20_000).selectExpr("concat('das haus und der garten nummer ', id % 2) AS text", "'de' AS lang")
+    others = [(x, "de") for x in own] + [("same words", "en")] * 900 + [("les choses " * 20, "fr"), ("la maison " * 20, "fr")]
+    docs = copies.union(spark.createDataFrame(others, "text string, lang string"))
+    samples = []
+    plain = language.ContextTrees
+    monkeypatch.setattr(language, "ContextTrees", lambda x, order: samples.append(x) or plain(x, order))
+    language.train(docs, per_language=400, max_bytes=100)
+    assert sorted(samples[0]["de"]) == sorted(x.encode() for x in copied + own) and samples[0]["en"] == [b"same words"]
+    assert sorted(samples[0]["fr"]) == [(b"la maison " * 20)[:100], (b"les choses " * 20)[:100]]
+    language.train(docs, per_language=30, max_bytes=100)
+    assert len(set(samples[1]["de"])) == len(samples[1]["de"]) == 30
+
+
 def test_nothing_learned_and_empty(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     trees = language.train(docs)

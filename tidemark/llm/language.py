@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import LOWER_BYTES, annotate, draw, pieces, utf8
+from tidemark.llm.frames import LOWER_BYTES, annotate, draw, pieces, stored, utf8
 
 #: What stands between texts, so that a text begins in a context of its own.
 PAD = 10
@@ -114,17 +114,37 @@ def _code(counts: np.ndarray, total: np.ndarray, kinds: np.ndarray, unseen: np.n
 
 def train(labelled: DataFrame, order: int = 3, per_language: int = 400, max_bytes: int = 65_536,
           text_col: str = "text", lang_col: str = "lang") -> ContextTrees:
-    """Trees from at most ``per_language`` texts of each language, each of at most ``max_bytes`` bytes.
+    """Trees from at most ``per_language`` different texts of each language, each of at most ``max_bytes`` bytes.
 
-    The sample is bounded by these two documented parameters, chosen by the
-    hash of the text; rows without text or language do not count.
+    The sample is bounded by these two documented parameters: the texts of the
+    smallest hashes, copies counting as one. A language that has longer texts only
+    learns from the first ``max_bytes`` of them. Rows without text or language do not count.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
-        (F.col(lang_col).isNotNull()) & F.octet_length(text_col).between(1, max_bytes)
+        (F.col(lang_col).isNotNull()) & (F.octet_length(text_col) > 0)
     )
     rows = rows.withColumn("draw", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
+    # Hashes alone are shuffled here, however many copies a text has.
+    keys = stored(rows.select("lang", "draw", (F.octet_length("text") > max_bytes).alias("long")).distinct(), "texts")
+    counts = {x.lang: x for x in keys.groupBy("lang").agg(
+        F.sum((~F.col("long")).cast("long")).alias("short"), F.count("*").alias("n")).collect()}
+    languages = [(k, x.short == 0) for k, x in counts.items()]
+    if not languages:
+        return ContextTrees({}, order)
+    wanted = keys.sparkSession.createDataFrame(languages, "lang string, long boolean")
+    usable = keys.join(F.broadcast(wanted), ["lang", "long"])
+    taken: dict[str, list[int]] = {k: [] for k in counts}
+    for row in draw(usable, "lang", per_language).collect():
+        taken[row.lang].append(row.draw)
+    for k, x in counts.items():
+        if len(taken[k]) < min(per_language, x.short or x.n):
+            least = usable.where(F.col("lang") == k).orderBy("draw").limit(per_language)
+            taken[k] = [row.draw for row in least.collect()]
+    chosen = keys.sparkSession.createDataFrame(
+        [(k, x) for k, own in taken.items() for x in own], "lang string, draw long")
+    texts = rows.withColumn("text", F.substring("text", 1, max_bytes)).join(F.broadcast(chosen), ["lang", "draw"])
     sample: dict[str, list[bytes]] = {}
-    for row in draw(rows, "lang", per_language).collect():
+    for row in texts.groupBy("lang", "draw").agg(F.min("text").alias("text")).collect():
         sample.setdefault(row.lang, []).append(bytes(row.text))
     return ContextTrees({k: sorted(v) for k, v in sample.items()}, order)
 
