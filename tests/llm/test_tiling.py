@@ -87,6 +87,20 @@ def test_table(spark):
         (1, True), (3, False), (5, False), (6, False), (8, False)]
 
 
+def test_scripts_marks_and_short_items(spark):
+    items = [(1, "机器学习模型的训练数据。"), (2, "การเรียนรู้ของเครื่อง"), (3, "the “quoted” words — are «here» now"),
+             (4, "Zürich"), (5, "deux mots"), (6, "データ"), (7, "... !")]
+    rows = [(1, "他们说机器学习模型的训练数据，很重要"), (2, "คือการเรียนรู้ของเครื่องมาก"), (3, 'The "quoted" words - are "here"\u00a0now'),
+            (4, "in Zürich."), (5, "les deux\u00a0mots, ici"), (6, "このデータは"), (7, "Zürichs deux autres mots. ... !"), (8, "x" * 300 + "，"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_leaks(docs, bench).collect()
+    assert sorted((x.doc_id, x.item_id, x.coverage) for x in got) == [(k, k, 1.0) for k in range(1, 7)]
+    spans = {x.doc_id: x.spans for x in got}
+    assert rows[0][1].encode()[spans[1][0].begin : spans[1][0].end].decode() == "机器学习模型的训练数据"
+    assert sorted(x.doc_id for x in drop_leaks(docs, bench).collect()) == [7, 8, 9]
+
+
 def test_empty_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, ITEM), (2, "other words that are clean here")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -6,12 +6,14 @@ import functools
 import hashlib
 import shutil
 import tempfile
+import unicodedata
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,8 +142,47 @@ LOWER_BYTES = _lower_table()
 #: True for the bytes of a word: everything but 0x20 and 0x09 to 0x0D.
 NOT_SPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
-#: True for ASCII letters, digits and all bytes of other scripts.
-ALNUM = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+#: Scripts written without spaces: each character is a word.
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """0, 1 or 2 for each code point: outside words, part of a word, or a word alone."""
+    out = np.array([unicodedata.category(chr(x))[0] in "LMN" for x in range(0x110000)], np.uint8)
+    for x in np.flatnonzero(out).tolist():
+        if x > 0x7F and _UNSPACED.match(chr(x)):
+            out[x] = 2
+    return out
+
+
+def _alnum(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte of UTF-8 texts is in a word, and where a word may touch another."""
+    kinds = _kinds()
+    kind = kinds[np.minimum(data, 0x7F)]
+    begin = np.flatnonzero(data >= 0xC0)
+    if len(begin) == 0:
+        return kind > 0, begin
+    lead = data[begin].astype(np.int64)
+    sizes = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    point = lead & (0x7F >> sizes)
+    after = [np.minimum(begin + k, len(data) - 1) for k in (1, 2, 3)]
+    for k, at in enumerate(after, 1):
+        point = np.where(sizes > k, point << 6 | data[at] & 0x3F, point)
+    own = kinds[np.minimum(point, 0x10FFFF)]
+    kind[data >= 0x80] = 1
+    kind[begin] = own
+    for k, at in enumerate(after, 1):
+        mine = (sizes > k) & (data[at] & 0xC0 == 0x80)
+        kind[at[mine]] = own[mine]
+    alone = begin[own == 2]
+    cuts = np.concatenate([alone, alone + sizes[own == 2]])
+    return kind > 0, cuts
+
+
+def alnum_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as by ``words``, of Unicode letters, marks and digits; one for each character of unspaced scripts."""
+    return _words(data, offsets, *_alnum(data))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,18 +190,24 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
     A word is a longest run of bytes for which ``kind`` is true, within one text.
     """
+    return _words(data, offsets, kind[data], np.empty(0, np.int64))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words from the bytes that are inside one, cut between texts and at ``cuts``."""
     if len(data) == 0:
         empty = np.empty(0, np.int64)
         return empty, empty, np.empty(0, np.uint64)
-    inside = kind[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0], edge[-1] = inside[0], inside[-1]
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-    cuts = offsets[(offsets > 0) & (offsets < len(data))]
+    cuts = np.concatenate([offsets, cuts])
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
     joined = cuts[inside[cuts] & inside[cuts - 1]]
     marks = np.flatnonzero(edge)
     if len(joined):
-        marks = np.sort(np.concatenate([marks, np.unique(joined), np.unique(joined)]))
+        joined = np.unique(joined)
+        marks = np.sort(np.concatenate([marks, joined, joined]))
     begin, end = marks[0::2], marks[1::2]
     return begin, end, _hashes(data, begin, end)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.frames import ALNUM, annotate, map_arrow, pieces, runs_of, utf8, words
+from tidemark.llm.frames import alnum_words, annotate, map_arrow, pieces, runs_of, utf8
 
 #: Benchmark text that is held in memory, and sent to the executors, at a time.
 BLOCK_BYTES = 16 << 20
@@ -101,21 +101,15 @@ def _windows(tokens: list[int], marked: list[bool], length: int) -> Iterator[tup
             yield k - length + 1, value
 
 
-class Benchmark:
-    """The items of a block: tokens, and an index of their seeds, the runs of ``least`` tokens."""
+class Seeds:
+    """An index of the seeds of some items, the runs of ``length`` tokens."""
 
-    def __init__(self, items: list[tuple[object, str | None]], least: int, threshold: float) -> None:
-        self.least, self.threshold = least, threshold
-        self.ids = [x for x, _ in items]
-        raw = [(x or "").encode() for _, x in items]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        begin, _, hashes = words(np.frombuffer(b"".join(raw), np.uint8), offsets, ALNUM)
-        bounds = np.searchsorted(begin, offsets)
-        self.tokens = [hashes[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        seeds = [runs_of(hashes[a:b], least) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        every = np.concatenate([np.empty(0, np.uint64), *seeds])
-        item = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
-        place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in seeds)])
+    def __init__(self, items: dict[int, np.ndarray], length: int) -> None:
+        self.length = length
+        seeds = [runs_of(x, length) for x in items.values()]
+        every = np.concatenate(seeds)
+        item = np.repeat(np.array(list(items)), [len(x) for x in seeds])
+        place = np.concatenate([np.arange(len(x)) for x in seeds])
         order = np.argsort(every, kind="stable")
         self.seeds = np.unique(every)
         first = np.searchsorted(every[order], self.seeds)
@@ -124,11 +118,10 @@ class Benchmark:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
-    def leaks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
-        """For each text and item over the threshold: text, item, tokens covered, byte spans in the text."""
-        begin, end, hashes = words(data, offsets, ALNUM)
-        seeds = runs_of(hashes, self.least)
-        if len(seeds) == 0 or len(self.seeds) == 0:
+    def hits(self, begin: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[int], set[int]]]:
+        """For each text and item that share a seed: text, item, the words where seeds begin, places in the item."""
+        seeds = runs_of(hashes, self.length)
+        if len(seeds) == 0:
             return
         at = np.flatnonzero(self.maybe[(seeds >> np.uint64(44)).astype(np.int64)])
         seed = np.searchsorted(self.seeds, seeds[at])
@@ -136,7 +129,7 @@ class Benchmark:
         real = self.seeds[seed] == seeds[at]
         at, seed = at[real], seed[real]
         doc = np.searchsorted(offsets, begin[at], "right") - 1
-        inside = begin[at + self.least - 1] < offsets[doc + 1]
+        inside = begin[at + self.length - 1] < offsets[doc + 1]
         at, seed, doc = at[inside], seed[inside], doc[inside]
         bounds = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -146,18 +139,46 @@ class Benchmark:
                     where, covered = hits.setdefault(self.item[k], ([], set()))
                     where.append(word)
                     covered.add(self.place[k])
-            start = int(offsets[doc[a]])
             for item, (where, covered) in sorted(hits.items()):
+                yield int(doc[a]), item, where, covered
+
+
+class Benchmark:
+    """The items of a block: tokens, and indexes of their seeds; an item of less than ``least`` tokens is one seed."""
+
+    def __init__(self, items: list[tuple[object, str | None]], least: int, threshold: float) -> None:
+        self.threshold = threshold
+        self.ids = [x for x, _ in items]
+        raw = [(x or "").encode() for _, x in items]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        begin, _, hashes = alnum_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        bounds = np.searchsorted(begin, offsets)
+        own = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.tokens = [x.tolist() for x in own]
+        self.seeds = []
+        for length in range(1, least + 1):
+            some = {k: x for k, x in enumerate(own) if min(len(x), least) == length}
+            if some:
+                self.seeds.append(Seeds(some, length))
+
+    def leaks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
+        """For each text and item over the threshold: text, item, tokens covered, byte spans in the text."""
+        if not self.seeds:
+            return
+        begin, end, hashes = alnum_words(data, offsets)
+        for seeds in self.seeds:
+            least = seeds.length
+            for doc, item, where, covered in seeds.hits(begin, hashes, offsets):
                 size = len(self.tokens[item])
-                if _covered(covered, self.least) < self.threshold * size:
+                if _covered(covered, least) < self.threshold * size:
                     continue
-                places = _stretches(where, self.least)
+                start, places = int(offsets[doc]), _stretches(where, least)
                 text = [-k if w is None else int(hashes[w]) for k, w in enumerate(places, 1)]
-                found = tiles(self.tokens[item], text, self.least)
+                found = tiles(self.tokens[item], text, least)
                 total = sum(n for _, _, n in found)
                 if total >= self.threshold * size:
                     spans = sorted((int(begin[places[t]]) - start, int(end[places[t + n - 1]]) - start) for _, t, n in found)
-                    yield int(doc[a]), item, total, spans
+                    yield doc, item, total, spans
 
 
 def _covered(starts: set[int], length: int) -> int:
@@ -197,10 +218,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, le
     """A row for each document and benchmark item whose tokens it covers to ``threshold``.
 
     Returns id_col, item_col, n_tokens (of the item), n_matched, coverage and
-    spans (bytes of the document, each a tile). Tokens are runs of letters,
-    digits and bytes of other scripts, A-Z lower-cased; a tile has ``least``
-    tokens or more, so tiles may come in any order. Items with fewer tokens
-    never match, nor do null or empty texts. Rows that share an id are judged
+    spans (bytes of the document, each a tile). Tokens are runs of Unicode
+    letters, marks and digits, A-Z lower-cased, and single characters of scripts
+    without spaces; a tile has ``least`` tokens or more, so tiles may come in any
+    order. Items with fewer tokens match whole. Items without tokens never match,
+    nor do null or empty texts. Rows that share an id are judged
     one by one.
     """
     schema = T.StructType([docs.schema[id_col], benchmark.schema[item_col]] + T.StructType.fromDDL(
