@@ -19,8 +19,10 @@ from tidemark.llm.tiling import drop_leaks
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; texts that are null or have no letter go."""
+    """Documents with a language; texts that are null or have no letter go, these alone if no language is known."""
     trees = language.train(docs)
+    if not trees.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, trees)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -62,6 +62,12 @@ def test_stages(spark, path):
         assert x.ids == library.encode_ordinary(x.text) and x.n_tokens == len(x.ids)
 
 
+def test_documents_stay_if_no_language_is_known(spark, path):
+    rows = [(1, "some text", None), (2, None, None), (3, "12 !", None), (4, "\n日本 1", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(map(tuple, corpus_pipeline.known_language(spark, docs, path).collect())) == [rows[0], rows[3]]
+
+
 def test_run_and_empty_table(spark, path, tmp_path):
     fixture(spark, path)
     got = __spark_entry__.queries()["pipeline"](spark, path)
