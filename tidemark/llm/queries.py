@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, language, token_files
+from tidemark.llm.centroids import cluster_vectors
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.suffix_dedup import cut_repeats
@@ -196,3 +197,50 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Lloyd's rounds one after the other, each as three common table expressions."""
+    text = ""
+    for n in range(rounds + 1):
+        text += f"""
+        a{n} AS MATERIALIZED (
+          SELECT vec_id, v, min(struct_pack(far := list_sum(list_transform(list_zip(v, w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), c := c)) AS best
+          FROM kept, c{n} GROUP BY n, vec_id, v
+        ),"""
+        if n < rounds:
+            text += f"""
+        m{n} AS (
+          SELECT c, list(mean ORDER BY d) AS w FROM (
+            SELECT c, d, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS mean FROM (
+              SELECT best.c AS c, d, sum(v[d]) AS s, count(*) AS n FROM a{n}, range(1, 65) AS dims(d) GROUP BY best.c, d
+            )
+          ) GROUP BY c
+        ),
+        c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.w, c{n}.w) AS w FROM c{n} LEFT JOIN m{n} USING (c)),"""
+    return text
+
+
+@query(
+    f"""
+    WITH kept AS MATERIALIZED (
+      SELECT vec_id, row_number() OVER () AS n,
+             list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), c0 AS MATERIALIZED (
+      SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, v AS w FROM kept
+      QUALIFY c < 8
+    ), {_rounds_sql(10)}
+    last AS (SELECT vec_id, best.c AS cluster, CAST(best.far AS BIGINT) AS distance FROM a10)
+    SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+    FROM last JOIN c10 ON cluster = c
+    """
+)
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in eight clusters after ten rounds."""
+    found = cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256")
+    )
