@@ -1,0 +1,83 @@
+"""Importance resampling against a brute-force version."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tidemark.llm.resampling import crc32s, resample
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def buckets_of(text, longest, buckets):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    runs = [" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+    return len(words), [zlib.crc32(x.encode()) % buckets for x in runs]
+
+
+def brute(docs, target, percent, longest, buckets, min_words):
+    s, t = [0] * buckets, [0] * buckets
+    for counts, texts in ((s, [x for _, x in docs]), (t, target)):
+        for text in texts:
+            for b in buckets_of(text, longest, buckets)[1]:
+                counts[b] += 1
+    gain = [
+        math.floor(1000 * math.log((y + 1.0) * (sum(s) + buckets) / ((x + 1.0) * (sum(t) + buckets))))
+        for x, y in zip(s, t, strict=True)
+    ]
+    rows = []
+    for i, text in docs:
+        n_words, found = buckets_of(text, longest, buckets)
+        weight = sum(gain[b] for b in found) // len(found) if found else 0
+        score = None
+        if i is not None:
+            h = int(hashlib.sha256(f"2024:{i}".encode()).hexdigest()[:8], 16)
+            score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))
+        rows.append((i, len(found), weight, score, n_words >= min_words and score is not None))
+    part = sorted((x for x in rows if x[4]), key=lambda x: (-x[3], x[0]))
+    drawn = [(*x[:4], r) for r, x in enumerate(part[: len(part) * percent // 100], 1)]
+    rest = part[len(drawn) :] + [x for x in rows if not x[4]]
+    return sorted(drawn + [(*x[:4], None) for x in rest], key=str)
+
+
+def found(spark, docs, target, percent=10, longest=1, buckets=10_000, min_words=20, segments=None):
+    frame = spark.createDataFrame([(*x, 1, "x", "y") for x in docs], "doc_id long, text string, rank int, score string, `__x` string")
+    goal = spark.createDataFrame([(x,) for x in target], "text string")
+    out = resample(frame.repartition(5), goal, percent, longest, buckets, min_words, segments=segments)
+    return sorted(map(tuple, out.select("doc_id", "n_features", "weight", "score", "rank").collect()), key=str)
+
+
+def corpus(seed, n):
+    chance = random.Random(seed)
+    words = ["the", "The", "THÉ", "été", "x1", "日本", "z" * 90, "Q" * 700, "a", "b2", "\x80é"]
+    return [(i, chance.choice(" -,\n").join(chance.choices(words, k=chance.randint(0, 12)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("longest,segments", [(1, 1), (1, 7), (3, 60)])
+def test_random(spark, longest, segments):
+    docs = corpus(longest, 600) + [(None, "the the the the"), (601, None), (602, ""), (603, "--"), (604, "x1 " * 5000)]
+    docs += [docs[5]] * 200 + [(5, "another text for 5 x y")]
+    target = [x for _, x in corpus(9, 20)] + [None, ""]
+    args = (30, longest, 97, 4)
+    assert found(spark, docs, target, *args, segments=segments) == brute(docs, target, *args)
+
+
+def test_few_and_none(spark):
+    assert found(spark, [], ["the"]) == []
+    docs = [(1, "one two three"), (2, None)]
+    assert found(spark, docs, []) == brute(docs, [], 10, 1, 10_000, 20)
+    assert found(spark, docs, ["one"], percent=100, min_words=0) == brute(docs, ["one"], 100, 1, 10_000, 0)
+
+
+def test_crc():
+    chance = np.random.default_rng(1)
+    data = chance.integers(0, 256, 5000).astype(np.uint8)
+    begin = chance.integers(0, 4000, 300)
+    end = begin + chance.choice([0, 1, 2, 7, 63, 64, 65, 900], 300)
+    want = [zlib.crc32(data[a:b].tobytes()) for a, b in zip(begin, end, strict=True)]
+    assert crc32s(data, begin, end).tolist() == want

@@ -195,21 +195,25 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 def _words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words from the bytes that are inside one, cut between texts and at ``cuts``."""
+    begin, end = word_bounds(data, offsets, inside, cuts)
+    return begin, end, _hashes(data, begin, end)
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each longest run of bytes that are inside a word, cut between texts and at ``cuts``."""
     if len(data) == 0:
-        empty = np.empty(0, np.int64)
-        return empty, empty, np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     edge = np.empty(len(data) + 1, bool)
     edge[0], edge[-1] = inside[0], inside[-1]
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-    cuts = np.concatenate([offsets, cuts])
+    cuts = offsets if cuts is None else np.concatenate([offsets, cuts])
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
     joined = cuts[inside[cuts] & inside[cuts - 1]]
     marks = np.flatnonzero(edge)
     if len(joined):
         joined = np.unique(joined)
         marks = np.sort(np.concatenate([marks, joined, joined]))
-    begin, end = marks[0::2], marks[1::2]
-    return begin, end, _hashes(data, begin, end)
+    return marks[0::2], marks[1::2]
 
 
 def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -12,6 +12,7 @@ from tidemark.llm import bpe, language, token_files
 from tidemark.llm.centroids import cluster_vectors
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.resampling import resample
 from tidemark.llm.suffix_dedup import cut_repeats
 from tidemark.llm.tiling import find_leaks
 from tidemark.llm.topk import quantized, top_k
@@ -244,3 +245,54 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256")
     )
+
+
+@query(
+    r"""
+    WITH crcs AS MATERIALIZED (
+      SELECT list_transform(range(256), lambda x:
+        list_reduce(range(8), lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x)) AS crc
+    ), words AS MATERIALIZED (
+      SELECT n, doc_id, unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+      FROM (SELECT row_number() OVER () AS n, doc_id, text FROM documents
+            UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark)
+    ), bytes AS (
+      SELECT word, list_transform(range(0, CAST(length(h) AS BIGINT), 2), lambda i:
+               (instr('0123456789ABCDEF', h[i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 2]) - 1) AS b
+      FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words))
+    ), buckets AS (
+      SELECT word, xor(4294967295, list_reduce(b, lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1]), 4294967295)) % 10000 AS bucket
+      FROM bytes, crcs
+    ), features AS MATERIALIZED (SELECT n, doc_id, bucket FROM words JOIN buckets USING (word)),
+    counts AS (
+      SELECT bucket, CAST(count(*) FILTER (n > 0) AS DOUBLE) AS s, CAST(count(*) FILTER (n < 0) AS DOUBLE) AS t
+      FROM features GROUP BY bucket
+    ), gains AS (
+      SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain
+      FROM counts
+    ), weights AS (
+      SELECT n, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total
+      FROM features JOIN gains USING (bucket) WHERE n > 0 GROUP BY n
+    ), scores AS (
+      SELECT doc_id, coalesce(n_features, 0) AS n_features,
+             coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+             CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+      FROM (SELECT row_number() OVER () AS n, doc_id FROM documents) LEFT JOIN weights USING (n)
+    ), scored AS (
+      SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scores
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+             count(*) FILTER (n_features >= 20) OVER () AS many
+      FROM scored
+    )
+    SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+           CASE WHEN n_features >= 20 AND place <= 10 * many // 100 THEN CAST(place AS BIGINT) END AS rank
+    FROM ranked
+    """
+)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents of 20 words or more, drawn by how much they read like the benchmark."""
+    found = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
