@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, language, token_files
 from tidemark.llm.centroids import cluster_vectors
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.pii import KINDS, find_pii, spans_text
 from tidemark.llm.resampling import resample
 from tidemark.llm.suffix_dedup import cut_repeats
 from tidemark.llm.tiling import find_leaks
@@ -296,3 +297,18 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of all documents of 20 words or more, drawn by how much they read like the benchmark."""
     found = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all texts: base patterns, and what the labelers' votes add."""
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(number(kind) for kind in KINDS),
+        F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+    )
