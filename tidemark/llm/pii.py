@@ -41,8 +41,8 @@ ZONES = {
     ],
     "ip": [
         r"(?=[0-9])(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-        rf"(?={_HEX}:)(?<![0-9A-Za-z:.])(?:{_HEX}:){{7}}{_HEX}(?![0-9A-Za-z:]|\.[0-9])",
-        rf"(?={_HEX}:)(?<![0-9A-Za-z:.])(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}(?![0-9A-Za-z:]|\.[0-9])",
+        rf"(?={_HEX}:)(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{{0,39}}[0-9])(?:{_HEX}:){{7}}{_HEX}(?![0-9A-Za-z:]|\.[0-9])",
+        rf"(?={_HEX}:)(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{{0,39}}[0-9])(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}(?![0-9A-Za-z:]|\.[0-9])",
     ],
     # Shorter runs hold no card; those of 13 digits on are candidates.
     "card": ["[0-9](?:[ -]?[0-9]){12,}+"],
