@@ -218,3 +218,65 @@ def test_unregister_keeps_the_changelog_unless_asked(spark, path):
     assert rows(left) == [("CDC", "T2")] and log.scan_changelog(spark, where).count() == 10
     jobs.unregister(spark, registry, "CDC", "ORDERS", path, drop=True)
     assert log.list_changelogs(spark, path) == []
+
+
+# --- batches that carry some columns ---------------------------------------------------
+
+
+def by_columns(changes):
+    """Replay one by one: ``carried`` names the columns a change knows."""
+    out = {}
+    for _, op, key, value, carried in sorted(changes):
+        if op == "d":
+            out.pop(key, None)
+        else:
+            old = out.get(key, (None, None))
+            out[key] = (value if "AMOUNT" in carried else old[0], f"s{value}" if "STATUS" in carried else old[1])
+    return sorted(((k, *v) for k, v in out.items()), key=str)
+
+
+def column_rows(spark, changes, carried):
+    data = []
+    for scn, op, key, value, _ in changes:
+        image = (key, value, f"s{value}")
+        data.append(event(op, scn, before=image if op == "d" else None, after=None if op == "d" else image))
+    lacks = {"AMOUNT", "STATUS"} - set(carried)
+    return state.change_rows(events(spark, data).repartition(3)).drop(*lacks)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_batches_with_different_columns_in_any_order(spark, path, small, monkeypatch):
+    from tidemark.sinks import target as module
+
+    monkeypatch.setattr(module, "SMALL_SHARE", 0 if small else 10**9)
+    rng = random.Random(5)
+    kinds = [("AMOUNT", "STATUS"), ("AMOUNT",), ("STATUS",), ("AMOUNT", "STATUS")]
+    changes = [(n, rng.choice("ccuud"), rng.choice([None, *range(8)]), f"v{n}", kinds[n // 40]) for n in range(160)]
+    batches = {i: column_rows(spark, changes[i * 40 : i * 40 + 40], kinds[i]) for i in range(4)}
+    # The first batch declares the columns, so it carries all.
+    orders = [p for p in itertools.permutations(range(4)) if kinds[p[0]] == kinds[0]]
+    for n, order in enumerate(orders[:: 1 if small else 4]):
+        target = TargetTable(spark, f"{path}/t{n}", ["ID"])
+        for step, i in enumerate(order):
+            target.apply(batches[i], f"b{i}")
+            if step == n % 3:
+                target.compact()
+        target.apply(batches[order[1]], "again")
+        got = sorted(map(tuple, target.read().collect()), key=str)
+        assert got == by_columns(changes), order
+
+
+def test_rows_deleted_and_created_by_narrow_batches(spark, path):
+    target = TargetTable(spark, path, ["ID"])
+    full = lambda scn, op="u": column_rows(spark, [(scn, op, 1, f"v{scn}", ())], ("AMOUNT", "STATUS"))
+    narrow = lambda scn, op="u": column_rows(spark, [(scn, op, 1, f"v{scn}", ())], ("AMOUNT",))
+    target.apply(full(50), "a")
+    target.apply(narrow(100), "b")
+    target.apply(full(80), "c")
+    assert rows(target.read()) == [(1, "v100", "sv80")]
+    target.apply(narrow(90, "d"), "d")
+    assert rows(target.read()) == [(1, "v100", None)]
+    target.apply(full(95), "e")
+    assert rows(target.read()) == [(1, "v100", "sv95")]
+    target.truncate()
+    assert target._pointer()["narrow"] == [] and rows(target.read()) == []

@@ -8,10 +8,10 @@ whatever the arrival order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.scalars import scn_long
 from tidemark.model import DELETE
@@ -20,6 +20,9 @@ from tidemark.operators.ordered import latest
 ORDER = ["_scn", "_tx", "_seq", "_tie"]
 HIDDEN = ORDER + ["_deleted"]
 
+#: Per column the order of the change its value is from; null where that is the row's own order.
+COLUMN_ORDER = "_column_order"
+
 
 def newest_first() -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in ORDER]
@@ -77,32 +80,90 @@ def fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def live(state: DataFrame) -> DataFrame:
     """What a reader of the target table sees."""
-    return state.where(~F.col("_deleted")).drop(*HIDDEN)
+    return state.where(~F.col("_deleted")).drop(*HIDDEN, COLUMN_ORDER)
 
 
 def current_state(events: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
     return live(fold(change_rows(events, seq), keys))
 
 
+def own_order() -> Column:
+    return F.struct(*ORDER)
+
+
+def carrying(rows: DataFrame, columns: Mapping[str, T.DataType], keys: Sequence[str]) -> DataFrame:
+    """Change rows that lack some of ``columns``, with nulls there and marked as not carrying them.
+
+    A delete carries every column: it sets them to null.
+    """
+    order_type = rows.select(own_order().alias("o")).schema["o"].dataType
+    names = [c for c in columns if c not in keys]
+    orders = F.create_map(*(
+        x for c in names
+        for x in (F.lit(c), own_order() if c in rows.columns else F.lit(None).cast(order_type))
+    ))
+    values = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+    return rows.select(*values, *HIDDEN, F.when(~F.col("_deleted"), orders).alias(COLUMN_ORDER))
+
+
+def fold_columns(rows: DataFrame, keys: Sequence[str], groups: Sequence[Sequence[str]]) -> DataFrame:
+    """The state of each key when changes do not carry all columns.
+
+    A column has the value of the last change that carries it; a delete carries
+    all, as nulls. ``groups`` are the columns that are always carried together
+    (without keys): one order decides for a group. The order is a maximum per
+    group, taken on the map side first, so neither the sequence of arrival nor a
+    hot key matters.
+    """
+    def order_of(group: Sequence[str]) -> Column:
+        return F.when(F.col(COLUMN_ORDER).isNull(), own_order()).otherwise(F.col(COLUMN_ORDER)[group[0]])
+
+    picked = [
+        part for i, group in enumerate(groups) for part in (
+            F.max_by(F.when(~F.col("_deleted"), F.struct(*group)), order_of(group)).alias(f"_values{i}"),
+            F.max(order_of(group)).alias(f"_at{i}"),
+        )
+    ]
+    last = rows.groupBy(*keys).agg(
+        *picked, F.max(own_order()).alias("_last"), F.max_by("_deleted", own_order()).alias("_deleted")
+    )
+    as_row = reduce(lambda a, b: a & b, (F.col(f"_at{i}").eqNullSafe(F.col("_last")) for i in range(len(groups))), F.lit(True))
+    orders = [x for i, group in enumerate(groups) for c in group for x in (F.lit(c), F.col(f"_at{i}"))]
+    out = {c: F.col(f"_values{i}")[c] for i, group in enumerate(groups) for c in group}
+    names = [c for c in rows.columns if c not in (*HIDDEN, COLUMN_ORDER)]
+    return last.select(
+        *(out[c].alias(c) if c in out else F.col(c) for c in names),
+        *(F.col("_last")[c].alias(c) for c in ORDER), "_deleted",
+        F.when(~as_row, F.create_map(*orders) if orders else None).cast(rows.schema[COLUMN_ORDER].dataType).alias(COLUMN_ORDER),
+    )
+
+
 def merge_batch(
-    state: DataFrame, batch: DataFrame, keys: Sequence[str], small_batch: bool = True
+    state: DataFrame, batch: DataFrame, keys: Sequence[str], small_batch: bool = True,
+    groups: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
     """State after a batch of change rows. Applying a batch twice changes nothing.
 
+    ``groups`` are the column groups of ``fold_columns`` if rows do not all
+    carry all columns.
+
     With a batch that is small next to the state, only the state rows whose key
     occurs in it meet it in a fold. The others pass through an anti join, which
     needs no shuffle of the state while the batch keys can be broadcast. A batch
     of the state's own size is folded together with it, one shuffle for both.
     Both give the same rows; a null key is a key like any other.
     """
+    def folded(rows: DataFrame) -> DataFrame:
+        return fold(rows, keys) if groups is None else fold_columns(rows, keys, groups)
+
     if not small_batch:
-        return fold(state.unionByName(batch.select(*state.columns)), keys)
-    new = fold(batch, keys)
+        return folded(state.unionByName(batch.select(*state.columns)))
+    new = folded(batch)
     named = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys))
     touched = state.join(named, same, "left_semi")
     untouched = state.join(named, same, "left_anti")
-    merged = fold(touched.unionByName(new.select(*state.columns)), keys)
+    merged = folded(touched.unionByName(new.select(*state.columns)))
     return untouched.unionByName(merged)
 
 

@@ -4,7 +4,8 @@ Parquet has no row-level update, so a target is a base version plus one small
 delta per applied batch, each folded to one row per key. Reading merges the
 two; compaction writes a new base. A batch is stored under its id, so applying
 it again replaces the same folder. Deltas merge by change order and not by
-arrival, so batches may come late, twice, or from a replay.
+arrival, so batches may come late, twice, or from a replay. Once a batch lacked
+columns, values merge by the change order of each group of columns.
 
 ``_pointer/<n>.json`` says which generation, base and deltas are valid; the
 highest number counts. A truncate starts a new generation, whose rows are never
@@ -15,11 +16,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.operators.state import HIDDEN, fold, live, merge_batch
+from tidemark.operators.state import COLUMN_ORDER, HIDDEN, ORDER, carrying, fold, fold_columns, live, merge_batch
 from tidemark.sinks import files
 
 
@@ -27,6 +27,10 @@ from tidemark.sinks import files
 SMALL_SHARE = 10
 
 
+def _order_type(schema: T.StructType) -> T.StructType:
+    return T.StructType([schema[c] for c in ORDER])
+
+
 class SchemaMismatch(ValueError):
     """Changes that the target columns cannot take."""
 
@@ -70,46 +74,46 @@ class TargetTable:
         if wrong:
             raise SchemaMismatch(f"target {self.path} cannot take columns {wrong}")
 
-    def _filled(self, rows: DataFrame, pointer: dict, batch_id: str) -> DataFrame:
-        """The batch, folded, with target columns it does not carry as the target has them.
-
-        A key that the batch deletes and creates again starts with nulls there,
-        as does one that the target does not have.
-        """
-        declared = T.StructType.fromJson(pointer["schema"])
-        absent = [f for f in declared.fields if f.name not in rows.columns]
-        if not absent:
-            return fold(rows, self.keys)
-        if {f.name for f in absent} & set(self.keys):
-            raise SchemaMismatch(f"target {self.path} needs the key columns {self.keys}")
-        keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)]
-
-        def same(prefix: str):
-            pairs = (F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(self.keys))
-            return reduce(lambda a, b: a & b, pairs)
-
-        gone = rows.where("_deleted").select(
-            *[F.col(k).alias(f"_g{i}") for i, k in enumerate(self.keys)], F.lit(True).alias("_gone")
-        ).distinct()
-        known = live(self.state(without=batch_id)).select(*keys, *[f.name for f in absent])
-        found = fold(rows, self.keys).join(gone, same("_g"), "left").join(known, same("_k"), "left")
-        values = {f.name: F.when(F.col("_gone").isNull(), F.col(f.name)) for f in absent}
-        return found.withColumns(values).select(*declared.fieldNames())
+    def _groups(self, pointer: dict) -> list[list[str]] | None:
+        """Columns that were always carried together; none if every batch carried all."""
+        narrow = pointer.get("narrow")
+        if not narrow:
+            return None
+        groups: dict[tuple, list[str]] = {}
+        for name in T.StructType.fromJson(pointer["schema"]).fieldNames():
+            if name not in (*HIDDEN, *self.keys):
+                groups.setdefault(tuple(name in carried for carried in narrow), []).append(name)
+        return list(groups.values())
 
     def apply(self, rows: DataFrame, batch_id: str) -> None:
         """Apply a batch of change rows. The same id again has no further effect.
 
-        Target columns that the rows lack keep their values.
+        Target columns that the rows lack keep their values: each column has its
+        own change order from then on, so batches that carry different columns
+        may come in any sequence. A key that is deleted and created again has
+        nulls in columns no later change carries.
         """
         pointer = self._pointer()
         self.check_columns(rows, pointer)
         if pointer["schema"] is None:
             pointer = self._move(schema=json.loads(rows.schema.json()))
+        declared = T.StructType.fromJson(pointer["schema"])
+        columns = {f.name: f.dataType for f in declared.fields if f.name not in HIDDEN}
+        carried = [c for c in columns if c in rows.columns]
+        if set(self.keys) - set(carried):
+            raise SchemaMismatch(f"target {self.path} needs the key columns {self.keys}")
+        if len(carried) < len(columns):
+            known = pointer.get("narrow") or []
+            if carried not in known:
+                pointer = self._move(narrow=[*known, carried])
+            folded = fold_columns(carrying(rows, columns, self.keys), self.keys, self._groups(pointer))
+        else:
+            folded = fold(rows, self.keys)
         folder = f"{self._folder(pointer)}/delta/batch={batch_id}"
-        self._filled(rows, pointer, batch_id).write.mode("overwrite").parquet(folder)
+        folded.write.mode("overwrite").parquet(folder)
 
     def truncate(self) -> None:
-        self._move(generation=self._pointer()["generation"] + 1, base=None, compacted=[])
+        self._move(generation=self._pointer()["generation"] + 1, base=None, compacted=[], narrow=[])
 
     def compact(self, only_if_due: bool = False) -> None:
         """Write a new base from base and deltas, then point to it.
@@ -169,22 +173,27 @@ class TargetTable:
         base_bytes = files.size(self.spark, [f"{folder}/base-{pointer['base']}"])
         return delta_bytes * SMALL_SHARE < base_bytes
 
-    def state(self, without: str | None = None) -> DataFrame:
-        """Every key ever seen in this generation, deleted ones flagged, ``without`` one batch."""
+    def state(self) -> DataFrame:
+        """Every key ever seen in this generation, deleted ones flagged."""
         pointer = self._pointer()
         if pointer["schema"] is None:
             raise FileNotFoundError(f"no target at {self.path}")
-        schema = T.StructType.fromJson(pointer["schema"])
+        schema, groups = T.StructType.fromJson(pointer["schema"]), self._groups(pointer)
+        if groups is not None:
+            # Folders written before the first narrow batch lack the column: null, all at the row's order.
+            schema = T.StructType([*schema.fields, T.StructField(COLUMN_ORDER, T.MapType(T.StringType(), _order_type(schema)))])
         folder = self._folder(pointer)
-        deltas = [d for d in self._deltas(pointer) if d != f"batch={without}"]
+        deltas = self._deltas(pointer)
         read = self.spark.read.schema(schema)
         base = None if pointer["base"] is None else read.parquet(f"{folder}/base-{pointer['base']}")
         if not deltas:
             return base if base is not None else self.spark.createDataFrame([], schema)
         new = read.parquet(*[f"{folder}/delta/{d}" for d in deltas])
         if base is None:
-            return new if len(deltas) == 1 else fold(new, self.keys)
-        return merge_batch(base, new, self.keys, small_batch=self._small(pointer, deltas))
+            if len(deltas) == 1:
+                return new
+            return fold(new, self.keys) if groups is None else fold_columns(new, self.keys, groups)
+        return merge_batch(base, new, self.keys, small_batch=self._small(pointer, deltas), groups=groups)
 
     def read(self) -> DataFrame:
         return live(self.state())

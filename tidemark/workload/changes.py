@@ -448,19 +448,19 @@ def transaction_ties(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
-@query(
-    f"""WITH ops AS ({OPS}), half AS (SELECT max(event_id) // 2 AS h FROM ops),
-      old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS rn
-              FROM ops, half WHERE event_id < h) WHERE rn = 1),
-      new AS (SELECT *, max(CAST(op = 'd' AS INT)) OVER (PARTITION BY id) AS gone,
-                     row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS rn
-              FROM ops, half WHERE event_id >= h)
-    SELECT coalesce(n.id, o.id) AS id,
-           CAST(CASE WHEN n.id IS NULL OR (n.gone = 0 AND o.op <> 'd') THEN o.amt END AS DOUBLE) AS amt,
-           CASE WHEN n.id IS NULL THEN o.st ELSE n.st END AS st
-    FROM old o FULL JOIN (SELECT * FROM new WHERE rn = 1) n ON o.id = n.id
-    WHERE coalesce(n.op, o.op) <> 'd'"""
-)
+def _columns_sql(amt: str, st: str) -> str:
+    """Each column from the last change that carries it; a delete carries both."""
+    return f"""
+      SELECT id, CAST(amt AS DOUBLE) AS amt, st FROM (
+        SELECT id, arg_max(op, event_id) AS last_op,
+               arg_max_null(CASE WHEN op <> 'd' THEN amt END, event_id) FILTER (op = 'd' OR {amt}) AS amt,
+               arg_max_null(CASE WHEN op <> 'd' THEN st END, event_id) FILTER (op = 'd' OR {st}) AS st
+        FROM ops, half GROUP BY id
+      ) WHERE last_op <> 'd'
+    """
+
+
+@query(f"WITH ops AS ({OPS}), half AS (SELECT max(event_id) // 2 AS h FROM ops) {_columns_sql('event_id < h', 'true')}")
 def narrow_batch(spark, sf_dir):
     """The second half comes without the amount: the target keeps the one it has."""
     target = TargetTable(spark, shared_dir(spark, "target"), KEYS)
@@ -471,6 +471,25 @@ def narrow_batch(spark, sf_dir):
     return _flat(target.read())
 
 
+@query(
+    f"WITH ops AS ({OPS}), half AS (SELECT max(event_id) // 5 AS h FROM ops)"
+    + _columns_sql("least(event_id // h, 4) NOT IN (1, 4)", "least(event_id // h, 4) <> 3")
+)
+def late_batches_by_column(spark, sf_dir):
+    """Five batches, two without the amount and one without the state; they come late, twice and past a compaction."""
+    target = TargetTable(spark, shared_dir(spark, "target"), KEYS)
+    rows = state.change_rows(changes(spark, sf_dir), "event_id")
+    fifth = ops(spark, sf_dir).agg(F.expr("max(event_id) div 5")).scalar()
+    part = F.least(F.floor(F.col("_scn") / fifth), F.lit(4))
+    lacks = {1: ["AMT"], 3: ["ST"], 4: ["AMT"]}
+    for n in (2, 4, 3, 0):
+        target.apply(rows.where(part == n).drop(*lacks.get(n, [])), f"part-{n}")
+    target.compact()
+    target.apply(rows.where(part == 1).drop("AMT"), "part-1")
+    target.apply(rows.where(part == 2), "part-2")
+    return _flat(target.read())
+
+
 @query(
     """SELECT CASE WHEN event_id % 11 = 0 THEN 'malformed' WHEN event_id % 13 = 0 THEN 'malformed'
                    WHEN event_id % 17 = 0 THEN 'no operation' ELSE 'taken' END AS reason, count(*) AS n
