@@ -186,3 +186,27 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
+
+
+def carried_forward(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    out: str,
+    position: Column,
+    width: int,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``out``: the key's last ``value`` that is not null, up to and including this row."""
+    df = sliced(df.withColumn("_v", value), keys, order, position, width, hot_rows)
+    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order)))
+    slices = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    seeds = (
+        _summaries(df, keys, last)
+        .select(*keys, _SLICE, F.last("_summary", ignorenulls=True).over(slices).alias("_v"))
+        .where(F.col("_v").isNotNull())
+    )
+    w = Window.partitionBy(*keys, _SLICE).orderBy(*_order(order))
+    found = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _unseeded(_seeded(df, seeds).withColumn(out, found), "_v")

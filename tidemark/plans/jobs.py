@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.operators.incremental import chunk_deletes, chunk_events, in_range
 from tidemark.operators.reconcile import reconcile
 from tidemark.operators.replay import from_scn, replay_counts
 from tidemark.operators.state import change_rows
+from tidemark.sinks import files
 from tidemark.sinks.changelog import drop_changelog, ensure_changelog, scan_changelog, table_path
 from tidemark.sinks.target import TargetTable
 from tidemark.sources.envelopes import snapshot_load
@@ -117,6 +120,52 @@ def resnapshot(
     return steps.frame(spark)
 
 
+def incremental_snapshot(
+    spark: SparkSession,
+    chunks: DataFrame,
+    read_range: Callable[[Column], DataFrame],
+    position: Callable[[], int],
+    changes: Callable[[], DataFrame],
+    target: TargetTable,
+    key: str,
+    schema: str,
+    table: str,
+    ts_ms: int,
+    workspace: str,
+) -> DataFrame:
+    """Load a table into its target chunk by chunk while its changes go on being applied.
+
+    ``chunks`` are planned ranges of ``key``; ``read_range`` reads the source
+    where a condition holds, ``position`` tells the source's change number, and
+    ``changes`` the change events so far. Of each chunk the rows are written to
+    ``workspace`` between its low and its high number. Rows that the target has
+    in the range and the source has not are deleted. A finished chunk is noted
+    there, so a job that starts again goes on with the next one; a chunk taken
+    twice does no harm. One row per chunk.
+    """
+    steps, root = Steps(), workspace.rstrip("/")
+    done = set(files.numbered(spark, f"{root}/done"))
+    for chunk in chunks.orderBy("chunk").toLocalIterator():
+        n, name = chunk["chunk"], f"chunk-{chunk['chunk']}"
+        if n in done:
+            steps.add(name, "KEPT")
+            continue
+        here = in_range(key, chunk["lower"], chunk["upper"])
+        low = position()
+        read_range(here).write.mode("overwrite").parquet(f"{root}/{name}")
+        high = position()
+        rows = spark.read.parquet(f"{root}/{name}")
+        window = (changes(), target.keys, low, high, ts_ms, schema, table)
+        events = chunk_events(rows, *window)
+        if target.exists():
+            events = events.unionByName(chunk_deletes(target.read().where(here), rows, *window))
+        target.apply(change_rows(events), f"{name}-{low}-{high}")
+        files.write_text(spark, f"{root}/done/{n}.json", json.dumps({"low": low, "high": high}))
+        files.remove(spark, f"{root}/{name}")
+        steps.add(name, "DONE", f"low={low} high={high}")
+    return steps.frame(spark)
+
+
 def unregister(
     spark: SparkSession,
     registry: DataFrame,

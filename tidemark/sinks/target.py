@@ -58,6 +58,10 @@ class TargetTable:
     def _folder(self, pointer: dict) -> str:
         return f"{self.path}/gen-{pointer['generation']}"
 
+    def exists(self) -> bool:
+        """Whether a first batch has declared the columns."""
+        return self._pointer()["schema"] is not None
+
     # --- writing ---
 
     def check_columns(self, rows: DataFrame, pointer: dict | None = None) -> None:

@@ -29,6 +29,7 @@ def load_all() -> None:
         changes,
         control,
         dictionary,
+        history,
         metrics,
         reconcile,
         streams,
