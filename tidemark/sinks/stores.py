@@ -102,15 +102,19 @@ def _end_swaps(spark: SparkSession, path: str) -> None:
 
 
 def batches(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
-    """Finished batch folders in batch order, optionally only those before a batch."""
-    found = []
+    """Finished batch folders in batch order, optionally only those before a batch.
+
+    A merged folder stands for all batches up to its number.
+    """
+    found: dict[str, list[int]] = {"merged": [], "batch": []}
     for name in files.children(spark, path):
-        number = name.removeprefix("batch=")
-        if name.startswith("batch=") and number.isdigit():
-            if before is None or int(number) < before:
-                if files.exists(spark, f"{path}/{name}/_SUCCESS"):
-                    found.append((int(number), f"{path}/{name}"))
-    return [p for _, p in sorted(found)]
+        kind, _, number = name.partition("=")
+        if kind in found and number.isdigit() and files.exists(spark, f"{path}/{name}/_SUCCESS"):
+            found[kind].append(int(number))
+    first = max(found["merged"], default=None)
+    numbers = sorted(n for n in found["batch"] if (first is None or n > first) and (before is None or n < before))
+    merged = [] if first is None else [f"{path}/merged={first}"]
+    return merged + [f"{path}/batch={n}" for n in numbers]
 
 
 def read_batches(
@@ -122,6 +126,46 @@ def read_batches(
     return spark.read.schema(schema).parquet(*folders)
 
 
+def _numbered(spark: SparkSession, path: str, kind: str) -> list[int]:
+    names = (name.partition("=") for name in files.children(spark, path))
+    return sorted(int(n) for k, _, n in names if k == kind and n.isdigit())
+
+
+def prune_batches(spark: SparkSession, path: str, batch_id: int, keep: int = 2) -> None:
+    """Drop folders that newer ones replace: of states kept per batch only the last few are ever read.
+
+    The one before ``batch_id`` stays, so that this batch can be taken again.
+    """
+    for n in _numbered(spark, path, "batch"):
+        if n <= batch_id - keep:
+            files.remove(spark, f"{path}/batch={n}")
+
+
+def merge_batches(spark: SparkSession, path: str, schema: T.StructType, upto: int, most: int = 16) -> bool:
+    """Put the rows of all batches up to a number into one folder, once there are more than ``most``.
+
+    ``upto`` is a batch that will not be taken again. The merged folder counts
+    once it is complete, and from then on the folders it stands for do not, so
+    a job that stops in between loses and repeats nothing.
+    """
+    old = [n for n in _numbered(spark, path, "batch") if n <= upto]
+    merged = _numbered(spark, path, "merged")
+    folders = [f for f in batches(spark, path) if int(f.rsplit("=", 1)[1]) <= upto]
+    done = bool(folders) and len(folders) > most
+    if done:
+        spark.read.schema(schema).parquet(*folders).coalesce(1 + len(folders) // 1000).write.mode("overwrite").parquet(
+            f"{path}/merged={upto}"
+        )
+    current = max((n for n in _numbered(spark, path, "merged") if files.exists(spark, f"{path}/merged={n}/_SUCCESS")), default=-1)
+    for n in old:
+        if n <= current:
+            files.remove(spark, f"{path}/batch={n}")
+    for n in merged:
+        if n < current:
+            files.remove(spark, f"{path}/merged={n}")
+    return done
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write one batch under its id; a retry replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

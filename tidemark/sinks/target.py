@@ -119,40 +119,60 @@ class TargetTable:
     def truncate(self) -> None:
         self._move(generation=self._pointer()["generation"] + 1, base=None, compacted=[], narrow=[])
 
-    def compact(self, only_if_due: bool = False) -> None:
+    def compact(self, only_if_due: bool = False, below: int | None = None) -> None:
         """Write a new base from base and deltas, then point to it.
 
         It is due once the deltas have grown to a tenth of the base, so a large
-        base is not rewritten for a few changes.
+        base is not rewritten for a few changes. Deleted keys stay as tombstones
+        unless their delete is ``below`` a change number that every consumer and
+        replay has passed: nothing older than the delete can arrive then.
         """
         pointer = self._pointer()
         done = self._deltas(pointer)
-        if not done or (only_if_due and self._small(pointer, done)):
+        if (not done and below is None) or (only_if_due and self._small(pointer, done)):
             return
         n = 0 if pointer["base"] is None else pointer["base"] + 1
-        state = self.state().hint("rebalance", *self.keys)
-        state.write.mode("overwrite").parquet(f"{self._folder(pointer)}/base-{n}")
+        state = self.state()
+        if below is not None:
+            state = state.where(~F.col("_deleted") | (F.col("_scn") >= below))
+        state.hint("rebalance", *self.keys).write.mode("overwrite").parquet(f"{self._folder(pointer)}/base-{n}")
         self._move(base=n, compacted=pointer["compacted"] + done)
 
-    def vacuum(self) -> None:
-        """Delete what the pointer no longer uses. Run it when no reader is at work.
+    def version(self) -> int:
+        """The number of the pointer; a reader that notes it can keep what it reads from a vacuum."""
+        return max(files.numbered(self.spark, f"{self.path}/_pointer"), default=-1)
 
+    def vacuum(self, oldest: int | None = None) -> None:
+        """Delete what no pointer from version ``oldest`` on uses; by default only the newest counts.
+
+        Readers that are still at work with an older version must be counted in.
         A batch whose folder is gone may be applied again at any time: merging by
         change order makes that harmless, so nothing about it has to be kept.
         """
-        pointer = self._pointer()
-        current = f"gen-{pointer['generation']}"
+        versions = files.numbered(self.spark, f"{self.path}/_pointer")
+        kept = [n for n in versions if n == versions[-1] or (oldest is not None and n >= oldest)]
+        pointers = [json.loads(files.read_text(self.spark, f"{self.path}/_pointer/{n}.json")) for n in kept]
+        bases = {(p["generation"], p["base"]) for p in pointers}
         for name in files.children(self.spark, self.path):
-            if name.startswith("gen-") and name != current:
+            generation = name.removeprefix("gen-")
+            if not name.startswith("gen-"):
+                continue
+            mine = [p for p in pointers if str(p["generation"]) == generation]
+            if not mine:
                 files.remove(self.spark, f"{self.path}/{name}")
-        for name in files.children(self.spark, f"{self.path}/{current}"):
-            if name.startswith("base-") and name != f"base-{pointer['base']}":
-                files.remove(self.spark, f"{self.path}/{current}/{name}")
-        for name in pointer["compacted"]:
-            files.remove(self.spark, f"{self.path}/{current}/delta/{name}")
-        self._move(compacted=[])
-        for n in files.numbered(self.spark, f"{self.path}/_pointer")[:-1]:
-            files.remove(self.spark, f"{self.path}/_pointer/{n}.json")
+                continue
+            for base in files.children(self.spark, f"{self.path}/{name}"):
+                if base.startswith("base-") and (int(generation), int(base[5:])) not in bases:
+                    files.remove(self.spark, f"{self.path}/{name}/{base}")
+            unused = set.intersection(*(set(p["compacted"]) for p in mine))
+            for batch in unused:
+                files.remove(self.spark, f"{self.path}/{name}/delta/{batch}")
+        if len(kept) == 1:
+            self._move(compacted=[])
+            kept = []
+        for n in versions:
+            if n not in kept:
+                files.remove(self.spark, f"{self.path}/_pointer/{n}.json")
 
     # --- reading ---
 

@@ -22,7 +22,8 @@ from tidemark.operators.ordered import latest
 from tidemark.operators.routing import exclude_paused
 from tidemark.operators.state import change_rows, with_ingest_order
 from tidemark.sinks.changelog import append_changelog
-from tidemark.sinks.stores import batches, read_batches, write_batch
+from tidemark.sinks.positions import low_water
+from tidemark.sinks.stores import batches, merge_batches, prune_batches, read_batches, write_batch
 from tidemark.sinks.target import TargetTable
 
 COMMIT_INTERVAL = "60 seconds"
@@ -78,6 +79,19 @@ def _apply(
         target.compact(only_if_due=True)
 
 
+def expire(target: TargetTable, consumers: str, oldest: int | None = None) -> int | None:
+    """Drop the tombstones that all consumers noted below ``consumers`` have passed, and unused folders.
+
+    Without a known consumer nothing is dropped. ``oldest`` is the version of
+    the target that the slowest reader still has open.
+    """
+    mark = low_water(target.spark, consumers)
+    if mark is not None:
+        target.compact(below=mark)
+        target.vacuum(oldest)
+    return mark
+
+
 def start_apply(
     events: DataFrame,
     target: TargetTable,
@@ -96,21 +110,31 @@ def start_apply(
 # --- schema changes ----------------------------------------------------------------
 
 
+#: Schema changes are rare, so a long memory is a small state.
+DDL_MEMORY = "30 days"
+
+
 def _store_ddl(path: str, batch: DataFrame, batch_id: int) -> None:
-    spark = batch.sparkSession
-    events = ddl.classify_ddl(ddl.parse_ddl(batch)).drop("is_snapshot")
-    events = events.withColumn("note", F.lit(None).cast("string"))
-    stored = read_batches(spark, path, DDL_EVENT, before=batch_id)
-    write_batch(ddl.new_ddl_events(events, stored), path, batch_id)
+    write_batch(batch.drop("_arrived"), path, batch_id)
+    merge_batches(batch.sparkSession, path, DDL_EVENT, batch_id - 1)
 
 
-def start_ddl(messages: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
-    """Store each schema change once, by offset."""
-    return start(messages, partial(_store_ddl, path), checkpoint, **kw)
+def start_ddl(messages: DataFrame, path: str, checkpoint: str, memory: str = DDL_MEMORY, **kw) -> StreamingQuery:
+    """Store each schema change once, by offset.
+
+    A message that comes again within ``memory`` of its first arrival is dropped
+    by the state store, which forgets older ones. Time is that of arrival, so no
+    message is late, whatever its own time.
+    """
+    events = ddl.classify_ddl(ddl.parse_ddl(messages)).drop("is_snapshot")
+    events = events.withColumns({"note": F.lit(None).cast("string"), "_arrived": F.current_timestamp()})
+    fresh = events.withWatermark("_arrived", memory).dropDuplicatesWithinWatermark(["kafka_offset"])
+    return start(fresh, partial(_store_ddl, path), checkpoint, **kw)
 
 
 def ddl_events(spark: SparkSession, path: str) -> DataFrame:
-    return read_batches(spark, path, DDL_EVENT)
+    """Stored schema changes; of an offset read again after a lost checkpoint one row counts."""
+    return read_batches(spark, path, DDL_EVENT).dropDuplicates(["kafka_offset"])
 
 
 # --- connector health --------------------------------------------------------------
@@ -156,6 +180,8 @@ def _watch(path: str, batch: DataFrame, batch_id: int) -> None:
     )
     newest = latest(rows, ["name"], [F.col("observed_at").desc()])
     write_batch(newest.select(*columns), f"{path}/last", batch_id)
+    prune_batches(batch.sparkSession, f"{path}/last", batch_id)
+    merge_batches(batch.sparkSession, f"{path}/events", HEALTH_EVENT, batch_id - 1)
 
 
 def start_health(states: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
@@ -205,6 +231,7 @@ def _follow(path: str, batch: DataFrame, batch_id: int) -> None:
     ends = newest.where((F.col("seq") == lo) | (F.col("seq") == hi))
     kept = scans.unionByName(ends).select(*columns).dropDuplicates(["seq"])
     write_batch(kept, path, batch_id)
+    prune_batches(spark, path, batch_id)
 
 
 def start_snapshot_progress(notes: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:

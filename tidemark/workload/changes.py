@@ -14,6 +14,7 @@ from tidemark.operators.routing import include_tables, route
 from tidemark.plans import jobs
 from tidemark.session import shared_dir
 from tidemark.sinks import changelog as log
+from tidemark.sinks.positions import save_position
 from tidemark.sinks.target import TargetTable
 from tidemark.sources.envelopes import (
     changes_after, include_list, read_envelopes, rejected, snapshot_load,
@@ -530,6 +531,25 @@ def target_upsert(spark, sf_dir):
     return _flat(target.read())
 
 
+@query(
+    f"""WITH ops AS ({OPS}), half AS (SELECT max(event_id) // 2 AS h FROM ops), last AS (
+      SELECT * FROM ops QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id DESC) = 1)
+    SELECT id, op = 'd' AS deleted FROM last, half WHERE op <> 'd' OR event_id >= h"""
+)
+def expired_tombstones(spark, sf_dir):
+    """Deletes that both consumers have passed leave the base, later ones stay; readers see the same rows."""
+    root = shared_dir(spark, "expiry")
+    target = TargetTable(spark, f"{root}/target", KEYS)
+    rows, half = state.change_rows(changes(spark, sf_dir), "event_id"), _half(spark, sf_dir)
+    target.apply(rows.where(F.col("_scn") < half), "old")
+    target.apply(rows.where(F.col("_scn") >= half), "new")
+    bounds = ops(spark, sf_dir).agg(F.expr("max(event_id) div 2"), F.max("event_id")).first()
+    save_position(spark, f"{root}/consumers", "replay", bounds[0])
+    save_position(spark, f"{root}/consumers", "apply", bounds[1])
+    streams.expire(target, f"{root}/consumers")
+    return target.state().select(F.col("ID").alias("id"), F.col("_deleted").alias("deleted"))
+
+
 @query(STATE)
 def recovery_rehearsal(spark, sf_dir):
     """Changelog stored, target emptied, replayed from the start, read back."""

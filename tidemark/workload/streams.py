@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ntz_millis, truncate_time
+from tidemark.model import DDL_EVENT
 from tidemark.operators import health, snapshot
+from tidemark.plans import jobs
 from tidemark.session import shared_dir
 from tidemark.sinks import changelog as log
+from tidemark.sinks.stores import read_batches
 from tidemark.sinks.target import TargetTable
 from tidemark.streaming import queries as S
 from tidemark.workload import query
@@ -41,10 +44,18 @@ def _run(start, *args, **kw):
 def stream_apply(spark, sf_dir):
     """Two consumers of one stream: the target, and a changelog it could be rebuilt from."""
     work = shared_dir(spark, "stream")
-    target = TargetTable(spark, f"{work}/target", ch.KEYS)
+    live, rebuilt = (TargetTable(spark, f"{work}/{name}", ch.KEYS) for name in ("target", "rebuilt"))
     events = inputs.changes(_StreamTables(spark), sf_dir)
-    _run(S.start_apply, events, target, f"{work}/cp-apply", seq="event_id")
-    return ch._flat(target.read())
+    path = log.table_path(work, "CDC", "USERS")
+    both = [
+        S.start_apply(events, live, f"{work}/cp-apply", seq="event_id", interval=None),
+        S.start_changelog(events, path, f"{work}/cp-changelog", seq="event_id", interval=None),
+    ]
+    for q in both:
+        q.awaitTermination()
+    jobs.recover(spark, path, rebuilt, 0)
+    # Where both agree a row comes out once.
+    return ch._flat(live.read()).unionByName(ch._flat(rebuilt.read())).distinct()
 
 
 @query(ch.DAYS)
@@ -59,10 +70,20 @@ def stream_changelog(spark, sf_dir):
 
 @query(control._CLASSIFIED)
 def stream_ddl(spark, sf_dir):
+    """Messages that come twice, in several micro-batches and across a restart, are stored once."""
     work = shared_dir(spark, "stream")
-    messages = inputs.ddl_messages(_StreamTables(spark), sf_dir)
-    _run(S.start_ddl, messages, f"{work}/ddl", f"{work}/cp-ddl")
-    return S.ddl_events(spark, f"{work}/ddl").drop("note")
+    messages = inputs.ddl_messages(spark, sf_dir)
+
+    def follow():
+        stream = S.message_stream(spark, f"{work}/topic", messages.schema, "parquet", maxFilesPerTrigger="1")
+        _run(S.start_ddl, stream, f"{work}/ddl", f"{work}/cp-ddl")
+
+    messages.unionByName(messages).repartition(3, F.col("kafka_offset") % 7).write.parquet(f"{work}/topic")
+    follow()
+    messages.coalesce(1).write.mode("append").parquet(f"{work}/topic")
+    follow()
+    # Read without the reader's own guard against a lost checkpoint.
+    return read_batches(spark, f"{work}/ddl", DDL_EVENT).drop("note")
 
 
 @query(control.TRANSITIONS + "SELECT name, state, prev_state, event_type, count(*) AS n FROM x GROUP BY ALL")
