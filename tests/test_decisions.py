@@ -1,0 +1,123 @@
+"""Decisions kept in a log, latency sketches, roll-ups in a stream, recovery in one scan."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from fixtures import T0, event, events, rows
+from tidemark.model import METRIC_SAMPLE
+from tidemark.operators import latency, metrics
+from tidemark.plans import decisions, jobs
+from tidemark.sinks import changelog as log
+from tidemark.sinks.target import TargetTable
+from tidemark.streaming import queries as S
+
+AT = datetime(2026, 1, 1)
+
+
+@pytest.fixture
+def ddl_tables(spark):
+    found = spark.createDataFrame(
+        [(n, "CDC", f"T{n % 2}" if n < 5 else "NONE", f"ALTER TABLE CDC.T{n % 2} ADD (C{n} NUMBER)", "IGNORED" if n == 4 else "DETECTED")
+         for n in range(6)],
+        "kafka_offset long, schema_name string, table_name string, ddl_text string, state string",
+    )
+    registry = spark.createDataFrame(
+        [("CDC", "T0", None, None), ("CDC", "T1", "TGT", None)],
+        "schema_name string, table_name string, target_schema string, target_table string",
+    )
+    return found, registry
+
+
+def asked(spark, *pairs):
+    return spark.createDataFrame([(*p, n) for n, p in enumerate(pairs)], "kafka_offset long, decision string, seq int")
+
+
+def errors(found):
+    return sorted((r.kafka_offset, r.decision or "", r.error) for r in found.collect())
+
+
+def test_first_valid_decision_wins(spark, path, ddl_tables):
+    found, registry = ddl_tables
+    args = (spark, f"{path}/log", found, registry)
+    more = {"timeline": f"{path}/timeline"}
+    first = asked(spark, (0, "APPROVE"), (1, "MAYBE"), (1, "REJECT"), (4, "APPROVE"), (5, "REJECT"), (9, "APPROVE"), (2, None))
+    assert errors(decisions.decide(*args, first, AT, 0, **more)) == [
+        (0, "APPROVE", None), (1, "MAYBE", "unknown decision"), (1, "REJECT", None), (2, "", "unknown decision"),
+        (4, "APPROVE", "not waiting for a decision"), (5, "REJECT", "table is not registered"), (9, "APPROVE", "no such event"),
+    ]
+    second = asked(spark, (0, "REJECT"), (1, "REJECT"), (3, "APPROVE"), (3, "REJECT"), (2, "REJECT"), (2, "REJECT"))
+    assert errors(decisions.decide(*args, second, AT + timedelta(hours=1), 1, **more)) == [
+        (0, "REJECT", "not waiting for a decision"), (1, "REJECT", "not waiting for a decision"), (2, "REJECT", None),
+        (3, "APPROVE", "contradicting decisions"), (3, "REJECT", "contradicting decisions"),
+    ]
+    third = asked(spark, (3, "REJECT"), (3, "APPROVE"))
+    again = (third, AT + timedelta(hours=2), 2, "seq")
+    want = [(3, "APPROVE", "already decided"), (3, "REJECT", None)]
+    assert errors(decisions.decide(*args, *again)) == want
+    # The batch is taken once more after a crash: the same outcome, and one row in the log.
+    assert errors(decisions.decide(*args, *again)) == want
+    decided = decisions.decision_log(spark, f"{path}/log")
+    states = {r.kafka_offset: r.state for r in decisions.with_decisions(found, decided).collect()}
+    assert states == {0: "APPROVED", 1: "REJECTED", 2: "REJECTED", 3: "REJECTED", 4: "IGNORED", 5: "DETECTED"}
+    assert decided.count() == 4 and rows(decisions.paused_by_log(decided)) == [("CDC", "T0"), ("CDC", "T1")]
+    seen = spark.read.parquet(f"{path}/timeline").select("event_id", "event_type", "severity")
+    assert rows(seen) == [(0, "DDL_APPROVED", "INFO"), (1, "DDL_REJECTED", "WARN"), (2, "DDL_REJECTED", "WARN")]
+    assert decisions.decision_log(spark, f"{path}/none").count() == 0
+
+
+def test_latency_sketches_merge(spark):
+    rng = random.Random(1)
+    lags = [(None if n == 7 else T0 + n * 500 - rng.randrange(100_000), T0 + n * 500) for n in range(5000)]
+    frame = spark.createDataFrame([((s,), t) for s, t in lags], "source struct<ts_ms:bigint>, ts_ms long").repartition(4)
+    minutes = latency.latency_sketches(frame)
+    whole = sorted(t - s for s, t in lags if s is not None)
+    day = latency.latency_quantiles(latency.merge_latency(latency.merge_latency(minutes, "HOUR"), "DAY"), (0.5, 0.95, 0.99)).collect()
+    assert sum(r.n for r in day) == len(whole) == 4999 and max(r.max_ms for r in day) == whole[-1]
+    assert len(day) == 1
+    for q, found in ((0.5, day[0].p50), (0.95, day[0].p95), (0.99, day[0].p99)):
+        assert abs(sum(x <= found for x in whole) / len(whole) - q) < 0.02
+    few = latency.latency_quantiles(latency.latency_sketches(frame.limit(0)))
+    assert few.count() == 0 and few.columns == ["at", "n", "max_ms", "p50", "p95", "p99"]
+
+
+def test_streamed_rollups_equal_the_batch(spark, path):
+    rng = random.Random(2)
+    start = datetime(2026, 3, 1, 22)
+    kinds = ["PUBLISH", "APPLY_JDBC", "LAG_JDBC", "RESOURCE", "OTHER"]
+    data = []
+    for n in range(600):
+        at = start + timedelta(minutes=10 * n)
+        data.append((at, rng.choice(kinds), f"T{rng.randrange(2)}", rng.randrange(-50, 1000), rng.choice([None, 3, 8]), "MIN"))
+    for n in range(3):
+        spark.createDataFrame(data[n * 200 : n * 200 + 200], METRIC_SAMPLE).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    samples = spark.createDataFrame(data, METRIC_SAMPLE)
+    cut = data[-1][0] - timedelta(minutes=5)
+    hours = metrics.rollup(samples, "HOUR", F.lit(str(cut.replace(minute=0))).cast("timestamp_ntz"))
+    days = metrics.rollup(hours.unionByName(samples), "DAY", F.lit(str(cut.replace(hour=0, minute=0))).cast("timestamp_ntz"))
+    for grain, want in (("HOUR", hours), ("DAY", days)):
+        stream = S.message_stream(spark, f"{path}/in", METRIC_SAMPLE, "parquet", maxFilesPerTrigger="1")
+        rolled = S.rollup_stream(stream, grain)
+        rolled.writeStream.format("parquet").option("path", f"{path}/{grain}").option(
+            "checkpointLocation", f"{path}/cp-{grain}"
+        ).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.schema(rolled.schema).parquet(f"{path}/{grain}")
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.select(*got.columns).collect()), key=key)
+    with pytest.raises(ValueError, match="grain"):
+        S.rollup_stream(samples, "WEEK")
+
+
+def test_recovery_counts_without_a_second_scan(spark, path):
+    where = log.table_path(path, "CDC", "ORDERS")
+    data = [event("c", n, after=(n, f"v{n}", "x")) for n in range(50)] + [event("u", 60)]
+    log.append_changelog(events(spark, data), where, "c")
+    target = TargetTable(spark, f"{path}/target", ["ID"])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("recover", "recover")
+    steps = jobs.recover(spark, where, target, 10)
+    # Adaptive execution runs the write as a shuffle and a result job; nothing else reads the changelog.
+    assert len(tracker.getJobIdsForGroup("recover")) <= 2
+    assert steps.first()["detail"] == "published=40 skipped=1" and target.read().count() == 40

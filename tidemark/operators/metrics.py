@@ -242,6 +242,29 @@ def resources_now(samples: DataFrame, since: Column) -> DataFrame:
 # --- roll-up -----------------------------------------------------------------
 
 
+def bucket_sums() -> list[Column]:
+    """What a bucket of samples needs of them; all of it adds up in parts."""
+    return [
+        F.sum("sample_value").alias("_sum"),
+        F.max("sample_value").alias("_max"),
+        F.count("sample_value").alias("_n"),
+        F.sum("sample_value2").alias("_sum2"),
+        F.count("sample_value2").alias("_n2"),
+    ]
+
+
+def bucket_values() -> tuple[Column, Column]:
+    """Both values of a bucket: counts add up, lags keep their peak, resources average."""
+    metric = F.col("metric")
+    value = (
+        F.when(metric.isin(*SUM_METRICS), F.col("_sum"))
+        .when(metric.isin(*MAX_METRICS), F.col("_max"))
+        .when(F.col("_n") > 0, mean_half_away(F.col("_sum"), F.col("_n")))
+    )
+    averaged = metric.isin(*AVG_METRICS)
+    return value, F.when(averaged & (F.col("_n2") > 0), mean_half_away(F.col("_sum2"), F.col("_n2")))
+
+
 def rollup(samples: DataFrame, grain: str, cutoff: Column) -> DataFrame:
     """New HOUR or DAY samples from closed buckets of the next finer resolution.
 
@@ -256,20 +279,8 @@ def rollup(samples: DataFrame, grain: str, cutoff: Column) -> DataFrame:
         & metric.isin(*SUM_METRICS, *MAX_METRICS, *AVG_METRICS)
     )
     name = ["sampled_at", "metric", "metric_name"]
-    grouped = fine.groupBy(bucket.alias("sampled_at"), "metric", "metric_name").agg(
-        F.sum("sample_value").alias("_sum"),
-        F.max("sample_value").alias("_max"),
-        F.count("sample_value").alias("_n"),
-        F.sum("sample_value2").alias("_sum2"),
-        F.count("sample_value2").alias("_n2"),
-    )
-    averaged = metric.isin(*AVG_METRICS)
-    value = (
-        F.when(metric.isin(*SUM_METRICS), F.col("_sum"))
-        .when(metric.isin(*MAX_METRICS), F.col("_max"))
-        .when(F.col("_n") > 0, mean_half_away(F.col("_sum"), F.col("_n")))
-    )
-    value2 = F.when(averaged & (F.col("_n2") > 0), mean_half_away(F.col("_sum2"), F.col("_n2")))
+    grouped = fine.groupBy(bucket.alias("sampled_at"), "metric", "metric_name").agg(*bucket_sums())
+    value, value2 = bucket_values()
     done = samples.where(F.col("resolution") == grain).select(*name)
     return grouped.join(done, name, "left_anti").select(
         *name,

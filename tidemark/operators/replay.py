@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tidemark.functions.connect import connect_key, connect_value, key_image
 from tidemark.functions.scalars import scn_long
@@ -56,13 +56,21 @@ def replay_counts(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     With ``keys`` the images are judged by their first key column, which is never
     null in an image; the scan then reads that one column of them.
     """
+    return events.agg(*_counters(events, keys))
+
+
+def with_replay_counts(events: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """The events, and their ``replay_counts`` once the events have been read by one job."""
+    counts = Observation()
+    return events.observe(counts, *_counters(events, keys)), counts
+
+
+def _counters(events: DataFrame, keys: Sequence[str]) -> list[Column]:
     image = key_image(events.schema)
     if keys:
         image = F.coalesce(f"after.{keys[0]}", f"before.{keys[0]}")
     skipped = F.count_if(image.isNull())
-    return events.agg(
-        (F.count(F.lit(1)) - skipped).alias("published"), skipped.alias("skipped")
-    )
+    return [(F.count(F.lit(1)) - skipped).alias("published"), skipped.alias("skipped")]
 
 
 def publish(events: DataFrame, keys: Sequence[str], path: str, fmt: str = "json") -> None:

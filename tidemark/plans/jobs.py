@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.incremental import chunk_deletes, chunk_events, in_range
 from tidemark.operators.reconcile import reconcile
-from tidemark.operators.replay import from_scn, replay_counts
+from tidemark.operators.replay import from_scn, with_replay_counts
 from tidemark.operators.state import change_rows
 from tidemark.sinks import files
 from tidemark.sinks.changelog import drop_changelog, ensure_changelog, scan_changelog, table_path
@@ -65,9 +65,11 @@ def recover(
     steps = Steps()
     try:
         events = from_scn(scan_changelog(spark, changelog_path), scn, since_ms)
-        counts = replay_counts(events, target.keys).first()
-        steps.add("replay", "DONE", f"published={counts['published']} skipped={counts['skipped']}")
-        target.apply(change_rows(events, seq), f"recovery-{scn}-{uuid.uuid4().hex[:8]}")
+        # Counted while the target is written, so the changelog is read once.
+        counted, counts = with_replay_counts(events, target.keys)
+        target.apply(change_rows(counted, seq), f"recovery-{scn}-{uuid.uuid4().hex[:8]}")
+        found = counts.get
+        steps.add("replay", "DONE", f"published={found['published']} skipped={found['skipped']}")
         steps.add("apply", "APPLIED")
         if go_live:
             steps.add("go-live", "LIVE")

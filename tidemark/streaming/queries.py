@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.scalars import millis_to_ntz, ntz_micros, ntz_millis
 from tidemark.model import DDL_EVENT
 from tidemark.operators import ddl, health, snapshot
+from tidemark.operators.metrics import AVG_METRICS, MAX_METRICS, SUM_METRICS, bucket_sums, bucket_values
 from tidemark.operators.ordered import latest
 from tidemark.operators.routing import exclude_paused
 from tidemark.operators.state import change_rows, with_ingest_order
@@ -248,22 +249,34 @@ def snapshot_progress(spark: SparkSession, path: str) -> DataFrame:
 # --- metrics -----------------------------------------------------------------------
 
 
-def rollup_stream(samples: DataFrame, lateness: str = "5 minutes") -> DataFrame:
-    """Hourly sums of counters over tumbling windows, as an append stream.
+def _window_rollup(samples: DataFrame, at: Column, length: str) -> DataFrame:
+    value, value2 = bucket_values()
+    return (
+        samples.groupBy(F.window(at, length), "metric", "metric_name").agg(*bucket_sums())
+        .select("window", "metric", "metric_name", value.alias("sample_value"), value2.alias("sample_value2"))
+    )
+
 
-    An hour is emitted once, when the watermark has passed it; samples that come
-    later are dropped, as they are by the batch roll-up. A watermark needs zoned
-    times, so samples are read as UTC.
+def rollup_stream(samples: DataFrame, grain: str = "HOUR", lateness: str = "5 minutes") -> DataFrame:
+    """HOUR or DAY samples out of a stream of MIN samples, by the rules of the batch roll-up.
+
+    A day is rolled up from its hours in the same query: two aggregations follow
+    one another, and the watermark passes through both. A bucket is emitted
+    once, when the watermark has passed it; samples that come later are dropped,
+    as they are by the batch roll-up. A watermark needs zoned times, so samples
+    are read as UTC.
     """
-    return (
-        samples.withColumn("at", F.timestamp_micros(ntz_micros("sampled_at")))
+    if grain not in ("HOUR", "DAY"):
+        raise ValueError(f"grain must be HOUR or DAY: {grain}")
+    rows = (
+        samples.where((F.col("resolution") == "MIN") & F.col("metric").isin(*SUM_METRICS, *MAX_METRICS, *AVG_METRICS))
+        .withColumn("at", F.timestamp_micros(ntz_micros("sampled_at")))
         .withWatermark("at", lateness)
-        .groupBy(F.window("at", "1 hour"), "metric", "metric_name")
-        .agg(F.sum("sample_value").alias("sample_value"))
-        .select(
-            millis_to_ntz(F.unix_millis("window.start")).alias("sampled_at"),
-            "metric",
-            "metric_name",
-            "sample_value",
-        )
+    )
+    rolled = _window_rollup(rows, F.col("at"), "1 hour")
+    if grain == "DAY":
+        rolled = _window_rollup(rolled, F.window_time("window"), "1 day")
+    return rolled.select(
+        millis_to_ntz(F.unix_millis("window.start")).alias("sampled_at"),
+        "metric", "metric_name", "sample_value", "sample_value2", F.lit(grain).alias("resolution"),
     )

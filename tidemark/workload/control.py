@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ntz_millis
@@ -10,6 +12,8 @@ from tidemark.operators import ddl, health, snapshot
 from tidemark.operators.metrics import MINUTE_MS
 from tidemark.operators.routing import attribute, exclude_paused
 from tidemark.operators.timeline import target_schemas, timeline
+from tidemark.plans import decisions
+from tidemark.session import shared_dir
 from tidemark.workload import query
 from tidemark.workload.inputs import (
     DDL_TEXT, NOTES, POLLS, REGISTRY, changes, ddl_messages, notifications, polls,
@@ -260,6 +264,66 @@ def held_back(spark, sf_dir):
     return exclude_paused(events, paused).select(F.col("source.scn").alias("scn"))
 
 
+def _decided(spark, sf_dir):
+    """Two batches of decisions; the second one says the opposite of the first."""
+    root = shared_dir(spark, "decisions")
+    events, tables = _ddl(spark, sf_dir), registry(spark, sf_dir)
+    asked = _decisions(spark, sf_dir)
+    opposite = asked.withColumn("decision", F.when(F.col("decision") == "REJECT", "APPROVE").otherwise("REJECT"))
+    args = (spark, f"{root}/log", events, tables)
+    at = datetime(2026, 1, 1)
+    decisions.decide(*args, asked, at, 0, timeline=f"{root}/timeline")
+    second = decisions.decide(*args, opposite, at + timedelta(hours=1), 1, timeline=f"{root}/timeline")
+    return root, events, second
+
+
+@query(
+    f"""WITH d AS ({_CLASSIFIED}), t AS ({_TARGETED})
+    SELECT d.kafka_offset, CASE WHEN d.state <> 'DETECTED' OR t.tab IS NULL THEN d.state
+             WHEN d.kafka_offset % 3 = 0 THEN 'REJECTED' ELSE 'APPROVED' END AS state,
+           CASE WHEN d.state = 'DETECTED' AND t.tab IS NULL THEN 'table is not registered'
+                ELSE 'not waiting for a decision' END AS second_error
+    FROM d LEFT JOIN t ON t.kafka_offset = d.kafka_offset"""
+)
+def ddl_decided_once(spark, sf_dir):
+    """States after two batches of decisions, and why the second decision was refused."""
+    root, events, second = _decided(spark, sf_dir)
+    states = decisions.with_decisions(events, decisions.decision_log(spark, f"{root}/log"))
+    return states.select("kafka_offset", "state").join(
+        second.select("kafka_offset", F.col("error").alias("second_error")), "kafka_offset"
+    )
+
+
+@query(
+    f"""WITH t AS ({_TARGETED})
+    SELECT kafka_offset AS event_id, TIMESTAMP '2026-01-01' AS event_at, tab AS table_name,
+           CASE WHEN kafka_offset % 3 = 0 THEN 'DDL_REJECTED' ELSE 'DDL_APPROVED' END AS event_type,
+           CASE WHEN kafka_offset % 3 = 0 THEN 'WARN' ELSE 'INFO' END AS severity
+    FROM t WHERE state = 'DETECTED'"""
+)
+def ddl_timeline(spark, sf_dir):
+    """Timeline rows that decisions leave, newest first."""
+    root, _, _ = _decided(spark, sf_dir)
+    rows = timeline(spark.read.parquet(f"{root}/timeline"), limit=None)
+    return rows.select("event_id", "event_at", "table_name", "event_type", "severity")
+
+
+@query(
+    f"""WITH t AS ({_TARGETED})
+    SELECT p_partkey FROM part WHERE 'P' || CAST(p_size AS VARCHAR) NOT IN (
+      SELECT tab FROM t WHERE state = 'DETECTED' AND kafka_offset % 3 = 0)"""
+)
+def held_back_by_log(spark, sf_dir):
+    """Changes that still apply while the log holds rejected schema changes of some tables."""
+    root, _, _ = _decided(spark, sf_dir)
+    paused = decisions.paused_by_log(decisions.decision_log(spark, f"{root}/log"))
+    name = F.concat(F.lit("P"), F.col("p_size").cast("string"))
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.struct(F.lit("CDC").alias("schema"), name.alias("table")).alias("source")
+    )
+    return exclude_paused(rows, paused).select("p_partkey")
+
+
 @query(
     """SELECT doc_id, CASE WHEN strpos(t, chr(10)) > 1 THEN substr(t, 1, strpos(t, chr(10)) - 1)
               WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END AS headline

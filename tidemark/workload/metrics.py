@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ntz_millis, truncate_time
+from tidemark.functions.scalars import millis_to_ntz, ntz_millis, truncate_time
 from tidemark.functions.text import table_badge
-from tidemark.operators import metrics as M
+from tidemark.operators import latency as L, metrics as M
 from tidemark.plans import monitoring
 from tidemark.session import shared_dir
 from tidemark.sinks import stores
@@ -411,3 +411,29 @@ def monitoring_chain(spark, sf_dir):
     monitoring.ingest(spark, observations, store, now)
     charts = monitoring.dashboard(spark, store, "HOUR", 24 * 60, now)
     return charts["throughput"]
+
+
+_LATE = "epoch_us(ts) // 1000 + CAST(abs(round(value * 100)) AS BIGINT) % 5000 + CASE WHEN user_id % 10 = 0 THEN 60000 ELSE 0 END"
+
+
+@query(
+    f"""WITH e AS (SELECT epoch_us(ts) // 1000 AS s, {_LATE} AS t FROM events)
+    SELECT date_trunc('day', make_timestamp(t * 1000)) AS at, CAST(count(*) AS BIGINT) AS n, max(t - s) AS max_ms,
+           true AS p50_near, true AS p95_near, true AS p99_near FROM e GROUP BY 1"""
+)
+def capture_latency(spark, sf_dir):
+    """Latencies sketched per minute, stored, merged to hours and days; quantiles against exact ranks."""
+    e = table(spark, sf_dir, "events")
+    own = ntz_millis("ts")
+    late = F.abs(F.round(F.col("value") * 100)).cast("bigint") % 5000 + F.when(F.col("user_id") % 10 == 0, 60000).otherwise(0)
+    events = e.select(F.struct(own.alias("ts_ms")).alias("source"), (own + late).alias("ts_ms"))
+    path = shared_dir(spark, "latency")
+    L.latency_sketches(events).write.parquet(path)
+    days = L.latency_quantiles(L.merge_latency(L.merge_latency(spark.read.parquet(path), "HOUR"), "DAY"))
+    day = truncate_time("DAY", millis_to_ntz(F.col("ts_ms")))
+    exact = events.select(day.alias("at"), L.latency_ms().alias("ms")).join(days, "at")
+    near = []
+    for name, share in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        below, upto = F.count_if(F.col("ms") < F.col(name)), F.count_if(F.col("ms") <= F.col(name))
+        near.append(((below / F.first("n") <= share + 0.02) & (upto / F.first("n") >= share - 0.02)).alias(f"{name}_near"))
+    return exact.groupBy("at").agg(F.first("n").alias("n"), F.first("max_ms").alias("max_ms"), *near)

@@ -126,20 +126,38 @@ def stream_snapshot_progress(spark, sf_dir):
     )
 
 
+_VALUES = """CASE WHEN metric IN ('PUBLISH', 'APPLY_JDBC') THEN sum(sample_value)
+              WHEN metric LIKE 'LAG%' THEN max(sample_value) ELSE CAST(round(CAST(sum(sample_value) AS DECIMAL(38,10)) / count(sample_value)) AS BIGINT) END"""
+_VALUES2 = """CASE WHEN metric = 'RESOURCE' AND count(sample_value2) > 0 THEN
+              CAST(round(CAST(sum(sample_value2) AS DECIMAL(38,10)) / count(sample_value2)) AS BIGINT) END"""
+
+
+def _rolled_sql(source: str, unit: str) -> str:
+    return f"""SELECT date_trunc('{unit}', sampled_at) AS sampled_at, metric, metric_name,
+        CAST({_VALUES} AS BIGINT) AS sample_value, {_VALUES2} AS sample_value2
+      FROM {source} GROUP BY 1, 2, 3
+      HAVING date_trunc('{unit}', sampled_at) + INTERVAL 1 {unit} <= (SELECT max(sampled_at) - INTERVAL 5 MINUTE FROM s)"""
+
+
 @query(
-    f"""WITH s AS ({inputs.SAMPLES})
-    SELECT date_trunc('hour', sampled_at) AS sampled_at, metric, metric_name,
-           CAST(sum(sample_value) AS BIGINT) AS sample_value
-    FROM s WHERE metric = 'PUBLISH' AND date_trunc('hour', sampled_at) + INTERVAL 1 HOUR
-      <= (SELECT max(sampled_at) - INTERVAL 5 MINUTE FROM s WHERE metric = 'PUBLISH')
-    GROUP BY 1, 2, 3"""
+    f"""WITH s AS ({inputs.SAMPLES}), hours AS ({_rolled_sql("s", "hour")}), days AS ({_rolled_sql("hours", "day")})
+    SELECT *, 'HOUR' AS resolution FROM hours UNION ALL SELECT *, 'DAY' FROM days"""
 )
 def stream_rollup(spark, sf_dir):
-    """Closed hours of a counter; the watermark decides which hours are closed."""
+    """Closed hours and days of all metrics; files come one per trigger, the watermark closes the buckets."""
     work = shared_dir(spark, "stream")
-    samples = inputs.samples(_StreamTables(spark), sf_dir).where("metric = 'PUBLISH'")
-    rolled = S.rollup_stream(samples)
-    out = rolled.writeStream.format("parquet").option("path", f"{work}/hours")
-    q = out.option("checkpointLocation", f"{work}/cp-hours").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(rolled.schema).parquet(f"{work}/hours")
+    samples = inputs.samples(spark, sf_dir)
+    seconds = F.unix_seconds(F.col("sampled_at").cast("timestamp"))
+    ends = samples.agg(F.min(seconds).alias("a"), F.max(seconds).alias("b")).first()
+    part = F.floor((seconds - ends.a) * 3 / (ends.b - ends.a + 1))
+    for n in range(3):
+        samples.where(part == n).coalesce(1).write.mode("append").parquet(f"{work}/samples")
+    for grain in ("HOUR", "DAY"):
+        stream = S.message_stream(spark, f"{work}/samples", samples.schema, "parquet", maxFilesPerTrigger="1")
+        rolled = S.rollup_stream(stream, grain)
+        out = rolled.writeStream.format("parquet").option("path", f"{work}/{grain}")
+        q = out.option("checkpointLocation", f"{work}/cp-{grain}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(rolled.schema).parquet(f"{work}/HOUR").unionByName(
+        spark.read.schema(rolled.schema).parquet(f"{work}/DAY")
+    )
