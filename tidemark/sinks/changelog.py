@@ -18,7 +18,7 @@ import json
 import time
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from tidemark.functions.scalars import day_label, scn_long, truncate_ms
 from tidemark.model import CHANGELOG_SKELETON, DAY_MS
@@ -140,7 +140,14 @@ def append_changelog(
         )
     else:
         rows = rows.hint("rebalance", "p_ts_ms")
+    # Behind the exchange: sampling for the ranges must not count.
+    counts = Observation()
+    number = F.col("scn_num")
+    rows = rows.observe(
+        counts, F.count(F.lit(1)).alias("records"), F.min(number).alias("min_scn"), F.max(number).alias("max_scn")
+    )
     rows.write.partitionBy("p_ts_ms").mode("append").parquet(path)
+    _record_commit(events.sparkSession, path, {"commit_id": commit_id, "committed_ms": time.time_ns() // 1_000_000, **counts.get})
 
 
 def append_routed(
@@ -198,6 +205,111 @@ def scan_changelog(spark: SparkSession, path: str, since_ms: int | None = None)
     return df
 
 
+# --- commits -------------------------------------------------------------------
+
+_COMMIT = T.StructType(
+    [T.StructField("commit_id", T.StringType())]
+    + [T.StructField(c, T.LongType()) for c in ("committed_ms", "records", "min_scn", "max_scn")]
+)
+
+#: Commit files before they are put into one.
+_COMMIT_FILES = 64
+
+
+def _record_commit(spark: SparkSession, path: str, commit: dict) -> None:
+    """Note a commit beside the data; now and then all notes are put into one file.
+
+    Each note carries the number it was first written under, so one that is in
+    two files, because the second could not be removed, counts once.
+    """
+    folder = f"{path}/_commits"
+    versions = files.numbered(spark, folder)
+    n = versions[-1] + 1 if versions else 0
+    lines = [json.dumps({"n": n, **commit})]
+    merged = versions if len(versions) >= _COMMIT_FILES else []
+    lines += [line for v in merged for line in files.read_text(spark, f"{folder}/{v}.json").splitlines()]
+    files.write_text(spark, f"{folder}/{n}.json", "\n".join(lines))
+    for v in merged:
+        files.remove(spark, f"{folder}/{v}.json")
+
+
+def changelog_commits(spark: SparkSession, path: str) -> DataFrame:
+    """The commits of a changelog with their records and change numbers, counted while they were written."""
+    names = files.numbered(spark, f"{path}/_commits")
+    schema = T.StructType([T.StructField("n", T.LongType()), *_COMMIT.fields])
+    if not names:
+        return spark.createDataFrame([], _COMMIT)
+    rows = spark.read.schema(schema).json([f"{path}/_commits/{n}.json" for n in names])
+    return rows.dropDuplicates(["n"]).drop("n")
+
+
+def changelog_report(spark: SparkSession, path: str) -> DataFrame:
+    """Records, files, bytes, commits and last commit of a changelog, without a look at its data.
+
+    Commits that were written while counting was lost (a writer that stopped
+    between its data and its note) are in files and bytes only.
+    """
+    days = [d for d in files.children(spark, path) if d.startswith("p_ts_ms=")]
+    sizes = [size for d in days for size in files.listing(spark, f"{path}/{d}").values()]
+    return changelog_commits(spark, path).agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
+        F.lit(len(sizes)).cast("bigint").alias("files"),
+        F.lit(sum(sizes)).cast("bigint").alias("bytes"),
+        F.count_distinct("commit_id").alias("commits"),
+        F.timestamp_millis(F.max("committed_ms")).alias("last_commit_at"),
+    )
+
+
+# --- small files ----------------------------------------------------------------
+
+FILE_BYTES = 128 << 20
+
+
+def compact_changelog(spark: SparkSession, path: str, file_bytes: int = FILE_BYTES, least: int = 2) -> list[str]:
+    """Put the small files of each day into files of about ``file_bytes``, by change number.
+
+    Files of half that size or more stay. New files are written aside, noted,
+    moved into the day, and then the old ones go: a reader in between sees some
+    events twice, which every reader of a changelog folds away, and none is ever
+    missing. A run that was broken off is ended by the next one. Each output
+    file covers a narrow range of change numbers, so replays go on skipping.
+    """
+    _end_compactions(spark, path)
+    done = []
+    schema = read_schema(spark, path)
+    for day in files.children(spark, path):
+        if not day.startswith("p_ts_ms="):
+            continue
+        small = {n: size for n, size in files.listing(spark, f"{path}/{day}").items() if size < file_bytes // 2}
+        if len(small) < least:
+            continue
+        parts = -(-sum(small.values()) // file_bytes)
+        if parts >= len(small):
+            continue
+        fields = [*schema.fields, *(f for f in BESIDE if f.name != "p_ts_ms")]
+        rows = spark.read.schema(T.StructType(fields)).parquet(*[f"{path}/{day}/{n}" for n in small])
+        order = ["scn_num", "commit_seq", "ingest_seq"]
+        packed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        packed.write.mode("overwrite").parquet(f"{path}/_packed/{day}")
+        files.write_text(spark, f"{path}/_packed/{day}.json", json.dumps(sorted(small)))
+        _end_compactions(spark, path)
+        done.append(day)
+    return done
+
+
+def _end_compactions(spark: SparkSession, path: str) -> None:
+    """Move what has been packed into its day and drop the files it replaces; without a note nothing counts."""
+    names = files.children(spark, f"{path}/_packed")
+    for note in (n for n in names if n.endswith(".json")):
+        day = note.removesuffix(".json")
+        for name in files.listing(spark, f"{path}/_packed/{day}"):
+            files.rename(spark, f"{path}/_packed/{day}/{name}", f"{path}/{day}/{name}")
+        for old in json.loads(files.read_text(spark, f"{path}/_packed/{note}")):
+            files.remove(spark, f"{path}/{day}/{old}")
+        files.remove(spark, f"{path}/_packed/{note}")
+    files.remove(spark, f"{path}/_packed")
+
+
 def drop_changelog(spark: SparkSession, path: str, purge: bool = False) -> None:
     """Forget a changelog; ``purge`` deletes its data as well."""
     files.remove(spark, path if purge else _schema_dir(path))
@@ -226,19 +338,20 @@ def scan_contents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(root)
 
 
-def data_files(changelog: DataFrame) -> DataFrame:
-    """One row per data file with its record count."""
+def data_files(changelog: DataFrame, by_commit: bool = True) -> DataFrame:
+    """One row per data file, and commit in it, with its record count; without commits no column is read."""
     table = ["changelog_table"] if "changelog_table" in changelog.columns else []
+    commit = ["commit_id"] if by_commit else []
     return (
         changelog.select(
             *table,
             "p_ts_ms",
-            "commit_id",
+            *commit,
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_size").alias("file_bytes"),
             F.col("_metadata.file_modification_time").alias("modified_at"),
         )
-        .groupBy(*table, "p_ts_ms", "file_path", "file_bytes", "modified_at", "commit_id")
+        .groupBy(*table, "p_ts_ms", "file_path", "file_bytes", "modified_at", *commit)
         .agg(F.count(F.lit(1)).alias("records"))
     )
 
@@ -247,7 +360,7 @@ def changelog_partitions(changelog: DataFrame) -> DataFrame:
     """Records, files and bytes per day, by day; rows without a day form one bucket."""
     table = ["changelog_table"] if "changelog_table" in changelog.columns else []
     return (
-        data_files(changelog)
+        data_files(changelog, by_commit=False)
         .groupBy(*table, F.coalesce(day_label("p_ts_ms"), F.lit("(unpartitioned)")).alias("day"))
         .agg(
             F.sum("records").alias("records"),
@@ -261,10 +374,12 @@ def changelog_partitions(changelog: DataFrame) -> DataFrame:
 def changelog_summary(changelog: DataFrame) -> DataFrame:
     """Totals of one changelog in one row, or of each changelog of a root by name."""
     table = ["changelog_table"] if "changelog_table" in changelog.columns else []
-    per_commit = data_files(changelog).groupBy(*table, "commit_id").agg(
+    # A file may hold several commits once it has been packed; its bytes count once.
+    first = F.row_number().over(Window.partitionBy(*table, "file_path").orderBy("commit_id")) == 1
+    per_commit = data_files(changelog).withColumn("_first", first).groupBy(*table, "commit_id").agg(
         F.sum("records").alias("r"),
-        F.count(F.lit(1)).alias("f"),
-        F.sum("file_bytes").alias("b"),
+        F.count_if("_first").alias("f"),
+        F.sum(F.when(F.col("_first"), F.col("file_bytes"))).alias("b"),
         F.max("modified_at").alias("m"),
     )
     totals = per_commit.groupBy(*table).agg(

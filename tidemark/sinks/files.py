@@ -71,3 +71,14 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
     fs.mkdirs(target.getParent())
     if not fs.rename(p, target):
         raise OSError(f"cannot rename {old} to {new}")
+
+
+def listing(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Names and bytes of the data files directly in a folder; nothing when it does not exist."""
+    _, p, fs = _open(spark, folder)
+    if not fs.exists(p):
+        return {}
+    return {
+        s.getPath().getName(): s.getLen() for s in fs.listStatus(p)
+        if s.isFile() and not s.getPath().getName().startswith(("_", "."))
+    }

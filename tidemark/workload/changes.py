@@ -259,6 +259,35 @@ def changelog_days(spark, sf_dir):
     return days.select("day", "records")
 
 
+@query("SELECT count(*) AS records, CAST(2 AS BIGINT) AS commits, true AS same_files, true AS same_bytes, true AS dated FROM events")
+def changelog_report(spark, sf_dir):
+    """Totals from what was noted while writing, against those of a scan."""
+    path = _stored(spark, sf_dir)
+    noted = log.changelog_report(spark, path)
+    seen = log.changelog_summary(log.scan_changelog(spark, path)).first()
+    return noted.select(
+        "records", "commits", (F.col("files") == seen["files"]).alias("same_files"),
+        (F.col("bytes") == seen["bytes"]).alias("same_bytes"), F.col("last_commit_at").isNotNull().alias("dated"),
+    )
+
+
+@query(
+    f"""WITH ops AS ({OPS})
+    SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS records,
+           CAST(1 AS BIGINT) AS files, CAST(sum(event_id) AS BIGINT) AS scns FROM ops GROUP BY 1"""
+)
+def packed_changelog(spark, sf_dir):
+    """Five commits a day packed into one file each; no event is lost or doubled."""
+    path = log.table_path(shared_dir(spark, "packed"), "CDC", "USERS")
+    events = changes(spark, sf_dir)
+    for n in range(5):
+        log.append_changelog(events.where(F.col("event_id") % 5 == n).drop("event_id"), path, f"c{n}")
+    log.compact_changelog(spark, path)
+    stored = log.scan_changelog(spark, path)
+    scns = stored.groupBy(day_label("p_ts_ms").alias("day")).agg(F.sum("scn_num").alias("scns"))
+    return log.changelog_partitions(stored).select("day", "records", "files").join(scns, "day")
+
+
 @query("SELECT count(*) AS records, CAST(2 AS BIGINT) AS commits FROM events")
 def changelog_totals(spark, sf_dir):
     totals = log.changelog_summary(log.scan_changelog(spark, _stored(spark, sf_dir)))
