@@ -42,8 +42,17 @@ def test_few_and_none(spark):
     assert found(spark, rows, rows) == brute(rows, rows, 3)
     assert found(spark, [], rows) == [] and found(spark, rows, []) == []
     assert found(spark, [(1, [])], [(1, []), (2, [])]) == [(1, 1, 2, 0)]
-    with pytest.raises(Exception, match="too large"):
-        found(spark, [(1, [2**40])], [(2, [2**40])])
+
+
+@pytest.mark.parametrize("size", [20_480_000, 1024 * 10**15, 2**63 - 1])
+def test_large_components(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 300)
+    chance = random.Random(size)
+    rows = [(k, [chance.choice([-1, 1]) * (size - chance.randint(0, 9)) for _ in range(64)]) for k in range(150)]
+    rows += [(k, [chance.randint(-9, 9) for _ in range(64)]) for k in range(150, 400)] + [(400, [size] * 64), (401, [-size] * 64)]
+    queries = [x for x in rows if x[0] % 40 == 0]
+    want = [(*x[:3], min(max(x[3], -(2**63)), 2**63 - 1)) for x in brute(queries, rows, 5)]
+    assert found(spark, queries, rows, 5) == sorted(want)
 
 
 def test_bounds_prune_before_all_is_read():

@@ -373,8 +373,8 @@ def _links_of_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles and component_id of each row: the smallest id reachable by links.
+                    text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id_col, ``keep``, n_shingles and component_id of each row: the smallest id reachable by links.
 
     A text's set has its distinct runs of ``width`` words (by white space, A-Z
     lower-cased), or all its words as one run if fewer. Two texts link if
@@ -391,14 +391,15 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     similar to one another cost one comparison for each member.
     """
     spark = docs.sparkSession
-    rows = docs.select(id_col, text_col)
+    kept = [id_col, *(keep or [])]
+    rows = docs.select(*kept, text_col)
     named = rows.where(F.col(id_col).isNotNull())
 
     def measure(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [(len(x), set_id(x) if len(x) else None) for x in shingle_sets(batch.column(text_col), width)]
         return [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())]
 
-    members = stored(annotate(rows, measure, "n_shingles long, set long", [id_col]), "members")
+    members = stored(annotate(rows, measure, "n_shingles long, set long", kept), "members")
     classes = members.where(F.col(id_col).isNotNull() & F.col("set").isNotNull()).groupBy("set").agg(
         F.min(id_col).alias("doc"))
 
@@ -455,4 +456,4 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     labels = found.join(smallest, "component").select("set", "component_id")
     labels = stored(labels, "components")
     known = F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", id_col))
-    return members.join(labels, "set", "left").select(id_col, "n_shingles", known.alias("component_id"))
+    return members.join(labels, "set", "left").select(*kept, "n_shingles", known.alias("component_id"))

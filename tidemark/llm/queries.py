@@ -112,7 +112,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     trees = language.train(docs.where(fold != 2))
     found = language.identify(docs.select("doc_id", "text"), trees, keep=["doc_id"])
-    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query()

@@ -17,8 +17,8 @@ QUERY_ROWS = 1_024
 #: Shares of the lists that are read before bounds are compared.
 DEPTHS = (1 / 4, 1 / 2, 5 / 8, 3 / 4, 1.0)
 
-#: Sums of products up to this are exact in double precision.
-_EXACT = 2.0**53
+#: Sums of products below this fit a 64-bit integer.
+_LONG = 2.0**62
 
 
 def quantized(vector: Column, scale: int = 1024) -> Column:
@@ -36,6 +36,7 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
+        self.largest = float(np.abs(vectors.astype(np.float64)).max(initial=0))
         self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
         self.values = np.take_along_axis(vectors.T, self.order, 1).astype(np.float64)
 
@@ -54,6 +55,9 @@ class SortedLists:
         weights = query[used].astype(np.float64)
         up = weights > 0
         worst = weights * np.where(up, self.values[used, 0], self.values[used, -1])
+        # Bounds are doubles: what their sums may be off by grows with the products.
+        terms = np.abs(weights) * np.maximum(np.abs(self.values[used, 0]), np.abs(self.values[used, -1]))
+        slack = 0.5 + float(terms.sum()) * (len(used) + 8) * 2.0**-50
         partial, lower = np.zeros(n), np.full(n, worst.sum())
         seen = np.zeros((n, len(used)), order="F")
         done = 0
@@ -73,13 +77,24 @@ class SortedLists:
             if len(alive) > k:
                 upper = partial + (frontier.sum() - seen @ frontier)
                 bar = np.partition(lower[alive], len(alive) - k)[len(alive) - k]
-                alive = alive[upper[alive] >= bar - 0.5]
+                alive = alive[upper[alive] >= bar - slack]
             if depth == n:
                 break
-        scores = self.vectors[alive] @ query
-        best = np.lexsort((self.ids[alive], -scores))[:k]
+        best = np.lexsort((self.ids[alive], -self.scores(alive, query)))[:k]
         return alive[best]
 
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products; as Python integers where 64 bits might not do."""
+        largest = float(np.abs(query.astype(np.float64)).max(initial=0)) * self.largest * max(len(query), 1)
+        kind = np.int64 if largest < _LONG else object
+        return self.vectors[at].astype(kind) @ query.astype(kind)
+
+
+def _order(score: int) -> list[int]:
+    """A score of any size as numbers that sort as it does."""
+    low = (1 << 60) - 1
+    return [score >> 120, score >> 60 & low, score & low]
+
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     lists = column.combine_chunks()
@@ -98,7 +113,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str =
     candidate of its own id. Rows without id or vector take no part, rows equal
     in id and vector count once. Queries and candidates are dealt to blocks by
     hash, each pair of blocks is searched in one task, and the best of all
-    blocks are merged. Sums of products must stay below 2^53.
+    blocks are merged. Ranks are exact for components of any size; a score above
+    the range of a long is given as its largest value (below: smallest).
     """
     ship(queries.sparkSession)
     id_type = candidates.schema[id_col].dataType
@@ -120,33 +136,32 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str =
         )
 
     schema = T.StructType([
-        T.StructField("query_id", id_type), T.StructField(id_col, id_type), T.StructField("score", T.LongType())
+        T.StructField("query_id", id_type), T.StructField(id_col, id_type), T.StructField("score", T.LongType()),
+        T.StructField("__order", T.ArrayType(T.LongType())),
     ])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[list] = [[], [], []]
+        found: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             width = max(
                 int(np.diff(x["vector"].combine_chunks().offsets.to_numpy()).max()) for x in (left, right)
             )
             wanted, vectors = _matrix(left["vector"], width), _matrix(right["vector"], width)
-            if width and float(np.abs(wanted).max()) * float(np.abs(vectors).max()) * width >= _EXACT:
-                raise ValueError("components are too large for exact scores")
             lists = SortedLists(right["id"].to_numpy(), vectors)
             for query_id, query in zip(left["id"].to_pylist(), wanted, strict=True):
                 at = lists.top(query, k, query_id)
+                scores = lists.scores(at, query).tolist()
                 found[0] += [query_id] * len(at)
                 found[1] += lists.ids[at].tolist()
-                found[2] += (vectors[at] @ query).tolist()
-        return pa.table(
-            [pa.array(x, y) for x, y in zip(found, (left["id"].type, left["id"].type, pa.int64()), strict=True)],
-            names=schema.names,
-        )
+                found[2] += [min(max(x, -(2**63)), 2**63 - 1) for x in scores]
+                found[3] += map(_order, scores)
+        types = (left["id"].type, left["id"].type, pa.int64(), pa.list_(pa.int64()))
+        return pa.table([pa.array(x, y) for x, y in zip(found, types, strict=True)], names=schema.names)
 
     pairs = (
         dealt(asked, query_blocks, "q", blocks, "c").groupBy("q", "c")
         .cogroup(dealt(offered, blocks, "c", query_blocks, "q").groupBy("q", "c"))
         .applyInArrow(search, schema)
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("__order"), id_col))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
