@@ -37,10 +37,24 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group; rows without an id stay."""
-    groups = near_duplicates(docs)
-    later = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("__later"), "left_anti")
+    """One row of each near-duplicate group: the smallest id, and of rows of one id the first by text hash.
+
+    Rows are told apart by id and text, so a row stays if only another one of
+    its id has a copy, and of rows equal in both one stays. Rows without an id
+    and those without words are in no group and stay.
+    """
+    own = docs.withColumn("__own", F.xxhash64("text"))
+    row = ["doc_id", "__own"]
+    groups = stored(
+        near_duplicates(own, keep=["__own"]).where("doc_id IS NOT NULL AND n_shingles > 0"), "groups"
+    )
+    first = groups.groupBy("component_id").agg(F.min(F.struct(*row)).alias("first")).select("first.*")
+    several = groups.groupBy(*row).count().where("count > 1").select(*row)
+    later = groups.select(*row).distinct().join(first, row, "left_anti")
+    single = own.join(later.unionByName(several).distinct(), row, "left_anti")
+    # Rows that occur more than once, as far as they come first in their group.
+    again = own.join(several.join(first, row, "left_semi"), row, "left_semi").dropDuplicates(row)
+    return single.unionByName(again).drop("__own")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
