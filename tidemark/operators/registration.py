@@ -11,7 +11,7 @@ Inputs are relations, so one job checks any number of tables:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import upper_or_null
 from tidemark.functions.text import is_identity, source_column
@@ -203,16 +203,12 @@ def validate_registration(
         }
     )
     known = tables.select(*TABLE, "has_pk", "supp_log_all", F.lit(True).alias("_known"))
-    exact = registered.select(*TABLE).distinct().withColumn("_exact", F.lit(True))
-    schemas = registered.groupBy("table_name").agg(
-        F.min("schema_name").alias("_first"), F.max("schema_name").alias("_last")
-    )
-    other_schema = (F.col("_first") != F.col("schema_name")) | (
-        F.col("_last") != F.col("schema_name")
-    )
+    # The few schemas that a table name is registered under.
+    schemas = registered.groupBy("table_name").agg(F.collect_set("schema_name").alias("_schemas"))
+    exact = F.array_contains("_schemas", F.col("schema_name"))
+    other_schema = F.exists("_schemas", lambda s: s != F.col("schema_name"))
     checked = (
         named.join(known, TABLE, "left")
-        .join(exact, TABLE, "left")
         .join(schemas, "table_name", "left")
         .join(_mapping_errors(named, columns, mappings), "spec_no", "left")
         .withColumn(
@@ -222,26 +218,22 @@ def validate_registration(
             .when(F.col("_known").isNull(), "table not in source")
             .when(~F.col("has_pk"), "no primary key")
             .when(~F.col("supp_log_all"), "change logging not set")
-            .when(F.col("_exact"), "already registered")
+            .when(exact, "already registered")
             .when(other_schema, "same table name under another schema")
             .otherwise(F.col("_mapping_reason")),
         )
     )
-    # A table name can be won once per batch, by its first valid spec.
-    winners = (
-        checked.where(F.col("reason").isNull())
-        .groupBy(F.col("table_name").alias("_t"))
-        .agg(
-            F.min("spec_no").alias("_win_no"),
-            F.min_by("schema_name", "spec_no").alias("_win_schema"),
-        )
-    )
-    late = F.col("reason").isNull() & (F.col("spec_no") > F.col("_win_no"))
-    clash = F.when(F.col("_win_schema") == F.col("schema_name"), "already registered").otherwise(
+    # A table name can be won once per batch, by its first valid spec; the rules are evaluated once for both.
+    own = F.struct(F.col("spec_no").alias("no"), F.col("schema_name").alias("schema"))
+    winner = F.min(F.when(F.col("reason").isNull(), own)).over(Window.partitionBy("table_name"))
+    late = F.col("reason").isNull() & (F.col("spec_no") > F.col("_winner.no"))
+    clash = F.when(F.col("_winner.schema") == F.col("schema_name"), "already registered").otherwise(
         "same table name under another schema"
     )
-    out = checked.join(winners, F.col("table_name") == F.col("_t"), "left").withColumn(
-        "reason", F.when(late, clash).otherwise(F.col("reason"))
+    out = (
+        checked.select("spec_no", *TABLE, "target_schema", "target_table", "snapshot_mode", "reason")
+        .withColumn("_winner", winner)
+        .withColumn("reason", F.when(late, clash).otherwise(F.col("reason")))
     )
     accepted = F.col("reason").isNull()
     if all_or_nothing:
