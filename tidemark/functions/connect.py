@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -124,31 +125,37 @@ def decimal_to_base64(c: Column, dtype: T.DecimalType) -> Column:
 def base64_to_decimal(c: Column, dtype: T.DecimalType) -> Column:
     """The way back from :func:`decimal_to_base64`."""
     digits = F.hex(F.unbase64(c))
-    sign = F.when(digits.rlike("^[89A-F]"), "F").otherwise("0")
-    wide = F.concat(F.repeat(sign, F.greatest(F.lit(0), F.lit(32) - F.length(digits))), digits)
+    # Hex digits from 8 on begin a negative number; they sort behind the others.
+    ahead = F.when(F.substring(digits, 1, 1) >= "8", "F" * 32).otherwise("0" * 32)
+    extended = F.concat(ahead, digits)
 
     def part(start: int, length: int, base: int) -> Column:
-        return F.conv(F.substring(wide, start, length), 16, base).cast("decimal(20,0)")
+        return F.conv(F.substring(extended, start, length), 16, base).cast("decimal(20,0)")
 
     if dtype.precision <= 18:
-        whole = part(17, 16, -10).cast("decimal(38,0)")
-    else:
-        # Below zero, step toward zero first: the product stays within 38 digits.
-        high, low, two_64 = part(1, 16, -10), part(17, 16, 10), F.expr(_TWO_64)
-        step = F.when(high < 0, 1).otherwise(0)
-        whole = ((high + step) * two_64 + (low - step * two_64)).cast("decimal(38,0)")
+        # One product of exact decimals: the number is computed once, and no text in between.
+        step = F.lit(Decimal(1).scaleb(-dtype.scale)) if dtype.scale else F.lit(Decimal(1))
+        return (part(-16, 16, -10) * step).cast(dtype)
+    # Below zero, step toward zero first: the product stays within 38 digits.
+    high, low, two_64 = part(-32, 16, -10), part(-16, 16, 10), F.expr(_TWO_64)
+    step = F.when(high < 0, 1).otherwise(0)
+    whole = ((high + step) * two_64 + (low - step * two_64)).cast("decimal(38,0)")
     if dtype.scale == 0:
         return whole.cast(dtype)
-    text = F.replace(whole.cast("string"), F.lit("-"), F.lit(""))
-    padded = F.lpad(text, F.greatest(F.length(text), F.lit(dtype.scale + 1)), F.lit("0"))
-    point = F.length(padded) - dtype.scale
-    plain = F.concat(
-        F.when(whole < 0, "-").otherwise(""),
-        padded.substr(F.lit(1), point),
-        F.lit("."),
-        padded.substr(point + 1, F.lit(dtype.scale)),
-    )
-    return F.when(c.isNotNull(), plain.cast(dtype))
+
+    def pointed(w: Column) -> Column:
+        text = F.replace(w.cast("string"), F.lit("-"), F.lit(""))
+        padded = F.lpad(text, F.greatest(F.length(text), F.lit(dtype.scale + 1)), F.lit("0"))
+        point = F.length(padded) - dtype.scale
+        return F.concat(
+            F.when(w < 0, "-").otherwise(""),
+            padded.substr(F.lit(1), point),
+            F.lit("."),
+            padded.substr(point + 1, F.lit(dtype.scale)),
+        ).cast(dtype)
+
+    # The number is read several times below, so it is bound first.
+    return F.when(c.isNotNull(), F.get(F.transform(F.array(whole), pointed), F.lit(0)))
 
 
 def payload_column(c: Column, dtype: T.DataType) -> Column:
