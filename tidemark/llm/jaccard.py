@@ -20,6 +20,10 @@ GROUP_ROWS = 4096
 #: Members of one block of a group whose pairs are compared.
 PAIR_ROWS = 1024
 
+#: Rounds in which each member of an open group is compared with one candidate only, before all pairs that are left.
+#: Their number changes how many pairs are listed, never what is found.
+STAR_ROUNDS = 3
+
 #: Sets of one block of signatures.
 BLOCK_SETS = 10_000
 
@@ -298,14 +302,11 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _candidates(listed: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): members of one group in different components that sizes and sketches allow to be similar.
-
-    A group of more than PAIR_ROWS members is compared block by block, in as many tasks as it has pairs of blocks.
-    """
+def _dealt(listed: DataFrame) -> DataFrame:
+    """The members of each group, dealt over tasks that compare two blocks of at most about PAIR_ROWS."""
     sizes = listed.groupBy("name").agg(F.ceil(F.count("*") / PAIR_ROWS).alias("blocks"))
     own = F.pmod(F.xxhash64("set"), F.col("blocks"))
-    rows = (
+    return (
         listed.join(sizes, "name")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -316,28 +317,58 @@ def _candidates(listed: DataFrame, num: int, den: int) -> DataFrame:
         .repartition("name", "i", "j").sortWithinPartitions("name", "i", "j")
     )
 
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each key (name, i, j), one key after the other."""
+    key, members = None, []
+    for batch in batches:
+        for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if row[:3] != key:
+                if len(members) > 1:
+                    yield members
+                key, members = row[:3], []
+            members.append(row)
+    if len(members) > 1:
+        yield members
+
+
+def _candidates(listed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): members of one group in different components that sizes and sketches allow to be similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, []
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if row[:3] != key:
-                    found += _close(members, num, den)
-                    key, members = row[:3], []
-                members.append(row)
-            yield _edges(sorted(set(found)))
-        yield _edges(_close(members, num, den))
+        for members in _blocks_of(batches):
+            sets, a, b = _close(members, num, den)
+            yield _edges(list(zip(sets[a].tolist(), sets[b].tolist(), strict=True)))
+
+    return map_arrow(_dealt(listed), run, "a long, b long").distinct()
+
+
+def _stars(listed: DataFrame, num: int, den: int) -> DataFrame:
+    """(name, a, b): for each member that has candidates in its block, the one of them with the most, b.
+
+    At most one row for each member of a block, so their number follows that of the members. A member without a
+    row has no candidate in that block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members in _blocks_of(batches):
+            sets, a, b = _close(members, num, den)
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+            degree = np.bincount(a, minlength=len(sets))
+            order = np.lexsort((sets[b], -degree[b], a))
+            first = order[np.unique(a[order], return_index=True)[1]]
+            columns = (np.full(len(first), members[0][0], np.int64), sets[a[first]], sets[b[first]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["name", "a", "b"])
 
-    return map_arrow(rows, run, "a long, b long").distinct()
+    return map_arrow(_dealt(listed), run, "name long, a long, b long")
 
 
-def _close(members: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
-    if len(members) < 2:
-        return []
+def _close(members: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of a block, and the places of the pairs that may be similar, the smaller set first."""
     _, i, j, own, sets, components, sizes, sketches = zip(*members, strict=True)
     own, sets, components, sizes = (np.array(x, np.int64) for x in (own, sets, components, sizes))
     bits = _folded(list(sketches))
-    out: list[tuple[int, int]] = []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     step = max(1, (1 << 20) // bits.size)
     for first in range(0, len(sets), step):
         part = slice(first, first + step)
@@ -351,8 +382,9 @@ def _close(members: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
         if len(a):
             differ = np.bitwise_count(bits[part][a] ^ bits[b]).sum(1, dtype=np.int64)
             near = differ <= most[a, b]
-            out += zip(sets[part][a[near]].tolist(), sets[b[near]].tolist(), strict=True)
-    return out
+            left.append(first + a[near])
+            right.append(b[near])
+    return sets, np.concatenate(left), np.concatenate(right)
 
 
 def _links_of_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -385,10 +417,14 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
 
     Equal sets are one from the start. Sets that share a signature form groups.
     First each set is compared with one centre, the smallest of the group that
-    most of its signatures lead to; where a group then still has members of
-    different components, its pairs from different components are compared, by
-    size and sketch first. So no link is lost, and groups of copies that are
-    similar to one another cost one comparison for each member.
+    most of its signatures lead to. Where a group then still has members of
+    different components, sizes and sketches name the pairs of different
+    components that may be similar. In some rounds each member is compared with
+    one of its candidates only, the one that has the most candidates itself, so
+    families of copies grow together around their most central texts; members
+    without a candidate are done. All pairs that are left are compared at the
+    end. So no link is lost, and groups of copies that are similar to one
+    another cost a few comparisons for each member.
     """
     spark = docs.sparkSession
     kept = [id_col, *(keep or [])]
@@ -436,22 +472,38 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
 
     apart = near.label(near.label(pairs.select("set", "centre", F.col("set").alias("x"), F.col("centre").alias("y")), "x"), "y")
     apart = stored(apart.where("x <> y").select("centre", "set"), "apart")
-    far = None
+    merged: list[Components] = []
     if not apart.isEmpty():
         listed = groups.select("name", "centre", F.explode("members").alias("set"))
         open_names = stored(listed.join(apart, ["centre", "set"]).select("name").distinct(), "open")
-        listed = near.label(
-            groups.join(open_names, "name").select("name", F.explode("members").alias("set"))
-            .distinct().withColumn("component", F.col("set")),
-            "component",
-        )
-        listed = listed.join(sets.select("set", (F.octet_length("hashes") / 8).cast("long").alias("size"), "sketch"), "set")
-        crossing = _candidates(listed, num, den)
-        crossing = stored(crossing, "crossing")
-        more = _links_of_pairs(crossing, sets, num, den)
-        far = Components(near.label(near.label(more, "a"), "b"))
+        listed = groups.join(open_names, "name").select("name", F.explode("members").alias("set")).distinct()
+        traits = sets.select("set", (F.octet_length("hashes") / 8).cast("long").alias("size"), "sketch")
+
+        def labelled() -> DataFrame:
+            frame = near.label(listed.withColumn("component", F.col("set")), "component")
+            for step in merged:
+                frame = step.label(frame, "component")
+            return frame.join(traits, "set")
+
+        def contracted(edges: DataFrame) -> Components:
+            for step in [near, *merged]:
+                edges = step.label(step.label(edges, "a"), "b")
+            return Components(edges)
+
+        for _ in range(STAR_ROUNDS):
+            stars = stored(_stars(labelled(), num, den), "stars")
+            listed = stars.select("name", F.col("a").alias("set")).distinct()
+            once = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "once")
+            if once.isEmpty():
+                break
+            merged.append(contracted(_links_of_pairs(once, sets, num, den)))
+        else:
+            crossing = stored(_candidates(labelled(), num, den), "crossing")
+            merged.append(contracted(_links_of_pairs(crossing, sets, num, den)))
     found = near.label(classes.withColumn("component", F.col("set")), "component")
-    found = stored(far.label(found, "component") if far else found, "labels")
+    for step in merged:
+        found = step.label(found, "component")
+    found = stored(found, "labels")
     smallest = stored(found.groupBy("component").agg(F.min("doc").alias("component_id")), "smallest")
     labels = found.join(smallest, "component").select("set", "component_id")
     labels = stored(labels, "components")
