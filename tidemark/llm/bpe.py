@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -12,8 +14,18 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.frames import WordCache, annotate
 
-#: Entries of each cache of a Python worker. Bounds memory, never results.
+#: Entries of the caches of a Python worker: parts between spaces, matches of the pattern, prefixes; pairs of tokens.
+#: Bounds memory, never results.
+CACHE_PARTS = 300_000
 CACHE_ENTRIES = 120_000
+CACHE_PAIRS = 500_000
+
+#: Characters of text whose new words are encoded together; words of more bytes are encoded one by one.
+BLOCK_CHARS = 2 << 20
+LONG_BYTES = 64
+
+#: Bits of the number of token pairs that encoding words together remembers.
+PAIR_BITS = 20
 
 #: Prefixes of at most so many bytes are kept with their last token for all texts.
 SHORT_BYTES = 9
@@ -35,9 +47,14 @@ class Vocabulary:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.pieces: dict[int, bytes] = {v: k for k, v in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.wide = max(self.pieces) + 1
+        self.pairs: dict[int, bool] = {}
         self.lone: dict[int, bool] = {}
         self.short: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton()
+        for piece, token in ranks.items():
+            self.automaton.add_word(piece.decode("latin-1"), token)
+        self.automaton.make_automaton()
 
     def merge(self, text: bytes) -> list[int]:
         """Plain BPE of a few bytes: the pair of lowest rank is merged first."""
@@ -61,11 +78,12 @@ class Vocabulary:
         return found
 
     def side_by_side(self, left: int, right: int) -> bool:
-        found = self.pairs.get((left, right))
+        key = left * self.wide + right
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
+            found = self.pairs[key] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
         return found
 
 
@@ -84,18 +102,37 @@ class PrefixTable:
         self.append(text)
 
     def append(self, more: bytes) -> None:
+        """The tokens that end at each new byte come from the automaton of all tokens; the one that fits is kept."""
         self.text += more
-        text, last, short = self.text, self.last, self.vocabulary.short
-        for end in range(len(last) + 1, len(text) + 1):
-            if end <= SHORT_BYTES:
-                token = short.get(text[:end])
-                if token is None:
+        text, last, vocabulary = self.text, self.last, self.vocabulary
+        done, short = len(last), vocabulary.short
+        while done < min(SHORT_BYTES, len(text)) and (token := short.get(text[: done + 1])) is not None:
+            last.append(token)
+            done += 1
+        if done == len(text):
+            return
+        wide, pairs, pieces = vocabulary.wide, vocabulary.pairs.get, vocabulary.pieces
+        begin = max(0, done + 1 - vocabulary.longest)
+        for at, token in vocabulary.automaton.iter(text.decode("latin-1"), begin):
+            if at != done:
+                continue
+            size = len(pieces[token])
+            if size > at:
+                fits = vocabulary.alone(token)
+            else:
+                before = last[at - size]
+                fits = pairs(before * wide + token)
+                if fits is None:
+                    fits = vocabulary.side_by_side(before, token)
+            if fits:
+                last.append(token)
+                done += 1
+                if done <= SHORT_BYTES:
                     if len(short) >= CACHE_ENTRIES:
                         short.clear()
-                    token = short[text[:end]] = self._last(end)
-            else:
-                token = self._last(end)
-            last.append(token)
+                    short[text[:done]] = token
+        if done < len(text):
+            raise ValueError("the vocabulary lacks a single byte of the text")
 
     def replace(self, begin: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of bytes begin to end; returns for how many prefixes work was done."""
@@ -113,17 +150,14 @@ class PrefixTable:
         return len(self.text) - begin
 
     def _last(self, end: int) -> int:
-        vocabulary, text, last = self.vocabulary, self.text, self.last
-        known, pairs = vocabulary.ranks.get, vocabulary.pairs.get
-        for begin in range(max(0, end - vocabulary.longest), end):
-            token = known(text[begin:end])
-            if token is not None:
-                if not begin:
-                    fits = vocabulary.alone(token)
-                elif (fits := pairs((last[begin - 1], token))) is None:
-                    fits = vocabulary.side_by_side(last[begin - 1], token)
-                if fits:
-                    return token
+        vocabulary, begin = self.vocabulary, max(0, end - self.vocabulary.longest)
+        letters = self.text[begin:end].decode("latin-1")
+        for at, token in vocabulary.automaton.iter(letters):
+            if at + 1 < len(letters):
+                continue
+            size = len(vocabulary.pieces[token])
+            if vocabulary.alone(token) if size == end else vocabulary.side_by_side(self.last[end - size - 1], token):
+                return token
         raise ValueError("the vocabulary lacks a single byte of the text")
 
     def tokens(self, end: int | None = None) -> list[int]:
@@ -135,6 +169,90 @@ class PrefixTable:
         return out[::-1]
 
 
+class WordTable:
+    """Prefix tables of many words at once: the last tokens of all words' prefixes of one length are found together.
+
+    The tokens that may end a prefix come longest first, and only words without a token yet look at the next one.
+    Whether two tokens may stand side by side is remembered by a table of fixed size, where pairs displace others.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.keys = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.fits = np.zeros(1 << PAIR_BITS, bool)
+        self.lone = np.full(vocabulary.wide, -1, np.int8)
+        self.sizes = np.zeros(vocabulary.wide, np.int64)
+        self.sizes[list(vocabulary.pieces)] = [len(x) for x in vocabulary.pieces.values()]
+
+    def _alone(self, tokens: np.ndarray) -> np.ndarray:
+        for token in np.unique(tokens[self.lone[tokens] < 0]).tolist():
+            self.lone[token] = self.vocabulary.alone(token)
+        return self.lone[tokens] > 0
+
+    def _side_by_side(self, keys: np.ndarray) -> np.ndarray:
+        slots = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.fits[slots]
+        new = np.flatnonzero(self.keys[slots] != keys)
+        if len(new):
+            unknown, where = np.unique(keys[new], return_inverse=True)
+            merge, pieces, wide = self.vocabulary.merge, self.vocabulary.pieces, self.vocabulary.wide
+            pairs = ((int(x) // wide, int(x) % wide) for x in unknown)
+            found = np.array([merge(pieces[a] + pieces[b]) == [a, b] for a, b in pairs], bool)
+            out[new] = found[where]
+            # one slot may take several pairs: the key and its answer must come from the same one
+            taken, chosen = np.unique(slots[new], return_index=True)
+            self.keys[taken], self.fits[taken] = keys[new][chosen], out[new][chosen]
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The encodings of non-empty words, as little-endian unsigned 32-bit integers."""
+        vocabulary = self.vocabulary
+        sizes = np.array([len(x) for x in words], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        # the character between words is in no token
+        letters = "\u0100".join([x.decode("latin-1") for x in words])
+        found = np.fromiter(itertools.chain.from_iterable(vocabulary.automaton.iter(letters)), np.int64)
+        at, token = found[::2], found[1::2]
+        size = self.sizes[token]
+        begins = np.repeat(starts, sizes + 1)
+        place = at - begins[at]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        turn = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+        order = np.argsort((place * (LONG_BYTES + 1) + turn).astype(np.uint16), kind="stable")
+        at, size, token, place, turn = (x[order] for x in (at, size, token, place, turn))
+        cuts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (turn[1:] != turn[:-1])]))
+        last = np.full(len(letters), -1, np.int64)
+        for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            open_ = a + np.flatnonzero(last[at[a:b]] < 0)
+            whole = size[open_] > place[a]
+            lone = open_[whole]
+            lone = lone[self._alone(token[lone])]
+            last[at[lone]] = token[lone]
+            inner = open_[~whole]
+            if len(inner):
+                fits = self._side_by_side(last[at[inner] - size[inner]] * vocabulary.wide + token[inner])
+                last[at[inner[fits]]] = token[inner[fits]]
+        return self._read(last, starts, starts + sizes)
+
+    def _read(self, last: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        word, end = np.arange(len(starts)), ends
+        owners, tokens = [], []
+        while len(word):
+            token = last[end - 1]
+            if (token < 0).any():
+                raise ValueError("the vocabulary lacks a single byte of the text")
+            owners.append(word)
+            tokens.append(token)
+            end = end - self.sizes[token]
+            more = end > starts[word]
+            word, end = word[more], end[more]
+        order = np.argsort(np.concatenate(owners[::-1]), kind="stable")
+        counts = np.bincount(np.concatenate(owners), minlength=len(starts))
+        raw = np.concatenate(tokens[::-1])[order].astype("<u4").tobytes()
+        bounds = np.concatenate([[0], np.cumsum(4 * counts)]).tolist()
+        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 class Encoder:
     """Texts to token ids: each match of the pattern through a prefix table, with caches by text."""
 
@@ -142,7 +260,8 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.find = regex.compile(pattern).findall
         self.words = WordCache(self._word, CACHE_ENTRIES)
-        self.parts = WordCache(self._part, CACHE_ENTRIES)
+        self.parts = WordCache(self._part, CACHE_PARTS)
+        self.table = WordTable(self.vocabulary)
 
     def _word(self, word: str) -> bytes:
         raw = word.encode()
@@ -157,21 +276,62 @@ class Encoder:
         """The ids of a space and what follows it up to the next one."""
         return b"".join(map(self.words.__getitem__, self.find(" " + part)))
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers.
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The encodings of words, those of new words of common length found together."""
+        known, own = self.words, {}
+        new = [x for x in words if x not in known and len(x) <= LONG_BYTES // 4]
+        if new:
+            own = dict(zip(new, self.table.encode([x.encode() for x in new]), strict=True))
+        own.update((x, known[x]) for x in words.difference(own))
+        known.update((x, own[x]) for x in new if len(x) <= known.longest and len(known) < 2 * known.entries)
+        return own
 
-        Where every space stands alone or begins a run of white space, no match crosses a space from the
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Texts are taken in blocks of about BLOCK_CHARS characters."""
+        out: list[bytes] = []
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (size < BLOCK_CHARS or end == begin):
+                size += len(texts[end])
+                end += 1
+            out += self._block(texts[begin:end])
+            begin = end
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Where every space stands alone or begins a run of white space, no match crosses a space from the
         left, so the pieces that begin with a space are matched, and cached, one by one.
         """
-        if not text:
-            return b""
         self.words.trim()
         self.parts.trim()
-        if _SPACE_RUN.search(text):
-            return b"".join(map(self.words.__getitem__, self.find(text)))
-        head, *tail = text.split(" ")
-        first = b"".join(map(self.words.__getitem__, self.find(head)))
-        return first + b"".join(map(self.parts.__getitem__, tail))
+        known = self.parts
+        heads, tails, needed, wanted = [], [], set(), {}
+        for text in texts:
+            head, *tail = [text] if _SPACE_RUN.search(text) else text.split(" ")
+            heads.append(self.find(head))
+            tails.append(tail)
+            needed.update(heads[-1])
+            for part in set(tail):
+                if part not in known and part not in wanted:
+                    wanted[part] = found = self.find(" " + part)
+                    needed.update(found)
+        words = self._learn(needed)
+        room = 2 * known.entries - len(known)
+        for part, found in wanted.items():
+            known[part] = b"".join([words[x] for x in found])
+        out = [
+            b"".join([*map(words.__getitem__, head), *map(known.__getitem__, tail)])
+            for head, tail in zip(heads, tails, strict=True)
+        ]
+        for k, part in enumerate(wanted):
+            if k >= room or len(part) > known.longest:
+                del known[part]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids.tolist()))
@@ -196,7 +356,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", pac
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         own = encoder(path, pattern)
-        out = [own.encode(x.as_py() or "") for x in batch.column(text_col)]
+        out = own.encode_all([x or "" for x in batch.column(text_col).to_pylist()])
         sizes = np.array([len(x) // 4 for x in out], np.int64)
         if packed:
             return [pa.array(out, pa.binary()), pa.array(sizes)]
