@@ -82,3 +82,20 @@ def test_tables(spark):
         back = bpe.decode(bpe.encode(docs, PATH, PATTERN, packed=packed), PATH, PATTERN).collect()
         assert all(bytes(x.decoded) == (x.text or "").encode() for x in back)
     assert bpe.encode(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_words_together(monkeypatch):
+    ranks = bpe.encoder(PATH, PATTERN).vocabulary.ranks
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    letters = "abcdeinorstu" * 3 + "áñß漢字🙂'.,\n"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(60)) for _ in range(20)]
+    texts += ["", " ", "  two  spaces ", "a" * 3000, "Z" + "é" * 500, texts[0]]
+    expected = [library.encode_ordinary(x) for x in texts]
+    for bits in (2, 20):
+        monkeypatch.setattr(bpe, "PAIR_BITS", bits)
+        for block in (1, 1000, 1 << 21):
+            monkeypatch.setattr(bpe, "BLOCK_CHARS", block)
+            own = bpe.Encoder(ranks, PATTERN)
+            for _ in range(2):
+                assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == expected

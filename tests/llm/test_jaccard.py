@@ -123,6 +123,39 @@ def test_table(spark, monkeypatch):
     assert found(near_duplicates(docs)) == want
 
 
+def test_families_without_their_origin(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for family in range(2):
+        origin = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(35):
+            copy = list(origin)
+            for k in rng.sample(range(120), rng.randint(1, 4)):
+                copy[k] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows)
+    for rounds in (0, 3):
+        monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+        assert found(near_duplicates(docs)) == expected
+
+
+def test_one_candidate_a_member(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, np.uint64)
+    members = []
+    for k in range(30):
+        own = np.unique(np.concatenate([base[: 60 - k % 3], rng.integers(0, 2**63, k % 3, np.uint64)]))
+        members.append((7, k, k, len(own), bytearray(jaccard.sketch(own))))
+    listed = spark.createDataFrame(members, "name long, set long, component long, size long, sketch binary")
+    rows = jaccard._stars(listed, 75, 100).collect()
+    assert sorted(r["a"] for r in rows) == list(range(30))
+    assert all(r["a"] != r["b"] and r["name"] == 7 for r in rows)
+    pairs = {(r["a"], r["b"]) for r in jaccard._candidates(listed, 75, 100).collect()}
+    assert len(pairs) == 30 * 29 // 2
+    assert all((min(r["a"], r["b"]), max(r["a"], r["b"])) in pairs for r in rows)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(2, None), (3, "alone here")], "doc_id long, text string")
