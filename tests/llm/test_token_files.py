@@ -76,9 +76,24 @@ def test_empty_table(spark, path):
 def test_full_cache_changes_nothing(monkeypatch):
     texts = [(x or "").encode() for x in TEXTS]
     want = list(map(token_files.WordEncoder(PATH).encode, texts))
+    assert token_files.WordEncoder(PATH).encode_all(texts * 2) == want * 2
     monkeypatch.setattr(token_files, "CACHE_ENTRIES", 2)
+    monkeypatch.setattr(token_files, "_STEP", 3)
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 40)
     own = token_files.WordEncoder(PATH)
     assert own.plain and [own.encode(x) for x in texts * 2] == want * 2
+    assert own.encode_all(texts * 2, b"tail") == [x + b"tail" for x in want * 2]
+
+
+def test_each_word_of_a_text_as_the_library():
+    words = [f"{a}{b}{c}" for a in ("don't", "</w>", "É!x", "''s", "<|", "ß", "Ÿ", "9w", "\x7f") for b in ("", "'re", "</w>", "œ")
+             for c in ("", "W", "--", "日", "|>", "\xad", "ŉ")]
+    for special in (False, True):
+        own = token_files.WordEncoder(PATH, special)
+        some = [*words, "<|endoftext|>", "a<|startoftext|>b"]
+        want = [own.tokenizer.encode(x, add_special_tokens=False).ids for x in (" ".join(some), *some)]
+        got = own.encode_all([x.encode() for x in (" ".join(some), *some)])
+        assert [list(struct.unpack(f"<{len(x) // 4}i", x)) for x in got] == want
 
 
 def test_each_plain_character_as_the_library():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import zlib
@@ -14,10 +15,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.frames import WordCache, annotate, map_arrow
+from tidemark.llm.frames import annotate, map_arrow
 
-#: Entries of each cache of a Python worker.
-CACHE_ENTRIES = 300_000
+#: Entries at which a cache of a Python worker is cut down. Bounds memory, never results.
+CACHE_ENTRIES = 500_000
+
+#: Longer words are not kept from block to block; a full cache keeps words up to the second length.
+_LONGEST, _SHORT = 16, 6
+
+#: Words of a long text that are encoded at once.
+_STEP = 500_000
 
 #: Bytes of text that make one batch of rows.
 BLOCK_BYTES = 4 << 20
@@ -31,33 +38,36 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _byte_letters() -> dict[int, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow after 255."""
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow after 255.
+
+    The space is left out: it stands between parts, which hold none.
+    """
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = (b for b in range(256) if b not in own)
-    return {b: 256 + k for k, b in enumerate(others)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + k for k, b in enumerate(others) if b != 32}
 
 
 class WordEncoder:
-    """A tokenizer of the tokenizers library, word by word.
+    """A tokenizer of the tokenizers library, each distinct word of a block once.
 
     The library's pattern never crosses ASCII white space and drops it, so the
     ids of a text are those of its words one after the other. Words of plain
-    Latin characters are lower-cased and split here, and only their new parts go
-    through the library's merges; all other words go through the whole library,
+    Latin characters are lower-cased and split here, and their new parts go
+    through the library's merges in one call: the last token of a part, and no
+    other, ends in the model's suffix, so the ids of all parts can be told
+    apart. All other words go through the whole library,
     with ``special_tokens`` also those that hold the text of an added token:
     then that text is the token, as by the library's default, else plain text.
     """
 
     def __init__(self, path: str, special_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special_tokens
-        self.merged = self.tokenizer.model.tokenize
-        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        ids = np.arange(size, dtype="<i4").tobytes()
-        self.raw = [ids[k : k + 4] for k in range(0, 4 * size, 4)]
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
         with open(path, "rb") as file:
             parts = json.load(file)
@@ -65,35 +75,89 @@ class WordEncoder:
         self.added = regex.compile("|".join(map(regex.escape, added)), regex.I).search if added else None
         steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.plain = steps == ["NFC", "Replace", "Lowercase"] and {"Regex": _PATTERN} in splits
-        self.split = regex.compile(_PATTERN).findall
-        self.words = WordCache(self._word, CACHE_ENTRIES)
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and {"Regex": _PATTERN} in splits and suffix == "</w>"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for x, k in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+        self.split = regex.compile(rf"{_PATTERN}|\n").findall
+        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        own = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        raw = self.raw
-        found = b"".join([raw[x.id] for x in self.merged(own)])
-        if len(part) <= 16 and len(self.parts) < 2 * CACHE_ENTRIES:
-            self.parts[part] = found
+    def _merge(self, parts: list[str]) -> list[bytes]:
+        """The ids of plain parts, lower-case and without white space, those of ASCII characters first."""
+        text = " ".join(itertools.takewhile(str.isascii, parts))
+        other = " ".join(itertools.dropwhile(str.isascii, parts)).encode().decode("latin-1").translate(self.letters)
+        (found,) = self.merges.encode_batch_fast([f"{text} {other}"], add_special_tokens=False)
+        ids = np.array(found.ids, "<i4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Put the ids of new words into ``words``.
+
+        Lists of texts and numbers only: the garbage collector would walk through nested ones again and again.
+        """
+        joined = b"\n".join(words).decode()
+        added = self.added if self.added and self.added(joined) else None
+        letters, lowered, mixed, split, whole, left = [], [], [], [], [], []
+        for word, text, low in zip(words, joined.split("\n"), joined.lower().split("\n"), strict=True):
+            plain = self.plain and text.isprintable() and (text.isascii() or max(text) < _AFTER_LATIN)
+            if not plain or (added and added(text)):
+                whole.append(word)
+                left.append(text)
+            elif low.isalpha():
+                letters.append(word)
+                lowered.append(low)
+            else:
+                mixed.append(word)
+                split.append(low)
+        # The parts of all mixed words in a row, each word's followed by a line break.
+        flat = self.split("\n".join([*split, ""]))
+        new = set(lowered).union(flat).difference(self.parts, ("\n",))
+        parts = sorted(new, key=str.isascii, reverse=True)
+        self.parts.update(zip(parts, self._merge(parts), strict=True))
+        known = self.parts.__getitem__
+        self.words.update(zip(letters, map(known, lowered), strict=True))
+        begin = 0
+        for word, end in zip(mixed, [k for k, x in enumerate(flat) if x == "\n"], strict=True):
+            self.words[word] = b"".join(map(known, flat[begin:end]))
+            begin = end + 1
+        found = self.tokenizer.encode_batch_fast(left, add_special_tokens=False)
+        for word, ids in zip(whole, found, strict=True):
+            self.words[word] = np.array(ids.ids, "<i4").tobytes()
+        for part in parts:
+            if len(part) > _LONGEST:
+                del self.parts[part]
+
+    def _ids(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of texts given as words. Caches are bounded between calls: long words go, then all but short ones."""
+        new = list(set().union(*texts).difference(self.words))
+        self._learn(new)
+        known = self.words.__getitem__
+        found = [b"".join(map(known, x)) for x in texts]
+        for word in new:
+            if len(word) > _LONGEST:
+                del self.words[word]
+        for cache in (self.words, self.parts):
+            if len(cache) >= CACHE_ENTRIES:
+                short = {k: v for k, v in cache.items() if len(k) <= _SHORT}
+                cache.clear()
+                if len(short) < CACHE_ENTRIES // 2:
+                    cache.update(short)
         return found
 
-    def _word(self, word: bytes) -> bytes:
-        text, known = word.decode(), self.parts.get
-        plain = self.plain and text.isprintable() and (text.isascii() or max(text) < _AFTER_LATIN)
-        if plain and not (self.added and self.added(text)):
-            text = text.lower()
-            if text.isalpha():
-                return known(text) or self._part(text)
-            return b"".join([known(x) or self._part(x) for x in self.split(text)])
-        return b"".join([self.raw[x] for x in self.tokenizer.encode(text, add_special_tokens=False).ids])
-
     def encode(self, text: bytes, tail: bytes = b"") -> bytes:
-        """Ids as little-endian 32-bit integers, followed by ``tail``."""
-        self.words.trim()
-        if len(self.parts) >= CACHE_ENTRIES:
-            self.parts = {k: v for k, v in self.parts.items() if len(k) <= 5}
-        return b"".join(map(self.words.__getitem__, text.split())) + tail
+        """Ids as little-endian 32-bit integers, followed by ``tail``; a long text in steps."""
+        words = text.split()
+        steps = range(0, len(words), _STEP)
+        return b"".join([x for k in steps for x in self._ids([words[k : k + _STEP]])]) + tail
+
+    def encode_all(self, texts: list[bytes], tail: bytes = b"") -> list[bytes]:
+        """``encode`` of each text; distinct words of all texts that are not long are encoded once."""
+        short = iter(self._ids([x.split() for x in texts if len(x) < BLOCK_BYTES]))
+        return [next(short) + tail if len(x) < BLOCK_BYTES else self.encode(x, tail) for x in texts]
 
 
 @functools.lru_cache(maxsize=2)
@@ -135,12 +199,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             first = 0
             while first < len(batch):
                 last, size = first, 0
-                ids: list[bytes] = []
-                while last < len(batch) and (size < BLOCK_BYTES or not ids):
-                    text = texts[last].as_py() or b""
-                    ids.append(encoder.encode(text, tail))
-                    size += len(text)
+                block: list[bytes] = []
+                while last < len(batch) and (size < BLOCK_BYTES or not block):
+                    block.append(texts[last].as_py() or b"")
+                    size += len(block[-1])
                     last += 1
+                ids = encoder.encode_all(block, tail)
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
