@@ -83,23 +83,21 @@ class Index:
         self.places, self.weights = places[order].astype(np.int32), weights[order]
         run = terms[order] * max(1, self.blocks) + self.places // BLOCK
         begin = np.flatnonzero(np.diff(run, prepend=-1))
-        #: Runs: where each begins and ends, its block and largest weight; where the runs of a term begin.
-        self.begin, self.end = begin, np.append(begin[1:], len(run))[: len(begin)]
+        #: Runs: where each begins and its length, its block and largest weight; where the runs of a term begin.
+        self.begin, self.length = begin, np.diff(begin, append=len(run))
         self.block = self.places[begin] // BLOCK
         self.highest = np.maximum.reduceat(self.weights, begin) if len(begin) else np.empty(0)
         self.runs = np.searchsorted(terms[order][begin], np.arange(size + 1))
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k examples of the highest positive cosine, ties to the smaller id: (cosine, place)."""
-        return next(self.nearest_each([query], k))
+        places = np.fromiter(query, np.int64, len(query))
+        return next(self.nearest_each([(places, np.fromiter(query.values(), np.float64, len(query)))], k))
 
-    def nearest_each(self, queries: list[dict[int, float]], k: int) -> Iterator[list[tuple[float, int]]]:
-        """``nearest`` of each query."""
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[list[tuple[float, int]]]:
+        """``nearest`` of each query, given by its places and weights."""
         for first in range(0, len(queries), BLOCK):
-            some = [
-                (np.fromiter(x, np.int64, len(x)), np.fromiter(x.values(), np.float64, len(x)))
-                for x in queries[first : first + BLOCK]
-            ]
+            some = queries[first : first + BLOCK]
             heads = np.zeros((len(some), len(self.matrix) + 1))
             for head, (terms, weights) in zip(heads, some, strict=True):
                 head[self.row[terms]] = weights
@@ -131,7 +129,8 @@ class Index:
 
     def _scores(self, runs: np.ndarray, weights: np.ndarray, take: np.ndarray) -> np.ndarray:
         """The cosines of all examples as far as the taken runs make them."""
-        runs, sizes = runs[take], (self.end - self.begin)[runs[take]]
+        runs = runs[take]
+        sizes = self.length[runs]
         at = _ranges(self.begin[runs], sizes)
         return np.bincount(self.places[at], np.repeat(weights[take], sizes) * self.weights[at], len(self.ids))
 
@@ -148,9 +147,9 @@ class Scorer:
     def __init__(self, index: Index, idf: np.ndarray, without: float, k: int) -> None:
         self.index, self.idf, self.without, self.k = index, idf, without, k
 
-    def scores(self, texts: Iterable[tuple[list[int], list[int]]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+    def scores(self, texts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
         """Score and evidence of each text, given by the places of its terms and their counts."""
-        for near in self.index.nearest_each([unit(x, self.idf, n) for x, n in texts], self.k):
+        for near in self.index.nearest_each([(x, _weights(x, self.idf, n)) for x, n in texts], self.k):
             yield self._judge(near)
 
     def _judge(self, near: list[tuple[float, int]]) -> tuple[float, list[tuple[int, float, int]]]:
@@ -163,10 +162,15 @@ class Scorer:
         return positive / sum(votes), evidence
 
 
+def _weights(places: np.ndarray, idf: np.ndarray, counts: np.ndarray | float) -> np.ndarray:
+    raw = idf[places] * counts
+    return raw / np.sqrt(raw @ raw) if len(raw) else raw
+
+
 def unit(places: list[int], idf: np.ndarray, counts: list[int] | None = None) -> dict[int, float]:
     """The vector of length 1 of terms with their counts (1 if not given), each times its weight."""
-    raw = idf[np.array(places, np.int64)] * (1 if counts is None else np.array(counts, np.float64))
-    return dict(zip(places, (raw / np.sqrt(raw @ raw)).tolist(), strict=True)) if places else {}
+    weights = _weights(np.array(places, np.int64), idf, 1.0 if counts is None else np.array(counts, np.float64))
+    return dict(zip(places, weights.tolist(), strict=True))
 
 
 def _sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> DataFrame:
@@ -246,9 +250,12 @@ def text_terms(docs: DataFrame, names: list[str], text_col: str, keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(names)
     numbers: dict[str, int] = {}
     known: dict[str, tuple[int, ...]] = {}
+    #: Lengths of the named beginnings; all others need no look-up.
+    lengths: list[int] = []
 
     def places_of(word: str) -> tuple[int, ...]:
-        found = tuple(numbers[x] for x in terms(word) if x in numbers)
+        own = [f"^{word}$", *[f"^{word[:n]}" for n in lengths if len(word) >= n]]
+        found = tuple([numbers[x] for x in own if x in numbers])
         if len(word) <= 64:
             known[word] = found
         return found
@@ -256,6 +263,8 @@ def text_terms(docs: DataFrame, names: list[str], text_col: str, keep: list[str]
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         if not numbers:
             numbers.update((x, k) for k, x in enumerate(shared.value))
+            named = {len(x) - 1 for x in numbers if not x.endswith("$")}
+            lengths[:] = [n for n in BEGINNINGS if n in named]
         places, counts = [], []
         for text in batch.column(text_col):
             if len(known) >= CACHE_ENTRIES:
@@ -272,6 +281,12 @@ def text_terms(docs: DataFrame, names: list[str], text_col: str, keep: list[str]
     return annotate(docs, run, "places array<int>, counts array<int>", keep)
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The values of each list; none of them is null."""
+    offsets = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(), offsets[1:-1] - offsets[0]) if len(column) else []
+
+
 def _document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
     """How many rows have each place, summed up in each task first."""
 
@@ -337,8 +352,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2000,
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         scorer, scores, evidence = shared.value, [], []
-        texts = zip(batch.column("places").to_pylist(), batch.column("counts").to_pylist(), strict=True)
-        for score, near in scorer.scores(texts):
+        for score, near in scorer.scores(zip(_lists(batch.column("places")), _lists(batch.column("counts")), strict=True)):
             scores.append(score)
             evidence.append([{"id": a, "cosine": b, "label": c} for a, b, c in near])
         kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
