@@ -177,6 +177,16 @@ def test_attribution_has_no_cross_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_attribution_broadcasts_no_endings(spark):
+    names = spark.createDataFrame([("sink-cdc_t1",), ("x",), (None,), ("x",)], "name string")
+    tables = spark.createDataFrame([("CDC", "T1"), ("CDC", "T2")], "schema_name string, table_name string")
+    got = attribute(names, tables)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    assert {tuple(r) for r in got.collect()} == {("sink-cdc_t1", "CDC", "T1"), ("x", "-", "x"), (None, "-", None)}
+    assert got.count() == 3
+
+
 @pytest.mark.parametrize(
     "states,want",
     [([], ("none", 0)), (["RUNNING"], ("ok", 1)), (["RUNNING", "PAUSED"], ("warn", 2)), (["PAUSED", "FAILED"], ("crit", 2)), (["UNKNOWN"], ("crit", 1))],

@@ -45,7 +45,8 @@ def attribute(names: DataFrame, registry: DataFrame, name: str = "name") -> Data
     schema and table. Without a match the only registered table is taken, if
     there is just one. Every ending of a name that is as long as the shortest
     suffix is looked up by equality, so the join stays an equi join for any
-    number of names and tables, and no short ending gathers many names.
+    number of names and tables, and no short ending gathers many names. Names
+    without a match stay through the join, so they are not joined again.
     """
     tables = registry.select(
         "schema_name", "table_name", table_suffix("schema_name", "table_name").alias("_end")
@@ -61,7 +62,10 @@ def attribute(names: DataFrame, registry: DataFrame, name: str = "name") -> Data
         name,
         F.explode(F.transform(starts, lambda i: F.col(name).substr(i, F.length(name)))).alias("_end"),
     )
-    found = endings.join(firsts, "_end").groupBy(name).agg(F.min("_table").alias("_table"))
+    # Sizes estimated from the input do not count the endings of a name, so neither side is to be broadcast.
+    found = (
+        endings.join(firsts.hint("merge"), "_end", "left").groupBy(name).agg(F.min("_table").alias("_table"))
+    )
     only = registry.agg(
         F.when(
             F.count(F.lit(1)) == 1, F.min(F.struct("schema_name", "table_name"))
@@ -69,8 +73,7 @@ def attribute(names: DataFrame, registry: DataFrame, name: str = "name") -> Data
     )
     table = F.coalesce("_table", only.scalar())
     return (
-        distinct.join(found, name, "left")
-        .withColumn("_table", table)
+        found.withColumn("_table", table)
         .select(
             name,
             F.coalesce(F.col("_table.schema_name"), F.lit("-")).alias("schema_name"),
