@@ -70,6 +70,20 @@ def test_dictionary(relations):
     assert not columns.where("table_name = 'NOPK' AND is_pk").count()
 
 
+def test_work_is_dealt_to_tasks_that_stay(spark, relations):
+    n = reg.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    specs = spark.createDataFrame([(k, "CDC.*", None, None, None) for k in range(50)] + [(50, "CDC.T1", None, None, None)], SPEC)
+    nothing = spark.createDataFrame([], "schema_name string, table_name string")
+    found = reg.validate_registration(specs, spark.createDataFrame([], MAPPING), *relations, nothing)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Refused specs of one name are not gathered in one partition of the window.
+    window = next(x for x in plan.splitlines() if "Window [" in x)
+    assert "_refused" in window
+    assert "hashpartitioning(spec_no" in plan and plan.count(f", {n}), REPARTITION_BY_NUM") >= 8
+    got = {r["spec_no"]: r["reason"] for r in found.collect()}
+    assert got == {k: "wildcard or malformed name" for k in range(50)} | {50: None}
+
+
 def test_rules_without_mappings(spark, relations):
     specs = ["CDC.T1", "CDC.*", "CDC.TEST_%", "CDC.MISSING", "cdc.nopk", "CDC.NOLOG", "CDC.TEST_1", "CDC.TEST_2", "NODOT", ("CDC.AUTO_100", "tgt ", " ", "Sometimes")]
     got = validate(spark, relations, specs, registered=[("CDC", "TEST_1"), ("ELSE", "TEST_2")])

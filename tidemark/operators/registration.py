@@ -26,6 +26,23 @@ ALL_COLUMN_LOGGING = "ALL COLUMN LOGGING"
 SNAPSHOT_MODES = ("INITIAL", "NO_DATA")
 SOURCE_ROLE, TARGET_ROLE = "SOURCE", "TARGET"
 
+#: Tasks for each core that ``_spread`` deals rows to.
+TASKS_PER_CORE = 16
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to a number of tasks that adaptive execution keeps.
+
+    It joins small partitions by their compressed size, and names that differ
+    in a few digits compress so well that one task would sort many times that.
+    """
+    spark = rows.sparkSession
+    n = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        TASKS_PER_CORE * spark.sparkContext.defaultParallelism,
+    )
+    return rows.repartition(n, *keys)
+
 
 # --- dictionary --------------------------------------------------------------
 
@@ -51,17 +68,18 @@ def list_tables(
     if pattern is not None:
         tables = discover(tables, pattern)
     pk = (
-        constraints.where(F.col("constraint_type") == PRIMARY_KEY)
+        _spread(constraints.where(F.col("constraint_type") == PRIMARY_KEY), *TABLE)
         .groupBy(*TABLE)
         .agg(F.count(F.lit(1)).alias("_pk"))
     )
     logged = (
-        log_groups.where(F.col("log_group_type") == ALL_COLUMN_LOGGING)
+        _spread(log_groups.where(F.col("log_group_type") == ALL_COLUMN_LOGGING), *TABLE)
         .groupBy(*TABLE)
         .agg(F.count(F.lit(1)).alias("_log"))
     )
     return (
-        tables.join(pk, TABLE, "left")
+        _spread(tables, *TABLE)
+        .join(pk, TABLE, "left")
         .join(logged, TABLE, "left")
         .select(
             *TABLE,
@@ -77,13 +95,14 @@ def list_columns(
     columns: DataFrame, constraints: DataFrame, constraint_columns: DataFrame
 ) -> DataFrame:
     """Columns with ``is_pk``."""
+    constraint = ["schema_name", "constraint_name"]
     pk = (
-        constraints.where(F.col("constraint_type") == PRIMARY_KEY)
-        .join(constraint_columns.drop("table_name"), ["schema_name", "constraint_name"])
-        .select(*TABLE, "column_name", F.lit(True).alias("_pk"))
-        .distinct()
+        _spread(constraints.where(F.col("constraint_type") == PRIMARY_KEY), *constraint)
+        .join(_spread(constraint_columns.drop("table_name"), *constraint), constraint)
+        .select(*TABLE, "column_name")
     )
-    return columns.join(pk, [*TABLE, "column_name"], "left").select(
+    pk = _spread(pk, *TABLE, "column_name").distinct().withColumn("_pk", F.lit(True))
+    return _spread(columns, *TABLE, "column_name").join(pk, [*TABLE, "column_name"], "left").select(
         *TABLE,
         "column_name",
         "data_type",
@@ -137,7 +156,7 @@ def _mapping_errors(named: DataFrame, columns: DataFrame, mappings: DataFrame) -
         (enabled & is_identity("target_column", "source_expr")).alias("_loaded"),
         F.lit(True).alias("_mapped"),
     )
-    known = named.select("spec_no", *TABLE).join(columns, TABLE).select(
+    known = _spread(named.select("spec_no", *TABLE), *TABLE).join(_spread(columns, *TABLE), TABLE).select(
         "spec_no",
         F.upper("column_name").alias("_name"),
         F.lit(None).cast("bigint").alias("_own"),
@@ -146,7 +165,7 @@ def _mapping_errors(named: DataFrame, columns: DataFrame, mappings: DataFrame) -
         nothing.alias("_loaded"),
         nothing.alias("_mapped"),
     )
-    per_name = mapped.unionByName(known).groupBy("spec_no", "_name").agg(
+    per_name = _spread(mapped.unionByName(known), "spec_no").groupBy("spec_no", "_name").agg(
         F.min("_own").alias("_own"),
         F.min("_looked_up").alias("_looked_up"),
         F.max("_pk").alias("_pk"),
@@ -208,9 +227,12 @@ def validate_registration(
     exact = F.array_contains("_schemas", F.col("schema_name"))
     other_schema = F.exists("_schemas", lambda s: s != F.col("schema_name"))
     checked = (
-        named.join(known, TABLE, "left")
-        .join(schemas, "table_name", "left")
+        _spread(named, "spec_no")
         .join(_mapping_errors(named, columns, mappings), "spec_no", "left")
+        .transform(_spread, *TABLE)
+        .join(_spread(known, *TABLE), TABLE, "left")
+        .transform(_spread, "table_name")
+        .join(schemas, "table_name", "left")
         .withColumn(
             "reason",
             F.when(~F.col("snapshot_mode").isin(*SNAPSHOT_MODES), "snapshot mode unknown")
@@ -224,14 +246,17 @@ def validate_registration(
         )
     )
     # A table name can be won once per batch, by its first valid spec; the rules are evaluated once for both.
+    # Refused specs win nothing and lose nothing, so they are dealt by number: many share a name such as "*".
     own = F.struct(F.col("spec_no").alias("no"), F.col("schema_name").alias("schema"))
-    winner = F.min(F.when(F.col("reason").isNull(), own)).over(Window.partitionBy("table_name"))
+    winner = F.min(F.when(F.col("reason").isNull(), own)).over(Window.partitionBy("table_name", "_refused"))
     late = F.col("reason").isNull() & (F.col("spec_no") > F.col("_winner.no"))
     clash = F.when(F.col("_winner.schema") == F.col("schema_name"), "already registered").otherwise(
         "same table name under another schema"
     )
     out = (
         checked.select("spec_no", *TABLE, "target_schema", "target_table", "snapshot_mode", "reason")
+        .withColumn("_refused", F.when(F.col("reason").isNotNull(), F.col("spec_no")))
+        .transform(_spread, "table_name", "_refused")
         .withColumn("_winner", winner)
         .withColumn("reason", F.when(late, clash).otherwise(F.col("reason")))
     )
