@@ -26,11 +26,11 @@ ALL_COLUMN_LOGGING = "ALL COLUMN LOGGING"
 SNAPSHOT_MODES = ("INITIAL", "NO_DATA")
 SOURCE_ROLE, TARGET_ROLE = "SOURCE", "TARGET"
 
-#: Tasks for each core that ``_spread`` deals rows to.
-TASKS_PER_CORE = 16
+#: Tasks for each core that ``spread`` deals rows to.
+TASKS_PER_CORE = 8
 
 
-def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by key to a number of tasks that adaptive execution keeps.
 
     It joins small partitions by their compressed size, and names that differ
@@ -68,17 +68,17 @@ def list_tables(
     if pattern is not None:
         tables = discover(tables, pattern)
     pk = (
-        _spread(constraints.where(F.col("constraint_type") == PRIMARY_KEY), *TABLE)
+        spread(constraints.where(F.col("constraint_type") == PRIMARY_KEY), *TABLE)
         .groupBy(*TABLE)
         .agg(F.count(F.lit(1)).alias("_pk"))
     )
     logged = (
-        _spread(log_groups.where(F.col("log_group_type") == ALL_COLUMN_LOGGING), *TABLE)
+        spread(log_groups.where(F.col("log_group_type") == ALL_COLUMN_LOGGING), *TABLE)
         .groupBy(*TABLE)
         .agg(F.count(F.lit(1)).alias("_log"))
     )
     return (
-        _spread(tables, *TABLE)
+        spread(tables, *TABLE)
         .join(pk, TABLE, "left")
         .join(logged, TABLE, "left")
         .select(
@@ -97,12 +97,12 @@ def list_columns(
     """Columns with ``is_pk``."""
     constraint = ["schema_name", "constraint_name"]
     pk = (
-        _spread(constraints.where(F.col("constraint_type") == PRIMARY_KEY), *constraint)
-        .join(_spread(constraint_columns.drop("table_name"), *constraint), constraint)
+        spread(constraints.where(F.col("constraint_type") == PRIMARY_KEY), *constraint)
+        .join(spread(constraint_columns.drop("table_name"), *constraint), constraint)
         .select(*TABLE, "column_name")
     )
-    pk = _spread(pk, *TABLE, "column_name").distinct().withColumn("_pk", F.lit(True))
-    return _spread(columns, *TABLE, "column_name").join(pk, [*TABLE, "column_name"], "left").select(
+    pk = spread(pk, *TABLE, "column_name").distinct().withColumn("_pk", F.lit(True))
+    return spread(columns, *TABLE, "column_name").join(pk, [*TABLE, "column_name"], "left").select(
         *TABLE,
         "column_name",
         "data_type",
@@ -156,7 +156,7 @@ def _mapping_errors(named: DataFrame, columns: DataFrame, mappings: DataFrame) -
         (enabled & is_identity("target_column", "source_expr")).alias("_loaded"),
         F.lit(True).alias("_mapped"),
     )
-    known = _spread(named.select("spec_no", *TABLE), *TABLE).join(_spread(columns, *TABLE), TABLE).select(
+    known = spread(named.select("spec_no", *TABLE), *TABLE).join(spread(columns, *TABLE), TABLE).select(
         "spec_no",
         F.upper("column_name").alias("_name"),
         F.lit(None).cast("bigint").alias("_own"),
@@ -165,7 +165,7 @@ def _mapping_errors(named: DataFrame, columns: DataFrame, mappings: DataFrame) -
         nothing.alias("_loaded"),
         nothing.alias("_mapped"),
     )
-    per_name = _spread(mapped.unionByName(known), "spec_no").groupBy("spec_no", "_name").agg(
+    per_name = spread(mapped.unionByName(known), "spec_no").groupBy("spec_no", "_name").agg(
         F.min("_own").alias("_own"),
         F.min("_looked_up").alias("_looked_up"),
         F.max("_pk").alias("_pk"),
@@ -227,11 +227,11 @@ def validate_registration(
     exact = F.array_contains("_schemas", F.col("schema_name"))
     other_schema = F.exists("_schemas", lambda s: s != F.col("schema_name"))
     checked = (
-        _spread(named, "spec_no")
+        spread(named, "spec_no")
         .join(_mapping_errors(named, columns, mappings), "spec_no", "left")
-        .transform(_spread, *TABLE)
-        .join(_spread(known, *TABLE), TABLE, "left")
-        .transform(_spread, "table_name")
+        .transform(spread, *TABLE)
+        .join(spread(known, *TABLE), TABLE, "left")
+        .transform(spread, "table_name")
         .join(schemas, "table_name", "left")
         .withColumn(
             "reason",
@@ -256,7 +256,7 @@ def validate_registration(
     out = (
         checked.select("spec_no", *TABLE, "target_schema", "target_table", "snapshot_mode", "reason")
         .withColumn("_refused", F.when(F.col("reason").isNotNull(), F.col("spec_no")))
-        .transform(_spread, "table_name", "_refused")
+        .transform(spread, "table_name", "_refused")
         .withColumn("_winner", winner)
         .withColumn("reason", F.when(late, clash).otherwise(F.col("reason")))
     )

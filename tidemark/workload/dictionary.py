@@ -54,8 +54,9 @@ def _log_groups(spark, sf_dir):
 def _columns(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("column_id")
-    ).distinct()
-    return lines.join(_tables(spark, sf_dir), "k").select(
+    )
+    lines = reg.spread(lines, "k").distinct()
+    return lines.join(reg.spread(_tables(spark, sf_dir), "k"), "k").select(
         "schema_name",
         "table_name",
         F.concat(F.lit("C"), F.col("column_id").cast("string")).alias("column_name"),
