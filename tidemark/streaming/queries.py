@@ -263,13 +263,16 @@ def rollup_stream(samples: DataFrame, grain: str = "HOUR", lateness: str = "5 mi
     A day is rolled up from its hours in the same query: two aggregations follow
     one another, and the watermark passes through both. A bucket is emitted
     once, when the watermark has passed it; samples that come later are dropped,
-    as they are by the batch roll-up. Samples without a ``resolution`` are MIN. A watermark needs zoned times, so samples
-    are read as UTC.
+    as they are by the batch roll-up. Samples without a ``resolution`` are
+    MIN, those without a ``sample_value2`` have none. A watermark needs zoned
+    times, so samples are read as UTC.
     """
     if grain not in ("HOUR", "DAY"):
         raise ValueError(f"grain must be HOUR or DAY: {grain}")
     if "resolution" in samples.columns:
         samples = samples.where(F.col("resolution") == "MIN")
+    if "sample_value2" not in samples.columns:
+        samples = samples.withColumn("sample_value2", F.lit(None).cast("bigint"))
     rows = (
         samples.where(F.col("metric").isin(*SUM_METRICS, *MAX_METRICS, *AVG_METRICS))
         .withColumn("at", F.timestamp_micros(ntz_micros("sampled_at")))
