@@ -156,6 +156,38 @@ def test_one_candidate_a_member(spark):
     assert all((min(r["a"], r["b"]), max(r["a"], r["b"])) in pairs for r in rows)
 
 
+def test_last_pairs_only_join(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 60 - k % 3], rng.integers(0, 2**63, k % 3, np.uint64)])) for k in range(30)]
+    members = [(7, k, k, len(x), bytearray(jaccard.sketch(x)), bytearray(x.tobytes())) for k, x in enumerate(sets)]
+    schema = "name long, set long, component long, size long, sketch binary, hashes binary"
+    rows = jaccard._candidates(spark.createDataFrame(members, schema), 75, 100).collect()
+    assert len(rows) == 29
+    assert all(jaccard._similar(sets[r["a"]], sets[r["b"]], 75, 100) for r in rows)
+    frame = spark.createDataFrame([(k, k) for k in range(30)], "v long, c long")
+    joined = Components(spark.createDataFrame([tuple(r) for r in rows], "a long, b long")).label(frame, "c").collect()
+    assert {r["c"] for r in joined} == {0}
+
+
+def test_groups_of_one_centre_are_one(spark, monkeypatch):
+    rng = random.Random(6)
+    origin = [f"w{k}" for k in range(200)]
+    rows = []
+    for _ in range(20):
+        copy = list(origin)
+        for k in rng.sample(range(200), 12):
+            copy[k] = f"x{rng.random()}"
+        rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    listed, stars = [], jaccard._stars
+    monkeypatch.setattr(jaccard, "_stars", lambda frame, *args: listed.append(frame.groupBy("set").count()) or stars(frame, *args))
+    assert found(near_duplicates(docs)) == brute(rows)
+    times = [r["count"] for r in listed[0].collect()]
+    assert len(times) > 10
+    assert max(times) <= 20
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(2, None), (3, "alone here")], "doc_id long, text string")

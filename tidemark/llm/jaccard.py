@@ -17,8 +17,9 @@ from tidemark.llm.frames import NOT_SPACE, annotate, map_arrow, mix, pieces, run
 #: Members of one row of the table of groups, and members that one copy of a centre is compared with.
 GROUP_ROWS = 4096
 
-#: Members of one block of a group whose pairs are compared.
+#: Members of one block of a group whose pairs are compared, and elements of their sets.
 PAIR_ROWS = 1024
+PAIR_ELEMENTS = 2_000_000
 
 #: Rounds in which each member of an open group is compared with one candidate only, before all pairs that are left.
 #: Their number changes how many pairs are listed, never what is found.
@@ -27,6 +28,9 @@ STAR_ROUNDS = 3
 #: Sets of one block of signatures.
 BLOCK_SETS = 10_000
 
+#: Rows with hashes that a task holds as Python objects at once.
+HASH_ROWS = 256
+
 #: An element of this many sets of a block may count as frequent, up to so many elements in all. Which ones do
 #: changes only how many comparisons are made, never what is found.
 FREQUENT = 4
@@ -135,13 +139,15 @@ def _frequent(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
                 for hashes in shingle_sets(batch.column(text_col).slice(begin, BLOCK_SETS), width):
                     if len(hashes):
                         own.setdefault(set_id(hashes), hashes)
-                every = np.sort(np.concatenate([np.empty(0, np.uint64), *own.values()]))
-                first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
-                counts = np.diff(first, append=len(every))
-                many = counts >= FREQUENT
+                every = np.concatenate([np.empty(0, np.uint64), *own.values()])
+                own.clear()
+                every.sort()
+                # Only elements that come FREQUENT times in a row are looked at again.
+                last = FREQUENT - 1
+                found = np.unique(every[last:][every[last:] == every[: len(every) - last]])
+                counts = np.searchsorted(every, found, "right") - np.searchsorted(every, found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(every[first[many]].view(np.int64)), pa.array(counts[many].astype(np.int64))],
-                    ["element", "n"],
+                    [pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["element", "n"]
                 )
 
     counts = map_arrow(docs.select(text_col), run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
@@ -235,6 +241,12 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, len(batch), HASH_ROWS):
+            yield batch.slice(begin, HASH_ROWS)
+
+
 def _links_to_centres(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): each set with the centre chosen for it, if they are similar.
 
@@ -258,7 +270,7 @@ def _links_to_centres(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, hashes = None, None
-        for batch in batches:
+        for batch in _sliced(batches):
             found: list[tuple[int, int]] = []
             columns = (batch.column(x).to_pylist() for x in ("at", "member", "set", "hashes"))
             for at, member, name, raw in zip(*columns, strict=True):
@@ -303,8 +315,10 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
 
 
 def _dealt(listed: DataFrame) -> DataFrame:
-    """The members of each group, dealt over tasks that compare two blocks of at most about PAIR_ROWS."""
-    sizes = listed.groupBy("name").agg(F.ceil(F.count("*") / PAIR_ROWS).alias("blocks"))
+    """The members of each group, dealt over tasks that compare two blocks of about PAIR_ROWS or PAIR_ELEMENTS at most."""
+    sizes = listed.groupBy("name").agg(
+        F.ceil(F.greatest(F.count("*") / PAIR_ROWS, F.sum("size") / PAIR_ELEMENTS)).alias("blocks")
+    )
     own = F.pmod(F.xxhash64("set"), F.col("blocks"))
     return (
         listed.join(sizes, "name")
@@ -312,7 +326,7 @@ def _dealt(listed: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select(
             "name", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-            "set", "component", "size", "sketch",
+            *(x for x in listed.columns if x != "name"),
         )
         .repartition("name", "i", "j").sortWithinPartitions("name", "i", "j")
     )
@@ -321,7 +335,7 @@ def _dealt(listed: DataFrame) -> DataFrame:
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The rows of each key (name, i, j), one key after the other."""
     key, members = None, []
-    for batch in batches:
+    for batch in _sliced(batches):
         for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if row[:3] != key:
                 if len(members) > 1:
@@ -333,14 +347,41 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _candidates(listed: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): members of one group in different components that sizes and sketches allow to be similar."""
+    """(a, b): members of one group in different components that sizes and sketches allow to be similar.
+
+    If the members bring their hashes, the pairs are compared, and those that are similar and join parts of a block
+    that no pair before them joined are given: fewer rows than members, however many pairs a block has.
+    """
+    exact = "hashes" in listed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members in _blocks_of(batches):
             sets, a, b = _close(members, num, den)
+            if exact:
+                joining = _joining(members, a.tolist(), b.tolist(), num, den)
+                a, b = a[joining], b[joining]
             yield _edges(list(zip(sets[a].tolist(), sets[b].tolist(), strict=True)))
 
-    return map_arrow(_dealt(listed), run, "a long, b long").distinct()
+    order = ["name", "set", "component", "size", "sketch", *(["hashes"] if exact else [])]
+    return map_arrow(_dealt(listed.select(order)), run, "a long, b long").distinct()
+
+
+def _joining(members: list[tuple], a: list[int], b: list[int], num: int, den: int) -> list[int]:
+    """The places of pairs of members that are similar and join what similar pairs before them left apart."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        left, right = find(members[x][5]), find(members[y][5])
+        if left != right and _similar(*(np.frombuffer(members[z][8], np.uint64) for z in (x, y)), num, den):
+            parent[left] = right
+            out.append(k)
+    return out
 
 
 def _stars(listed: DataFrame, num: int, den: int) -> DataFrame:
@@ -365,7 +406,7 @@ def _stars(listed: DataFrame, num: int, den: int) -> DataFrame:
 
 def _close(members: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sets of a block, and the places of the pairs that may be similar, the smaller set first."""
-    _, i, j, own, sets, components, sizes, sketches = zip(*members, strict=True)
+    _, i, j, own, sets, components, sizes, sketches, *_ = zip(*members, strict=True)
     own, sets, components, sizes = (np.array(x, np.int64) for x in (own, sets, components, sizes))
     bits = _folded(list(sketches))
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -394,7 +435,7 @@ def _links_of_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Da
         pairs = pairs.join(small.select(F.col("set").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = zip(*(batch.column(x).to_pylist() for x in ("a", "b", "hashes_a", "hashes_b")), strict=True)
             yield _edges([
                 (a, b) for a, b, x, y in rows
@@ -456,14 +497,20 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     heads = stored(roles.join(classes, "set").withColumnRenamed("set", "expected"), "heads")
     texts = rows.join(heads, F.col(id_col) == F.col("doc"))
 
-    def build(batch: pa.RecordBatch) -> list[pa.Array]:
-        sets = list(shingle_sets(batch.column(text_col), width))
-        names = pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())
-        raw, sketches = (pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, sketch))
-        return [names, raw, sketches]
+    own = ["expected", "centre", "own_salts", "salts"]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            sets = list(shingle_sets(batch.column(text_col), width))
+            names = pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())
+            raw, sketches = (pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, sketch))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in own), names, raw, sketches], [*own, "set", "hashes", "sketch"]
+            )
 
+    schema = "expected long, centre long, own_salts long, salts long, set long, hashes binary, sketch binary"
     sets = stored(
-        annotate(texts, build, "set long, hashes binary, sketch binary", ["expected", "centre", "own_salts", "salts"])
+        map_arrow(texts.select(*own, text_col), build, schema)
         .where("set = expected").drop("expected").dropDuplicates(["set"]),
         "sets",
     )
@@ -474,9 +521,10 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     apart = stored(apart.where("x <> y").select("centre", "set"), "apart")
     merged: list[Components] = []
     if not apart.isEmpty():
-        listed = groups.select("name", "centre", F.explode("members").alias("set"))
-        open_names = stored(listed.join(apart, ["centre", "set"]).select("name").distinct(), "open")
-        listed = groups.join(open_names, "name").select("name", F.explode("members").alias("set")).distinct()
+        # Groups of one centre are one: texts of a family are in dozens of them, but have few centres.
+        centres = stored(apart.select("centre").distinct(), "open")
+        listed = pairs.join(centres, "centre").select(F.col("centre").alias("name"), "set").union(
+            centres.select(F.col("centre").alias("name"), F.col("centre").alias("set")))
         traits = sets.select("set", (F.octet_length("hashes") / 8).cast("long").alias("size"), "sketch")
 
         def labelled() -> DataFrame:
@@ -498,8 +546,8 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
                 break
             merged.append(contracted(_links_of_pairs(once, sets, num, den)))
         else:
-            crossing = stored(_candidates(labelled(), num, den), "crossing")
-            merged.append(contracted(_links_of_pairs(crossing, sets, num, den)))
+            crossing = stored(_candidates(labelled().join(sets.select("set", "hashes"), "set"), num, den), "crossing")
+            merged.append(contracted(crossing))
     found = near.label(classes.withColumn("component", F.col("set")), "component")
     for step in merged:
         found = step.label(found, "component")
