@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.components import Components
 from tidemark.llm.frames import NOT_SPACE, annotate, map_arrow, mix, pieces, runs_of, stored, utf8, words
@@ -247,8 +248,17 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin, HASH_ROWS)
 
 
-def _links_to_centres(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): each set with the centre chosen for it, if they are similar.
+def _roles(best: DataFrame) -> DataFrame:
+    """For (set, centre): each set's centre and its number of copies (own_salts), and copies of the set as a centre (salts)."""
+    salts = best.groupBy("centre").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("salts"))
+    return (
+        best.join(salts.withColumnRenamed("salts", "own_salts"), "centre")
+        .join(salts.withColumnRenamed("centre", "set"), "set", "full")
+    )
+
+
+def _links_to_centres(sets: DataFrame, value: str, similar: Callable[[bytes, int, bytes, int], bool]) -> DataFrame:
+    """(a, b): each set with the centre chosen for it, if ``similar`` says so of their values and sizes.
 
     A centre goes, in as many copies as its members fill tasks, to its members.
     """
@@ -264,20 +274,20 @@ def _links_to_centres(sets: DataFrame, num: int, den: int) -> DataFrame:
         ),
     )
     rows = (
-        sets.select("set", "hashes", F.explode(roles).alias("role")).select("role.*", "set", "hashes")
+        sets.select("set", "size", F.col(value).alias("value"), F.explode(roles).alias("role"))
+        .select("role.*", "set", "size", "value")
         .repartition("at", "salt").sortWithinPartitions("at", "salt", "member")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, hashes = None, None
+        centre, head = None, None
         for batch in _sliced(batches):
             found: list[tuple[int, int]] = []
-            columns = (batch.column(x).to_pylist() for x in ("at", "member", "set", "hashes"))
-            for at, member, name, raw in zip(*columns, strict=True):
-                own = np.frombuffer(raw, np.uint64)
+            columns = (batch.column(x).to_pylist() for x in ("at", "member", "set", "value", "size"))
+            for at, member, name, *own in zip(*columns, strict=True):
                 if not member:
-                    centre, hashes = at, own
-                elif at == centre and _similar(hashes, own, num, den):
+                    centre, head = at, own
+                elif at == centre and similar(*head, *own):
                     found.append((at, name))
             yield _edges(found)
 
@@ -314,6 +324,14 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
+def _may_be_similar(a: bytes, size_a: int, b: bytes, size_b: int, num: int, den: int) -> bool:
+    """Whether sizes and sketches of two sets allow them to be similar."""
+    if num * max(size_a, size_b) > den * min(size_a, size_b):
+        return False
+    x, y = _folded([a, b])
+    return int(np.bitwise_count(x ^ y).sum()) <= (size_a + size_b) * (den - num) // (den + num)
+
+
 def _dealt(listed: DataFrame) -> DataFrame:
     """The members of each group, dealt over tasks that compare two blocks of about PAIR_ROWS or PAIR_ELEMENTS at most."""
     sizes = listed.groupBy("name").agg(
@@ -489,32 +507,39 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
         "pairs",
     )
     best = pairs.groupBy("set").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
-    salts = best.groupBy("centre").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("salts"))
-    roles = (
-        best.join(salts.withColumnRenamed("salts", "own_salts"), "centre")
-        .join(salts.withColumnRenamed("centre", "set"), "set", "full")
-    )
-    heads = stored(roles.join(classes, "set").withColumnRenamed("set", "expected"), "heads")
-    texts = rows.join(heads, F.col(id_col) == F.col("doc"))
+    heads = stored(_roles(best).join(classes, "set").withColumnRenamed("set", "expected"), "heads")
 
-    own = ["expected", "centre", "own_salts", "salts"]
+    def built(wanted: DataFrame, make: Callable[[np.ndarray], bytes], value: str) -> DataFrame:
+        """The columns of ``wanted``, set, size and what ``make`` gives of its hashes; one row for each set."""
+        own = [x for x in wanted.columns if x != "doc"]
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            sets = list(shingle_sets(batch.column(text_col), width))
-            names = pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())
-            raw, sketches = (pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, sketch))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in own), names, raw, sketches], [*own, "set", "hashes", "sketch"]
-            )
-
-    schema = "expected long, centre long, own_salts long, salts long, set long, hashes binary, sketch binary"
-    sets = stored(
-        map_arrow(texts.select(*own, text_col), build, schema)
-        .where("set = expected").drop("expected").dropDuplicates(["set"]),
-        "sets",
-    )
-    links = stored(_links_to_centres(sets, num, den), "links")
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _sliced(batches):
+                sets = list(shingle_sets(batch.column(text_col), width))
+                names = pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())
+                sizes, made = pa.array([len(x) for x in sets], pa.int64()), pa.array([make(x) for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(x) for x in own), names, sizes, made], [*own, "set", "size", value]
+                )
+
+        schema = T.StructType([*(wanted.schema[x] for x in own), *T.StructType.fromDDL(
+            f"set long, size long, {value} binary").fields])
+        texts = rows.join(wanted, F.col(id_col) == F.col("doc")).select(*own, text_col)
+        return stored(
+            map_arrow(texts, build, schema).where("set = expected").drop("expected").dropDuplicates(["set"]), "sets"
+        )
+
+    def hashed(names: DataFrame) -> DataFrame:
+        wanted = heads.select("expected", "doc").join(names.withColumnRenamed("set", "expected"), "expected")
+        return built(wanted, np.ndarray.tobytes, "hashes")
+
+    # Sketches go first: most sets that share a signature are not similar, and hashes are many times as long.
+    traits = built(heads, sketch, "sketch")
+    close = stored(_links_to_centres(traits, "sketch", lambda *x: _may_be_similar(*x, num, den)), "close")
+    exact = hashed(_roles(close.select(F.col("b").alias("set"), F.col("a").alias("centre"))))
+    links = stored(_links_to_centres(
+        exact, "hashes", lambda a, _, b, __: _similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), num, den)
+    ), "links")
     near = Components(links)
 
     apart = near.label(near.label(pairs.select("set", "centre", F.col("set").alias("x"), F.col("centre").alias("y")), "x"), "y")
@@ -525,7 +550,8 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
         centres = stored(apart.select("centre").distinct(), "open")
         listed = pairs.join(centres, "centre").select(F.col("centre").alias("name"), "set").union(
             centres.select(F.col("centre").alias("name"), F.col("centre").alias("set")))
-        traits = sets.select("set", (F.octet_length("hashes") / 8).cast("long").alias("size"), "sketch")
+        traits = traits.select("set", "size", "sketch")
+        sets = None
 
         def labelled() -> DataFrame:
             frame = near.label(listed.withColumn("component", F.col("set")), "component")
@@ -544,8 +570,11 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
             once = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "once")
             if once.isEmpty():
                 break
+            # Later rounds have no other members than the first.
+            sets = sets or hashed(listed.select("set").distinct())
             merged.append(contracted(_links_of_pairs(once, sets, num, den)))
         else:
+            sets = sets or hashed(listed.select("set").distinct())
             crossing = stored(_candidates(labelled().join(sets.select("set", "hashes"), "set"), num, den), "crossing")
             merged.append(contracted(crossing))
     found = near.label(classes.withColumn("component", F.col("set")), "component")
