@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard
 from tidemark.llm.components import Components
@@ -203,3 +204,50 @@ def test_sketches_bound_differences():
         x, y = jaccard._folded([jaccard.sketch(a), jaccard.sketch(b)])
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
     assert jaccard.sketch(a[:0]) == bytes(8)
+
+
+def test_texts_are_not_joined(spark, monkeypatch):
+    rng = random.Random(7)
+    origin = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(origin[: k + 90] + [f"x{rng.random()}"])) for k in range(8)]
+    rows += [(20 + k, f"another text {k} of some words that nothing else holds") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined, store = [], jaccard.stored
+
+    def walk(plan):
+        children = plan.children()
+        for child in (children.apply(k) for k in range(children.size())):
+            if plan.nodeName() == "Join":
+                joined.append({child.output().apply(k).name() for k in range(child.output().size())})
+            walk(child)
+
+    def looked_at(frame, label):
+        walk(frame._jdf.queryExecution().optimizedPlan())
+        return store(frame, label)
+
+    monkeypatch.setattr(jaccard, "stored", looked_at)
+    assert found(near_duplicates(docs)) == brute(rows)
+    assert any("hashes" in x for x in joined)
+    assert not any("text" in x for x in joined)
+
+
+def test_bits_of_wanted_ids(spark, monkeypatch):
+    ids = spark.range(0, 3000, 3)
+
+    def held(marked):
+        at = [r["at"] for r in spark.range(3000).select(jaccard._bit(F.col("id"), 8 * len(marked)).alias("at")).collect()]
+        return [k for k, x in enumerate(at) if marked[x >> 3] >> (x & 7) & 1]
+
+    marked = jaccard._marked(ids, "id")
+    assert len(marked) * 8 >= 64 * 1000
+    assert set(range(0, 3000, 3)) <= set(held(marked)) and len(held(marked)) < 1100
+    monkeypatch.setattr(jaccard, "MOST_BITS", 1 << 15)
+    assert set(range(0, 3000, 3)) <= set(held(jaccard._marked(ids, "id")))
+    assert not jaccard._marked(ids.where("id < 0"), "id").any()
+
+
+def test_ids_of_other_types(spark, monkeypatch):
+    rows = [(k, f"{'a text that is the same but for its last few words and so on ' * 3} {k}") for k in range(6)]
+    docs = spark.createDataFrame([(f"d{k}", x) for k, x in rows], "doc_id string, text string")
+    monkeypatch.setattr(jaccard, "BITS_PER_ID", 1)
+    assert {r["component_id"] for r in near_duplicates(docs).collect()} == {"d0"}

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,11 @@ BLOCK_SETS = 10_000
 #: Rows with hashes that a task holds as Python objects at once.
 HASH_ROWS = 256
 
+#: Bits for each wanted id, and at most in all, of the map that tells which texts to read again. Their number changes
+#: how many texts are read for nothing, never what is found.
+BITS_PER_ID = 64
+MOST_BITS = 1 << 27
+
 #: An element of this many sets of a block may count as frequent, up to so many elements in all. Which ones do
 #: changes only how many comparisons are made, never what is found.
 FREQUENT = 4
@@ -463,6 +468,22 @@ def _links_of_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Da
     return map_arrow(pairs.select("a", "b", "hashes_a", "hashes_b"), run, "a long, b long")
 
 
+def _bit(column: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def _marked(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each remainder of an id's hash, by their number a power of two: set if one of ``ids`` has it."""
+    n = ids.count()
+    bits = min(max(1 << (BITS_PER_ID * n).bit_length(), 1 << 15), MOST_BITS)
+    at = ids.select(_bit(F.col(column), bits).alias("at"))
+    maps = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % (1 << 15)).alias("bits"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for row in maps.toArrow().to_pylist():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id",
                     text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id_col, ``keep``, n_shingles and component_id of each row: the smallest id reachable by links.
@@ -491,10 +512,14 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     named = rows.where(F.col(id_col).isNotNull())
 
     def measure(batch: pa.RecordBatch) -> list[pa.Array]:
-        sets = [(len(x), set_id(x) if len(x) else None) for x in shingle_sets(batch.column(text_col), width)]
-        return [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())]
-
-    members = stored(annotate(rows, measure, "n_shingles long, set long", kept), "members")
+        sizes, names, sketches = [], [], []
+        for hashes in shingle_sets(batch.column(text_col), width):
+            sizes.append(len(hashes))
+            names.append(set_id(hashes) if len(hashes) else None)
+            sketches.append(sketch(hashes) if len(hashes) else None)
+        return [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())]
+
+    members = stored(annotate(rows, measure, "n_shingles long, set long, __sketch binary", kept), "members")
     classes = members.where(F.col(id_col).isNotNull() & F.col("set").isNotNull()).groupBy("set").agg(
         F.min(id_col).alias("doc"))
 
@@ -509,32 +534,45 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     best = pairs.groupBy("set").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
     heads = stored(_roles(best).join(classes, "set").withColumnRenamed("set", "expected"), "heads")
 
-    def built(wanted: DataFrame, make: Callable[[np.ndarray], bytes], value: str) -> DataFrame:
-        """The columns of ``wanted``, set, size and what ``make`` gives of its hashes; one row for each set."""
-        own = [x for x in wanted.columns if x != "doc"]
-
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _sliced(batches):
-                sets = list(shingle_sets(batch.column(text_col), width))
-                names = pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())
-                sizes, made = pa.array([len(x) for x in sets], pa.int64()), pa.array([make(x) for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(x) for x in own), names, sizes, made], [*own, "set", "size", value]
-                )
+    def hashed(names: DataFrame) -> DataFrame:
+        """The columns of ``names``, and size and hashes of each set.
 
-        schema = T.StructType([*(wanted.schema[x] for x in own), *T.StructType.fromDDL(
-            f"set long, size long, {value} binary").fields])
-        texts = rows.join(wanted, F.col(id_col) == F.col("doc")).select(*own, text_col)
-        return stored(
-            map_arrow(texts, build, schema).where("set = expected").drop("expected").dropDuplicates(["set"]), "sets"
-        )
+        Only texts whose id has its bit set are read again, and only their sets are shuffled: texts are many times
+        as many as the sets that are wanted.
+        """
+        wanted = stored(heads.select("expected", "doc").join(names.withColumnRenamed("set", "expected"), "expected"), "wanted")
+        marked = _marked(wanted, "doc")
+        shared = spark.sparkContext.broadcast(marked)
 
-    def hashed(names: DataFrame) -> DataFrame:
-        wanted = heads.select("expected", "doc").join(names.withColumnRenamed("set", "expected"), "expected")
-        return built(wanted, np.ndarray.tobytes, "hashes")
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = shared.value
+            for batch in batches:
+                at = batch.column("at").to_numpy()
+                kept = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                for begin in range(0, len(kept), HASH_ROWS):
+                    part = batch.take(pa.array(kept[begin : begin + HASH_ROWS]))
+                    sets = list(shingle_sets(part.column("text"), width))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("doc"), pa.array([set_id(x) if len(x) else None for x in sets], pa.int64()),
+                            pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()),
+                        ],
+                        ["doc", "set", "size", "hashes"],
+                    )
+
+        own = named.select(
+            F.col(id_col).alias("doc"), F.col(text_col).alias("text"), _bit(F.col(id_col), 8 * len(marked)).alias("at"))
+        schema = T.StructType([wanted.schema["doc"], *T.StructType.fromDDL("set long, size long, hashes binary").fields])
+        found = map_arrow(own, build, schema).join(wanted.withColumnRenamed("expected", "set"), ["doc", "set"])
+        return stored(found.dropDuplicates(["doc", "set"]).drop("doc"), "sets")
 
     # Sketches go first: most sets that share a signature are not similar, and hashes are many times as long.
-    traits = built(heads, sketch, "sketch")
+    sketches = members.select(
+        F.col(id_col).alias("doc"), F.col("set").alias("expected"), F.col("n_shingles").alias("size"),
+        F.col("__sketch").alias("sketch"),
+    )
+    traits = sketches.join(heads, ["doc", "expected"]).dropDuplicates(["doc", "expected"])
+    traits = stored(traits.drop("doc").withColumnRenamed("expected", "set"), "sketches")
     close = stored(_links_to_centres(traits, "sketch", lambda *x: _may_be_similar(*x, num, den)), "close")
     exact = hashed(_roles(close.select(F.col("b").alias("set"), F.col("a").alias("centre"))))
     links = stored(_links_to_centres(
