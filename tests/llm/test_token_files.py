@@ -102,3 +102,26 @@ def test_each_plain_character_as_the_library():
         for text in (chr(code), f"aB{chr(code)}{chr(code)}9x'S"):
             want = own.tokenizer.encode(text, add_special_tokens=False).ids
             assert list(struct.unpack(f"<{len(want)}i", own.encode(text.encode()))) == want, hex(code)
+
+
+def test_a_word_is_learnt_once_in_any_case_and_before_any_mark():
+    own = token_files.WordEncoder(PATH, True)
+    own.encode_all([b"Some words, some WORDS. (words) some", "Größe; größe!".encode()])
+    assert own.words.keys() == {b"some", b"words", "größe".encode(), b",", b".", b"(words", b")", b";", b"!"}
+
+
+def test_marks_behind_letters_as_the_library():
+    ends = ["a", "Z", "7", "é", "É", "×", "÷", "ÿ", "Ā", "ȿ", "«", "ª", "²", "\xa0", "\x85", "\xad", "'", "'S", "İ", "ſ", "ɐ", "日", "h\u0331", "H\u0331", "Σ", ""]
+    marks = [",", ".'s", "''", "'S.", "_-_", "<|", "<|endoftext|>", "<|ENDOFTEXT|>x", "<|\u017ftartoftext|>.", "!É", "=\u0338", "\x00.", "\n,"]
+    texts = [f"{mark}{b}{end}{mark}{end}{b}" for end in ends for mark in marks for b in ("", " ", "Q")]
+    for special in (False, True):
+        own = token_files.WordEncoder(PATH, special)
+        want = [own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        for got in (own.encode_all([x.encode() for x in texts]), [y for x in texts for y in own.encode_all([x.encode()])]):
+            assert [list(struct.unpack(f"<{len(x) // 4}i", x)) for x in got] == want
+
+
+def test_texts_without_new_words():
+    own = token_files.WordEncoder(PATH)
+    assert own.encode_all([b"word"]) == own.encode_all([b"word"])
+    assert own.encode_all([]) == [] and own.encode_all([b"", b""], b"tail") == [b"tail"] * 2

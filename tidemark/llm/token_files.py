@@ -33,6 +33,9 @@ BLOCK_BYTES = 4 << 20
 #: lower-cased one by one.
 _AFTER_LATIN = "\u0250"
 
+#: Bytes from this one on begin characters of _AFTER_LATIN and the few before it.
+_HIGH = 0xC9
+
 #: The pattern of the tokenizer's file.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -47,11 +50,37 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(others) if b != 32}
 
 
+#: True for ASCII letters (lower-case) and digits, and for marks that end them: all but the apostrophe, which
+#: may begin a part of letters.
+_LETTER = np.array([chr(b).isalnum() and not chr(b).isupper() and b < 128 for b in range(256)])
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
+
+
+def _spaced(low: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Texts in a row with a space before each mark that follows a letter, and their new offsets."""
+    data = np.frombuffer(low, np.uint8)
+    at = np.flatnonzero(_MARK[data])
+    one, two = data[np.maximum(at - 1, 0)], data[np.maximum(at - 2, 0)]
+    # Two bytes: all from U+00C0 on are letters but the signs for times and divided by; U+0130 lower-cased ends in a dot above.
+    latin = (one >= 0x80) & (two >= 0xC3) & (two < _HIGH)
+    latin &= ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7)) | (two == 0xC4) & (one == 0xB0))
+    at = at[_LETTER[one] | latin]
+    out = np.full(len(data) + len(at), 32, np.uint8)
+    own = np.ones(len(out), bool)
+    own[at + np.arange(len(at))] = False
+    out[own] = data
+    # A mark that begins a text belongs to it, and so does the space before it.
+    return out.tobytes(), offsets + np.searchsorted(at, offsets)
+
+
 class WordEncoder:
     """A tokenizer of the tokenizers library, each distinct word of a block once.
 
     The library's pattern never crosses ASCII white space and drops it, so the
-    ids of a text are those of its words one after the other. Words of plain
+    ids of a text are those of its words one after the other. It never crosses
+    from a letter to a mark either and lower-cases, so texts of Latin characters
+    are lower-cased and get a space there first: then a word is one word in any
+    case and before any mark. Words of plain
     Latin characters are lower-cased and split here, and their new parts go
     through the library's merges in one call: the last token of a part, and no
     other, ends in the model's suffix, so the ids of all parts can be told
@@ -81,6 +110,8 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for x, k in vocabulary.items() if suffix and x.endswith(suffix)]] = True
         self.split = regex.compile(rf"{_PATTERN}|\n").findall
+        self.tokens = [x.encode().lower() for x in added]
+        self.latin = self.plain and "".join(added).isascii()
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -115,26 +146,46 @@ class WordEncoder:
                 split.append(low)
         # The parts of all mixed words in a row, each word's followed by a line break.
         flat = self.split("\n".join([*split, ""]))
-        new = set(lowered).union(flat).difference(self.parts, ("\n",))
-        parts = sorted(new, key=str.isascii, reverse=True)
-        self.parts.update(zip(parts, self._merge(parts), strict=True))
-        known = self.parts.__getitem__
+        several = set(flat).difference(("\n",))
+        needed = several.union(lowered)
+        parts = sorted(needed.difference(self.parts), key=str.isascii, reverse=True)
+        own = {x: self.parts[x] for x in needed.intersection(self.parts)}
+        own.update(zip(parts, self._merge(parts), strict=True))
+        known = own.__getitem__
         self.words.update(zip(letters, map(known, lowered), strict=True))
         begin = 0
         for word, end in zip(mixed, [k for k, x in enumerate(flat) if x == "\n"], strict=True):
             self.words[word] = b"".join(map(known, flat[begin:end]))
             begin = end + 1
+        # A word of letters is kept as a word.
+        self.parts.update((x, own[x]) for x in several if len(x) <= _LONGEST)
         found = self.tokenizer.encode_batch_fast(left, add_special_tokens=False)
         for word, ids in zip(whole, found, strict=True):
             self.words[word] = np.array(ids.ids, "<i4").tobytes()
-        for part in parts:
-            if len(part) > _LONGEST:
-                del self.parts[part]
+
+    def _split(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The words of texts: those of Latin texts lower-cased and without marks behind letters.
+
+        Texts with other characters or an added token are split at white space alone.
+        """
+        if not self.latin:
+            return [x.split() for x in texts]
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(x) for x in texts], out=offsets[1:])
+        low = b"".join(texts).lower()
+        high = np.flatnonzero(np.frombuffer(low, np.uint8) >= _HIGH)
+        other = set((np.searchsorted(offsets, high, "right") - 1).tolist())
+        if any(x in low for x in self.tokens):
+            other.update(k for k, x in enumerate(texts) if any(y in x.lower() for y in self.tokens))
+        raw, bounds = _spaced(low, offsets)
+        places = itertools.pairwise(bounds.tolist())
+        return [texts[k].split() if k in other else raw[a:b].split() for k, (a, b) in enumerate(places)]
 
     def _ids(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of texts given as words. Caches are bounded between calls: long words go, then all but short ones."""
         new = list(set().union(*texts).difference(self.words))
-        self._learn(new)
+        if new:
+            self._learn(new)
         known = self.words.__getitem__
         found = [b"".join(map(known, x)) for x in texts]
         for word in new:
@@ -156,7 +207,7 @@ class WordEncoder:
 
     def encode_all(self, texts: list[bytes], tail: bytes = b"") -> list[bytes]:
         """``encode`` of each text; distinct words of all texts that are not long are encoded once."""
-        short = iter(self._ids([x.split() for x in texts if len(x) < BLOCK_BYTES]))
+        short = iter(self._ids(self._split([x for x in texts if len(x) < BLOCK_BYTES])))
         return [next(short) + tail if len(x) < BLOCK_BYTES else self.encode(x, tail) for x in texts]
 
 
