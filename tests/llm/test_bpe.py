@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from tidemark.llm import bpe
+from tidemark.llm.frames import map_arrow
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -99,3 +101,24 @@ def test_words_together(monkeypatch):
             own = bpe.Encoder(ranks, PATTERN)
             for _ in range(2):
                 assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == expected
+
+
+def test_caches_are_empty_after_a_partition_if_they_shall_not_last(spark):
+    own_pattern = f"(?:){PATTERN}"  # an encoder that no other test has filled
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('some unseenwordsof', id, ' text') AS text").coalesce(1)
+    kept = bpe.encode(docs, PATH, PATTERN).collect()
+    assert sorted(bpe.encode(docs, PATH, own_pattern, lasting=False).collect()) == sorted(kept)
+
+    def held(batches):
+        own = bpe.encoder(PATH, own_pattern)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(own.words) + len(own.parts) + len(own.vocabulary.pairs)] * len(batch)})
+
+    # Both steps in one worker after the other: the caches of its encoder hold nothing of the step before.
+    assert map_arrow(spark.range(1).coalesce(1), held, "n long").distinct().collect()[0].n == 0
+
+    own = bpe.encoder(PATH, PATTERN)
+    before = own.encode("some unseenwordsof 7 text")
+    assert own.words and own.parts
+    own.forget()
+    assert not own.words and not own.parts and own.encode("some unseenwordsof 7 text") == before

@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.frames import WordCache, annotate
+from tidemark.llm.frames import WordCache, annotate, release
 
 #: Entries of the caches of a Python worker: parts between spaces, matches of the pattern, prefixes; pairs of tokens.
 #: Bounds memory, never results.
@@ -333,6 +333,12 @@ class Encoder:
                 del known[part]
         return out
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle Python worker holds little more than the vocabulary."""
+        for cache in (self.words, self.parts, self.vocabulary.pairs, self.vocabulary.short):
+            cache.clear()
+        self.table = WordTable(self.vocabulary)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids.tolist()))
 
@@ -346,12 +352,14 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", packed: bool = False,
-           keep: list[str] | None = None) -> DataFrame:
+           keep: list[str] | None = None, lasting: bool = True) -> DataFrame:
     """The input columns ``keep`` (default all) with ids and n_tokens; such columns are replaced.
 
     Each match of ``pattern`` in the whole text is encoded on its own; there are
     no special tokens. A null or empty text has no tokens. ids is an array of
     int, or with ``packed`` the binary of little-endian unsigned 32-bit integers.
+    Words stay cached from partition to partition; with ``lasting`` false they do not,
+    for jobs whose other steps need the memory that idle Python workers would hold.
     """
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -364,7 +372,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", pac
         values = np.frombuffer(b"".join(out), "<i4")
         return [pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array(sizes)]
 
-    return annotate(docs, run, f"ids {'binary' if packed else 'array<int>'}, n_tokens long", keep)
+    def done() -> None:
+        if not lasting:
+            encoder(path, pattern).forget()
+            release()
+
+    return annotate(docs, run, f"ids {'binary' if packed else 'array<int>'}, n_tokens long", keep, done)
 
 
 def decode(frame: DataFrame, path: str, pattern: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import shutil
@@ -52,6 +53,13 @@ def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFr
     return df.mapInArrow(fn, schema)
 
 
+def release() -> None:
+    """Give what this Python worker no longer uses back to the system: idle workers stay while other stages run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
@@ -252,10 +260,11 @@ def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def annotate(df: DataFrame, fn, added: str, keep: list[str] | None = None) -> DataFrame:
+def annotate(df: DataFrame, fn, added: str, keep: list[str] | None = None, done: Callable | None = None) -> DataFrame:
     """The columns ``keep`` (default all) and those that ``fn`` makes of each Arrow batch.
 
     ``added`` is the DDL of the new columns; they replace input columns of the same names.
+    ``done`` is called after the last batch of each partition.
     """
     new = T.StructType.fromDDL(added)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
@@ -265,6 +274,9 @@ def annotate(df: DataFrame, fn, added: str, keep: list[str] | None = None) -> Da
         for batch in batches:
             made = fn(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], schema.names)
+        if done:
+            batch = made = None
+            done()
 
     return map_arrow(df, run, schema)
 
